@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tabulon.llm import quality_rules
+from tabulon.llm import chunk_store, packing, quality_rules
 
 QUERIES = {
+    "op2_harmonic_packing": packing.op2,
     "op7_quality_rules": quality_rules.op7,
+    "op10_chunk_store": chunk_store.op10,
 }
 
 ORACLE_SQL = {
