@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tabulon.llm import chunk_store, packing, quality_rules
+from tabulon.llm import chunk_store, licenses, packing, quality_classifier, quality_rules, simhash, toxicity
 
 QUERIES = {
+    "op1_quality_classifier": quality_classifier.op1,
     "op2_harmonic_packing": packing.op2,
+    "op5_toxicity": toxicity.op5,
     "op7_quality_rules": quality_rules.op7,
+    "op8_simhash": simhash.op8,
+    "op9_license_notices": licenses.op9,
     "op10_chunk_store": chunk_store.op10,
 }
 
