@@ -1,8 +1,58 @@
-"""A corpus pipeline: quality rules, near-duplicates, decontamination, personal data, packing."""
+"""A corpus pipeline: quality rules, near-duplicates, benchmark leaks, personal data, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
+return the columns of documents; the last returns the packed pieces with their token ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tabulon.llm import decontamination, packing, pii, quality_rules, simhash
+from tabulon.llm.common import stored, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality_rules.accepted(docs, "clean", 1)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more."""
+    return simhash.deduplicated(docs, similarity=0.8, shingle_words=5)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by the name of its kind; n_chars is counted anew."""
+    return pii.redacted(docs, pii.fit(pii.labelled_table(spark)))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens: one row for each piece of a document."""
+    import public_tokenizers
+
+    return packing.digests(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0), with_ids=True)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("simhash_near_dedup", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("personal_data", personal_data_stage),
+    ("packing", packing_stage),
+]
+
+#: Sketches, alignments, the random field and tokenizers are beyond SQL; tests/llm compares the stages with plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

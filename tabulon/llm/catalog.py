@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tabulon.llm import chunk_store, decontamination, licenses, packing, pii, quality_classifier, quality_rules, simhash, toxicity
+from tabulon.llm import chunk_store, decontamination, licenses, packing, pii, quality_classifier, quality_rules, repeats, simhash, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1,
     "op2_harmonic_packing": packing.op2,
     "op3_personal_data": pii.op3,
+    "op4_repeated_strings": repeats.op4,
     "op5_toxicity": toxicity.op5,
     "op6_decontamination": decontamination.op6,
     "op7_quality_rules": quality_rules.op7,

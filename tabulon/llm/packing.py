@@ -110,10 +110,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def digests(pieces: DataFrame) -> DataFrame:
+def digests(pieces: DataFrame, with_ids: bool = False) -> DataFrame:
     return pieces.select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"),
-        "doc_tokens", "sequence_id", "offset", "padded_to",
+        "doc_tokens", "sequence_id", "offset", "padded_to", *(["ids"] if with_ids else []),
     )
 
 

@@ -327,6 +327,28 @@ def redact(text: str, found: list[tuple[int, int, str, bool]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def redacted(docs: DataFrame, field: Field, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The documents with their spans replaced and, where the column exists, their lengths counted anew."""
+    sent = docs.sparkSession.sparkContext.broadcast((field.names, field.weights, field.moves))
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = Field(*sent.value)
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            new = [t if not x else redact(t, x) for t, x in zip(texts, find((t or "" for t in texts), held))]
+            at = batch.schema.get_field_index(text_col)
+            columns = batch.columns
+            columns[at] = pa.array(new, batch.schema.field(at).type)
+            if length_col in batch.schema.names:
+                at = batch.schema.get_field_index(length_col)
+                columns[at] = pa.array([None if t is None else len(t) for t in new], batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def digests(found: DataFrame) -> DataFrame:
     """Counts of base spans, the digest of their list, and the list of all spans."""
     listed = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")

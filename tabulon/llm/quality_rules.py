@@ -95,12 +95,18 @@ def repeated_words(words: Column) -> Column:
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the measurements and fail_bits; `keep` names further input columns to carry."""
+    """id, the measurements and fail_bits; columns named in `keep` come along in one struct, `kept_columns`, so no name can clash."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     only = lambda kept: F.length(F.regexp_replace(F.col("_text"), kept, "")).cast("long")
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    measured = docs.select(*dict.fromkeys((id_col, *keep)), text.alias("_text")).select(
-        *dict.fromkeys((id_col, *keep)),
+    along = [F.struct(*keep).alias("kept_columns")] if keep else []
+    named = ["kept_columns"] if keep else []
+    # a row number is no function of its row, so a filter on the bits stays above: below, it would evaluate every rule again
+    once = F.monotonically_increasing_id().alias("_row")
+    measured = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), *along).select(
+        "doc_id",
+        *named,
+        once,
         only(SPACE).alias("word_chars"),
         only(r"[^#*$%&|<>]+").alias("n_symbols"),
         only(r"[^\p{Lu}]+").alias("n_upper"),
@@ -112,7 +118,8 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
         ).alias("_words"),
     )
     named = measured.select(
-        *dict.fromkeys((id_col, *keep)),
+        "doc_id",
+        *named,
         F.col("_words.n").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -130,6 +137,11 @@ def passes(policy: str, version: int) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(mask_of(policy, version)).cast("long")) == 0
 
 
+def accepted(docs: DataFrame, policy: str = "clean", version: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, that a policy keeps."""
+    return ledger(docs, id_col, text_col, keep=tuple(docs.columns)).filter(passes(policy, version)).select("kept_columns.*")
+
+
 def ablation(book: DataFrame, policy: str, version: int) -> DataFrame:
     """For each rule of a policy: texts that fail it, texts that only it rejects, texts kept without it.
 

@@ -213,6 +213,157 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle_words: int = 3, ti
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+# Near-duplicates by similarity of shingle sets.
+
+#: 64-bit words of the wide sketch, the radius of the first comparison, and the rows of a tile there.
+WIDE_WORDS, FIRST_RADIUS, WIDE_TILE = 16, 16, 16_384
+#: Sets whose sizes are within the similarity are in the same class or the next one.
+CLASS_RATIO = 1.25
+
+
+def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """id0, n (distinct shingles) and 16 SimHash words over the set of a text's shingles; the first word is the fingerprint."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                hashes, counts = shingle_hashes(part.column(1).to_pylist(), shingle_words)
+                order = np.lexsort((hashes, np.repeat(np.arange(len(counts)), counts)))
+                owner, hashes = np.repeat(np.arange(len(counts)), counts)[order], hashes[order]
+                first = np.ones(len(hashes), dtype=bool)
+                first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+                hashes, counts = hashes[first], np.bincount(owner[first], minlength=len(counts))
+                words = [majority_bits(hashes, counts)]
+                for k in range(1, WIDE_WORDS):
+                    x = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+                    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                    words.append(majority_bits(x ^ (x >> np.uint64(32)), counts))
+                wide = np.stack(words, axis=1).astype("<u8")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array([row.tobytes() for row in wide], pa.binary())], ["id0", "n", "wide"])
+
+    return docs.mapInArrow(run, "id0 long, n long, wide binary")
+
+
+def _wide_radius(similarity: float) -> int:
+    """Differing bits of the wide sketch up to which two sets count as similar: the expected number at that similarity and one deviation."""
+    import math
+
+    bits = 64 * WIDE_WORDS
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def _class_links(distinct: DataFrame, similarity: float, tile_rows: int) -> DataFrame:
+    """(a, b) links between sketches of similar sets: tiles of one size class, and of one and the next."""
+    spark = distinct.sparkSession
+    size = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(CLASS_RATIO))).cast("int")
+    classed = distinct.withColumn("c", size)
+    # one row for each class, so its size is that of the logarithm of the longest text
+    parts = {r.c: -(-r.n // tile_rows) for r in classed.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not parts:
+        return spark.createDataFrame([], "a long, b long")
+    known = F.create_map(*(F.lit(x) for c, n in parts.items() for x in (c, n)))
+    own = F.struct(F.col("c").alias("c"), F.pmod(F.xxhash64("node"), F.try_element_at(known, F.col("c"))).cast("int").alias("s"))
+    of = lambda c: F.transform(F.sequence(F.lit(0), F.coalesce(F.try_element_at(known, c), F.lit(0)) - 1), lambda s: F.struct(c.alias("c"), s.cast("int").alias("s")))
+    some = lambda c: F.when(F.try_element_at(known, c).isNotNull(), of(c)).otherwise(F.array().cast("array<struct<c: int, s: int>>"))
+    partners = F.concat(some(F.col("c") - 1), some(F.col("c")), some(F.col("c") + 1))
+    keys = F.transform(partners, lambda p: F.xxhash64(F.least(p, F.col("own")), F.greatest(p, F.col("own"))))
+    dealt = classed.withColumn("own", own).select(F.explode(keys).alias("key"), F.col("c"), "node", "n", "wide")
+    radius = _wide_radius(similarity)
+
+    def compare(node, n, c, wide):
+        import numpy as np
+
+        first = wide[:, 0]
+        pop = np.bitwise_count(first).astype(np.int64)
+        by = np.argsort(pop, kind="stable")
+        node, n, wide, first, pop = node[by], n[by], wide[by], first[by], pop[by]
+        left, right, held = [], [], 0
+        side, across = 512, 4096
+        for lo in range(0, len(node), side):
+            reach = pop[min(lo + side, len(node)) - 1] + FIRST_RADIUS
+            for at in range(lo, len(node), across):
+                if pop[at] > reach:
+                    break
+                near = np.bitwise_count(first[lo : lo + side, None] ^ first[None, at : at + across]) <= FIRST_RADIUS
+                i, j = np.nonzero(near)
+                i, j = i + lo, j + at
+                keep = (i < j) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+                i, j = i[keep], j[keep]
+                for q in range(0, len(i), 100_000):
+                    a, b = i[q : q + 100_000], j[q : q + 100_000]
+                    close = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64) <= radius
+                    left.append(a[close])
+                    right.append(b[close])
+                    held += len(left[-1])
+                if held > 1_000_000:  # what is linked already is kept as a forest, not as pairs
+                    root = local_roots(len(node), np.concatenate(left), np.concatenate(right))
+                    below = np.flatnonzero(root != np.arange(len(node)))
+                    left, right, held = [below], [root[below]], 0
+        if not left:
+            return node[:0], node[:0]
+        root = local_roots(len(node), np.concatenate(left), np.concatenate(right))
+        below = np.flatnonzero(root != np.arange(len(node)))
+        return node[below], node[root[below]]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, key = [], None
+
+        def done():
+            node, n, c, wide = (np.concatenate(x) for x in zip(*held))
+            a, b = compare(node, n, c, wide)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, c, node, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            wide = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u8").reshape(-1, WIDE_WORDS)
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for s, e in zip(cuts, cuts[1:]):
+                if keys[s] != key and held:
+                    yield done()
+                    held = []
+                key = keys[s]
+                held.append((node[s:e], n[s:e], c[s:e], wide[s:e]))
+        if held:
+            yield done()
+
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def deduplicated(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, tile_rows: int = WIDE_TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns: of each group of near-duplicates the one with the smallest id.
+
+    A 64-bit radius that finds 0.8-similar sets takes in unrelated ones too, so rows within
+    FIRST_RADIUS bits are compared again by 1024 bits of the same kind, whose distance tells a
+    Jaccard similarity to within about 0.02. Links chain. The comparisons grow with the square of the
+    distinct texts in a size class, in tiles of independent tasks. A row without an id takes one from its text.
+    """
+    from tabulon.llm.common import stored
+
+    own = docs.columns
+    stand_in = F.lit(-(1 << 63)) + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 1)
+    text = F.col(text_col).cast("string")
+    id0 = F.coalesce(F.col(id_col).cast("long"), stand_in)
+    prints = stored(sketches(docs.select(id0.alias("id0"), text.alias("text")), shingle_words), "sketches")
+    distinct = prints.groupBy("wide", "n").agg(F.min("id0").alias("node"))
+    names = components(_class_links(distinct, similarity, tile_rows), "near")
+    stay = distinct.join(names.filter("node <> root"), "node", "left_anti").select(F.col("node").alias("id0")).distinct()
+    packed = docs.select(id0.alias("id0"), F.struct(*own).alias("row"))
+    left = packed.join(stay, "id0", "left_semi")
+    if prints.count() > prints.select("id0").distinct().count():  # an id stands in several rows
+        left = left.dropDuplicates(["id0"])
+    return left.select("row.*")
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     from tabulon.llm.common import table
 
