@@ -2,10 +2,11 @@
 
 A tokenizer that splits a text into words first and then encodes each word by itself gives a
 text's ids as the concatenation of its words' ids. For the two splitting rules below (that of
-byte-level BPE, and that of lower-cased BPE with word ends) the words of a text over a plain
-Latin alphabet are found here with one regular expression, each new word is encoded once by the
-library, and the ids are joined. Any other text, and any other tokenizer file, goes to the
-library whole. Both ways give the same ids; the tests compare them.
+byte-level BPE, and that of lower-cased BPE with word ends) the words of texts over a plain Latin
+alphabet are found here by byte classes, in numpy, many texts at once. A word is known by a 64-bit
+hash; each new word is encoded once by the library, and ids are gathered from a table. Any other
+text, and any other tokenizer file, goes to the library whole. Both ways give the same ids; the
+tests compare them.
 """
 
 from __future__ import annotations
@@ -15,21 +16,90 @@ import os
 import re
 
 #: Letters of the plain alphabet (Latin-1 and Latin Extended A and B, all of category L,
-#: without the one whose lower case has two characters).
+#: without the one whose lower case has two characters). In UTF-8 all their bytes are 0x80 or more, or ASCII letters.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 PLAIN = re.compile(f"[^\t\n\r\x20-\x7e{LETTERS}]")
-#: The published splitting patterns, with \p{L} as the letters above and \p{N} as the digits.
-ENGLISH = "'s|'t|'re|'ve|'m|'ll|'d"
-BYTE_LEVEL = re.compile(rf"{ENGLISH}| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
-LOWER_WORDS = re.compile(rf"{ENGLISH}|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
+LETTER, DIGIT, OTHER, SPACE = range(4)
 
 _encoders: dict[str, "Encoder"] = {}
 
 
+def _classes():
+    import numpy as np
+
+    out = np.full(256, OTHER, dtype=np.uint8)
+    for lo, hi, kind in ((65, 91, LETTER), (97, 123, LETTER), (128, 256, LETTER), (48, 58, DIGIT)):
+        out[lo:hi] = kind
+    out[[9, 10, 13, 32]] = SPACE
+    return out
+
+
+class WordTable:
+    """64-bit hash -> ids, in flat arrays with open addressing; emptied when two thirds full."""
+
+    def __init__(self, bits: int = 21):
+        import numpy as np
+
+        self.bits = bits
+        self.keys = np.zeros(1 << bits, dtype=np.uint64)
+        self.start = np.zeros(1 << bits, dtype=np.int32)
+        self.length = np.zeros(1 << bits, dtype=np.int32)
+        self.ids = np.zeros(1 << 16, dtype="<u4")
+        self.used = self.words = 0
+
+    def find(self, keys):
+        """Slot of each key, or -1."""
+        import numpy as np
+
+        mask = np.uint64((1 << self.bits) - 1)
+        at = keys >> np.uint64(64 - self.bits)
+        held = self.keys[at]
+        out = np.where(held == keys, at.view(np.int64), -1)
+        open_ = np.flatnonzero((held != keys) & (held != 0))
+        while len(open_):
+            at[open_] = (at[open_] + np.uint64(1)) & mask
+            held = self.keys[at[open_]]
+            hit = held == keys[open_]
+            out[open_[hit]] = at[open_[hit]].view(np.int64)
+            open_ = open_[~hit & (held != 0)]
+        return out
+
+    def room_for(self, n: int) -> bool:
+        return 3 * (self.words + n) <= 2 << self.bits
+
+    def clear(self) -> None:
+        self.keys[:] = 0
+        self.used = self.words = 0
+
+    def add(self, keys, ids: list) -> None:
+        """New, distinct keys with their ids."""
+        import numpy as np
+
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids))
+        total = int(lengths.sum())
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), "<u4", total)
+        starts = (self.used + np.cumsum(lengths) - lengths).astype(np.int32)
+        self.used += total
+        self.words += len(ids)
+        mask = np.uint64((1 << self.bits) - 1)
+        at, left = keys >> np.uint64(64 - self.bits), np.arange(len(keys))
+        while len(left):
+            free = self.keys[at[left]] == 0
+            self.keys[at[left[free]]] = keys[left[free]]
+            placed = self.keys[at[left]] == keys[left]
+            done = left[placed]
+            self.start[at[done]], self.length[at[done]] = starts[done], lengths[done]
+            left = left[~placed]
+            at[left] = (at[left] + np.uint64(1)) & mask
+
+
 class Encoder:
     """encode(texts) -> each text's ids as little-endian unsigned 32-bit integers."""
 
-    MOST_WORDS = 800_000
+    #: Bytes of text handled at once.
+    SLICE = 1 << 18
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,47 +108,133 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.split, self.lower = self._splitting(spec)
-        self.words: dict[str, bytes] = {}
+            self.splits, self.lower = self._splitting(json.load(f))
+        if self.splits:
+            import numpy as np
+
+            from tabulon.llm.repeats import Rolling
+
+            self.table, self.rolling, self.kinds = WordTable(), Rolling(5), _classes()
+            self.tails = [(t, np.frombuffer(t.encode(), np.uint8)) for t in ("s", "t", "m", "d", "re", "ve", "ll")]
 
     @staticmethod
-    def _splitting(spec: dict):
+    def _splitting(spec: dict) -> tuple[bool, bool]:
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True):
-            return BYTE_LEVEL, False
+            return True, False
         steps = [x.get("type") for x in (norm or {}).get("normalizers", [])]
         first = (pre.get("pretokenizers") or [{}])[0]
         if steps == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert"):
-            return LOWER_WORDS, True
-        return None, False
+            return True, True
+        return False, False
 
     def whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word_starts(self, data, kind, first):
+        """Flags of word starts; `first` flags texts' first bytes.
+
+        Byte-level words take one space before them with them, and of white space before a word the last
+        character stands apart; lower-cased ones are letters, one digit, or other marks, and white space is none.
+        """
+        import numpy as np
+
+        before = np.empty_like(kind)
+        before[0], before[1:] = SPACE, kind[:-1]
+        start = (kind != before) | first
+        word = start & (kind != SPACE) & ~first
+        if self.lower:
+            start |= kind == DIGIT
+        else:
+            after_space = np.flatnonzero(word & (before == SPACE))
+            start[after_space - 1] = True
+            start[after_space[data[after_space - 1] == 32]] = False
+        # a lone apostrophe before one of the tails is a word with it
+        n = len(data)
+        marks = np.flatnonzero(data == 39)
+        if len(marks):
+            alone = start[marks] & (marks + 1 < n)
+            marks = marks[alone]
+            marks = marks[(kind[marks + 1] == LETTER) & ~first[marks + 1]]
+            taken = np.zeros(len(marks), dtype=bool)
+            for text, tail in self.tails:
+                end = marks + 1 + len(tail)
+                fits = ~taken & (end <= n)
+                for j, byte in enumerate(tail):
+                    at = np.minimum(marks + 1 + j, n - 1)
+                    fits &= (data[at] == byte) & ~first[at]
+                taken |= fits
+                start[marks[fits] + 1] = False
+                inside = end[fits][end[fits] < n]
+                inside = inside[kind[inside] == LETTER]
+                start[inside] = True
+        return start
+
+    def _slice(self, texts: list[str]) -> list[bytes]:
+        import numpy as np
+
+        parts = [t.encode() for t in texts]
+        sizes = np.array([len(p) for p in parts])
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        if not len(data):
+            return [b""] * len(texts)
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        first = np.zeros(len(data), dtype=bool)
+        first[begins[sizes > 0]] = True
+        kind = self.kinds[data]
+        start = np.flatnonzero(self._word_starts(data, kind, first))
+        stop = np.append(start[1:], len(data))
+        if self.lower:
+            words = kind[start] != SPACE
+            start, stop = start[words], stop[words]
+        if not len(start):
+            return [b""] * len(texts)
+        keys = self.rolling.between(data, start, stop)
+        slots = self.table.find(keys)
+        lost = np.flatnonzero(slots < 0)
+        if len(lost):
+            _, one = np.unique(keys[lost], return_index=True)
+            new = lost[one]
+            if not self.table.room_for(len(new)):
+                self.table.clear()
+                _, new = np.unique(keys, return_index=True)
+            raw = data.tobytes()
+            found = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(start[new].tolist(), stop[new].tolist())], add_special_tokens=False)
+            self.table.add(keys[new], [e.ids for e in found])
+            slots = self.table.find(keys)
+        lengths, offsets = self.table.length[slots], self.table.start[slots]
+        until = np.cumsum(lengths)
+        ids = self.table.ids[np.repeat(offsets - (until - lengths), lengths) + np.arange(int(until[-1]))]
+        at = np.append(0, until)[np.searchsorted(start, np.append(begins, len(data)))].tolist()
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(at, at[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.split is None:
+        if not self.splits:
             return self.whole(texts)
-        if len(self.words) > self.MOST_WORDS:
-            self.words.clear()
-        known, found, rest = self.words, [], []
+        out: list[bytes] = [b""] * len(texts)
+        rest, some, size = [], [], 0
         for i, text in enumerate(texts):
             if PLAIN.search(text):
-                found.append(None)
                 rest.append(i)
-            else:
-                found.append(self.split.findall(text.lower() if self.lower else text))
-        fresh = set().union(*(f for f in found if f)).difference(known)
-        if fresh:
-            fresh = list(fresh)
-            known.update(zip(fresh, self.whole(fresh)))
-        out = [b"" if f is None else b"".join(map(known.__getitem__, f)) for f in found]
+                continue
+            some.append(i)
+            size += len(text)
+            if size > self.SLICE:
+                self._put(out, some, texts)
+                some, size = [], 0
+        self._put(out, some, texts)
         for i, ids in zip(rest, self.whole([texts[i] for i in rest])):
             out[i] = ids
         return out
 
+    def _put(self, out: list[bytes], some: list[int], texts: list[str]) -> None:
+        for i, ids in zip(some, self._slice([texts[i].lower() if self.lower else texts[i] for i in some])):
+            out[i] = ids
+
 
 def encoder(path: str) -> Encoder:
     """One encoder for each file and Python worker; workers outlive tasks, and so do the words they know."""

@@ -77,6 +77,16 @@ class Rolling:
         return (sums[at + width] - sums[at]) * down[at]
 
 
+    def between(self, data, starts, stops):
+        """Mixed hashes of the stretches [starts, stops); never 0."""
+        import numpy as np
+
+        up, down = self._powers(len(data) + 1)
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(self.values[data] * up[:-1], out=sums[1:])
+        return _mixed((sums[stops] - sums[starts]) * down[starts]) | np.uint64(1)
+
+
 def _mixed(x):
     import numpy as np
 
