@@ -48,11 +48,16 @@ class Tree(Fitted):
 
         return walk(0)
 
-    def transform(self, df: DataFrame, name: str = "prediction", unseen=-1, legacy_int: bool = False) -> DataFrame:
-        """Classes: the likeliest, of equals the smallest; regression: the mean, cut to an integer if `legacy_int`."""
+    def transform(self, df: DataFrame, name: str = "prediction", unseen=None, legacy_int: bool = False) -> DataFrame:
+        """Classes: the likeliest, of equals the smallest; regression: the mean, cut to an integer if `legacy_int`.
+
+        A value that learning never met gives `unseen`: unless told, -1 for numeric classes and NULL for others.
+        """
         if not self.classes:
             out = self.expression(lambda n: F.lit(n["out"]).cast("double"))
             return df.withColumn(name, F.floor(out) if legacy_int else out)
+        if unseen is None and isinstance(self.classes[0], (int, float)):
+            unseen = -1
         best = lambda p: unseen if p is None else self.classes[p.index(max(p))]
         return df.withColumn(name, self.expression(lambda n: F.lit(best(n["out"]))))
 

@@ -14,7 +14,7 @@ def histogram(df: DataFrame, c: str, bins: int = 20) -> DataFrame:
     """bin (from 1), n: bins of equal width from the smallest to the largest value, the last one closed; empty ones don't show."""
     held = with_global(df.select(c).dropna(), _lo=F.min(c), _hi=F.max(c))
     place = F.floor((F.col(c) - F.col("_lo")) * bins / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo"))) + 1
-    return held.select(F.coalesce(F.least(place, F.lit(bins)), F.lit(1)).cast("long").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    return held.select(F.least(F.coalesce(place, F.lit(1)), F.lit(bins)).cast("long").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def box_stats(df: DataFrame, group: Sequence[str], c: str) -> DataFrame:
