@@ -46,3 +46,16 @@ def direction_classifier(df: DataFrame, features: Sequence[str], label: str, hid
     net = MultilayerPerceptronClassifier(featuresCol="_v", labelCol=label, layers=[len(features), *hidden, 2], maxIter=rounds, seed=0)
     model = net.fit(_assembled(df, features))
     return lambda rows: model.transform(_assembled(rows, features)).drop("_v", "rawPrediction", "probability")
+
+
+def scored_by(df: DataFrame, predict, cols: Sequence[str], keep: Sequence[str] = (), name: str = "prediction") -> DataFrame:
+    """A column by any model that can be pickled: predict(array of rows x columns) -> array, over Arrow batches."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(name, T.DoubleType())])
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[list(keep)].assign(**{name: predict(pdf[list(cols)].to_numpy(dtype=float))})
+
+    return df.select(*dict.fromkeys([*keep, *cols])).mapInPandas(run, schema)

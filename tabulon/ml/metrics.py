@@ -53,18 +53,24 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return one.select(F.coalesce(F.try_divide(F.col("_ab") - expected, top - expected), F.lit(1.0)).alias("ari"))
 
 
-def silhouette(df: DataFrame, key: str, cols: list[str], cluster: str, most_rows: int = 20_000) -> DataFrame:
-    """key, silhouette: exact, by Euclidean distance; 0 for a cluster of one.
+#: Rows that are sent to every task at once.
+BLOCK = 20_000
 
-    Every row meets every other, so the smaller of two bounds holds: up to `most_rows` rows are broadcast, more are an error
-    (take a sample, and say so in the result's name).
+
+def silhouette(df: DataFrame, key: str, cols: list[str], cluster: str) -> DataFrame:
+    """key, silhouette: exact, by Euclidean distance; 0 for a cluster of one, NULL where there is only one cluster.
+
+    Every row meets every other, so the work grows with the square of the rows. They go out in blocks of about BLOCK rows,
+    and each task adds up a block's distances by row and cluster before anything is moved.
     """
-    if df.limit(most_rows + 1).count() > most_rows:
-        raise ValueError(f"over {most_rows} rows; an exact silhouette needs all pairs")
     a = df.select(F.col(key).alias("_k"), F.col(cluster).alias("_c"), *(F.col(c).alias(f"_a{i}") for i, c in enumerate(cols)))
-    b = df.select(F.col(key).alias("_j"), F.col(cluster).alias("_d"), *(F.col(c).alias(f"_b{i}") for i, c in enumerate(cols)))
+    b = df.select(F.col(cluster).alias("_d"), *(F.col(c).alias(f"_b{i}") for i, c in enumerate(cols)))
     d = F.sqrt(sum((F.pow(F.col(f"_a{i}") - F.col(f"_b{i}"), F.lit(2.0)) for i in range(len(cols))), F.lit(0.0)))
-    sums = a.crossJoin(F.broadcast(b)).groupBy("_k", "_c", "_d").agg(F.sum(d).alias("s"), F.count(F.lit(1)).alias("n"))
+    parts, sums = df.count() // BLOCK + 1, None
+    for i in range(parts):
+        block = a if parts == 1 else a.filter(F.pmod(F.xxhash64("_k"), F.lit(parts)) == i)
+        met = b.crossJoin(F.broadcast(block)).groupBy("_k", "_c", "_d").agg(F.sum(d).alias("s"), F.count(F.lit(1)).alias("n"))
+        sums = met if sums is None else sums.unionByName(met)
     own = F.max(F.when(F.col("_c") == F.col("_d"), F.struct((F.try_divide(F.col("s"), F.col("n") - 1)).alias("m"), F.col("n").alias("n"))))
     out = sums.groupBy("_k").agg(own.alias("own"), F.min(F.when(F.col("_c") != F.col("_d"), F.col("s") / F.col("n"))).alias("b"))
     m = F.col("own.m")

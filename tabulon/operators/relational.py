@@ -173,6 +173,17 @@ def pivoted_once(df: DataFrame, index: str, column: str, values: Sequence, value
     return pivoted(df, index, column, values, F.first(value))
 
 
+def columns_of(df: DataFrame, starts: Sequence[str]) -> list[str]:
+    """Columns by the start of their names, in the order asked for and, within that, of the table."""
+    return list(dict.fromkeys(c for s in starts for c in df.columns if c.startswith(s)))
+
+
+def unpivoted(df: DataFrame, keys: Sequence[str], cols: Sequence[str], name: str = "name", value: str = "value") -> DataFrame:
+    """Long form: one row for each key and column, values as doubles."""
+    rows = F.array(*(F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in cols))
+    return df.select(*keys, F.explode(rows).alias("_r")).select(*keys, f"_r.{name}", f"_r.{value}")
+
+
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     return value_counts(df, [a, b])
 

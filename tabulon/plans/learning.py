@@ -205,6 +205,7 @@ def categorical_nb_predict(t: Tables) -> DataFrame:
 _KNN = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT q.vec_id, t.label, list_distance(q.e, t.e) AS d FROM v q, v t WHERE q.vec_id % 5 = 0 AND t.vec_id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.e, t.e), t.vec_id) <= 5)"""
 
 
+# rows are held out by their id; both parts are whole
 @query(f"{_KNN} SELECT vec_id, label AS prediction, {r6('n / 5.0')} AS probability FROM (SELECT vec_id, label, count(*) AS n FROM d GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label) = 1")
 def knn_classify(t: Tables) -> DataFrame:
     e = t.embeddings
@@ -311,7 +312,7 @@ def kmeans_full(t: Tables) -> DataFrame:
 
 @query()
 def kmeans_best_k(t: Tables) -> DataFrame:
-    df = suppliers(t).filter("s_suppkey < 200")
+    df = suppliers(t)
     best, scores = clusters.best_k(df, "s_suppkey", ["a", "b"], [2, 3, 4], seed=1)
     return df.sparkSession.createDataFrame([(k, s, k == best) for k, s in scores.items()], "k int, silhouette double, best boolean")
 
@@ -337,7 +338,7 @@ def perceptron_direction(t: Tables) -> DataFrame:
     from tabulon.operators.timeseries import sliding_windows
     from tabulon.plans.series import series
 
-    w = sliding_windows(series(t).filter("user_id < 20"), "user_id", "t", ["value"], 5, 1, "value")
+    w = sliding_windows(series(t), "user_id", "t", ["value"], 5, 1, "value")
     flat = w.select("user_id", "start", *(F.get("x", F.lit(i)).alias(f"x{i}") for i in range(5)), (F.get("y", F.lit(0)) > F.get("x", F.lit(4))).cast("double").alias("up"))
     return ensembles.direction_classifier(flat, [f"x{i}" for i in range(5)], "up", (8,), 20)(flat).select("user_id", "start", "up", "prediction")
 
@@ -347,7 +348,6 @@ def horizon_forecast(t: Tables) -> DataFrame:
     from tabulon.operators.timeseries import sliding_windows
     from tabulon.plans.series import series
 
-    s = series(t).filter("user_id < 20")
-    train = sliding_windows(s, "user_id", "t", ["value"], 6, 2, "value")
+    train = sliding_windows(series(t), "user_id", "t", ["value"], 6, 2, "value")
     last = train.groupBy("user_id").agg(F.max_by("x", "start").alias("x"))
     return ensembles.horizon_forecast(train, last, "user_id", "x", "y", 2, "forest", 3, 5)

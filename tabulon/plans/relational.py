@@ -128,12 +128,12 @@ def contains_ratio(t: Tables) -> DataFrame:
 
 @query("SELECT n_name AS source, c_mktsegment AS target, count(*) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
 def sankey_links(t: Tables) -> DataFrame:
-    return plotprep.links(t.customer.join(F.broadcast(t.nation), c("c_nationkey") == c("n_nationkey")), "n_name", "c_mktsegment")
+    return plotprep.links(t.customer.join(t.nation, c("c_nationkey") == c("n_nationkey")), "n_name", "c_mktsegment")
 
 
 @query("SELECT n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def sankey_nodes(t: Tables) -> DataFrame:
-    return plotprep.nodes(t.customer.join(F.broadcast(t.nation), c("c_nationkey") == c("n_nationkey")), "n_name", "c_mktsegment")
+    return plotprep.nodes(t.customer.join(t.nation, c("c_nationkey") == c("n_nationkey")), "n_name", "c_mktsegment")
 
 
 @query(r"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS token FROM documents) WHERE token <> '' GROUP BY 1 ORDER BY n DESC, token LIMIT 50")
@@ -244,19 +244,19 @@ def bounding_box(t: Tables) -> DataFrame:
     return t.supplier.agg(F.min("s_acctbal").alias("lo"), F.max("s_acctbal").alias("hi"), F.count_distinct("s_nationkey").alias("n_nations"), F.bool_or(c("s_acctbal") < 0).alias("any_debt"))
 
 
-@query("""WITH a AS (SELECT user_id, sum(value) v FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id, sum(value) v FROM events WHERE event_type = 'view' AND user_id % 7 <> 0 GROUP BY 1)
+@query("""WITH a AS (SELECT user_id, sum(value) v FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id, sum(value) v FROM events WHERE event_type = 'view' AND value > 90 GROUP BY 1)
 SELECT coalesce(a.user_id, b.user_id) AS user_id, """ + r6("a.v - b.v") + " AS v FROM a FULL JOIN b ON a.user_id = b.user_id")
 def aligned_difference_outer(t: Tables) -> DataFrame:
     of = lambda df: df.groupBy("user_id").agg(F.sum("value").alias("v"))
-    a, b = of(t.events.filter("event_type = 'click'")), of(t.events.filter("event_type = 'view' AND user_id % 7 <> 0"))
+    a, b = of(t.events.filter("event_type = 'click'")), of(t.events.filter("event_type = 'view' AND value > 90"))
     return rel.aligned_difference(a, b, ["user_id"], ["v"]).select("user_id", rounded(c("v")).alias("v"))
 
 
-@query("""WITH a AS (SELECT user_id, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id, count(*) AS views FROM events WHERE event_type = 'view' AND user_id % 5 <> 0 GROUP BY 1), d AS (SELECT user_id, count(*) AS errors FROM events WHERE event_type = 'error' AND user_id % 3 = 0 GROUP BY 1)
+@query("""WITH a AS (SELECT user_id, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id, count(*) AS views FROM events WHERE event_type = 'view' AND value > 60 GROUP BY 1), d AS (SELECT user_id, count(*) AS errors FROM events WHERE event_type = 'error' AND value > 120 GROUP BY 1)
 SELECT coalesce(a.user_id, b.user_id, d.user_id) AS user_id, clicks, views, errors FROM a FULL JOIN b ON a.user_id = b.user_id FULL JOIN d ON coalesce(a.user_id, b.user_id) = d.user_id""")
 def side_by_side_outer(t: Tables) -> DataFrame:
     of = lambda where, name: t.events.filter(where).groupBy("user_id").agg(F.count(F.lit(1)).alias(name))
-    return rel.side_by_side([of("event_type = 'click'", "clicks"), of("event_type = 'view' AND user_id % 5 <> 0", "views"), of("event_type = 'error' AND user_id % 3 = 0", "errors")], ["user_id"])
+    return rel.side_by_side([of("event_type = 'click'", "clicks"), of("event_type = 'view' AND value > 60", "views"), of("event_type = 'error' AND value > 120", "errors")], ["user_id"])
 
 
 @query("SELECT s_suppkey AS key, s_name AS name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer")
@@ -267,3 +267,25 @@ def union_all(t: Tables) -> DataFrame:
 @query("SELECT c_custkey FROM customer ANTI JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 250000) o ON c_custkey = o_custkey")
 def membership_anti(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey").join(t.orders.filter("o_totalprice > 250000").select(c("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query("SELECT p_brand, max_by(p_partkey, p_retailprice * 1000000 + p_partkey) AS dearest, min_by(p_partkey, p_retailprice * 1000000 + p_partkey) AS cheapest FROM part GROUP BY 1")
+def extreme_rows(t: Tables) -> DataFrame:
+    order = c("p_retailprice") * 1000000 + c("p_partkey")  # of equal prices the later part
+    return t.part.groupBy("p_brand").agg(F.max_by("p_partkey", order).alias("dearest"), F.min_by("p_partkey", order).alias("cheapest"))
+
+
+@query("SELECT p_partkey, 'p_size' AS name, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part")
+def unpivot_long(t: Tables) -> DataFrame:
+    return rel.unpivoted(t.part, ["p_partkey"], rel.columns_of(t.part, ["p_size", "p_retail"]))
+
+
+@query(f"SELECT s_suppkey, {r6('round_even(s_acctbal / 20, 2)')} AS radar FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 10")
+def radar_top10(t: Tables) -> DataFrame:
+    top = rel.top_k(t.supplier, ["-s_acctbal", "s_suppkey"], 10)
+    return top.select("s_suppkey", rounded(F.bround(c("s_acctbal") / 20, 2)).alias("radar"))
+
+
+@query()
+def permuted_rows(t: Tables) -> DataFrame:
+    return rel.permuted(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey", 5)

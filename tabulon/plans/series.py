@@ -101,9 +101,9 @@ def moving_average(t: Tables) -> DataFrame:
     return ts.moving_mean(series(t), "user_id", "t", "value", 2).select("user_id", "t", rounded(c("smooth")).alias("smooth"))
 
 
-@query(f"WITH {S} SELECT user_id, t * 6 + i AS t, value FROM s, range(0, 6) g(i) WHERE t < 5")
+@query(f"WITH {S} SELECT user_id, t * 6 + i AS t, value FROM s, range(0, 6) g(i)")
 def hold_upsample(t: Tables) -> DataFrame:
-    return ts.held(series(t).filter("t < 5"), "user_id", "t", ["value"], 6)
+    return ts.held(series(t), "user_id", "t", ["value"], 6)
 
 
 @query(f"WITH {S} SELECT user_id, t, value FROM s WHERE v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t DESC) <= 7")
@@ -118,10 +118,10 @@ def decoder_seed(t: Tables) -> DataFrame:
     return out.select("user_id", F.array_join(F.transform("seed", lambda x: x.cast("string")), "|").alias("seed"), "last_value")
 
 
-@query(f"WITH {S} SELECT user_id, t, coalesce(v, 0) AS v, v AS raw_v FROM s WHERE user_id = 7")
+@query(f"WITH {S} SELECT user_id, t, coalesce(v, 0) AS v, v AS raw_v FROM s")
 def unit_series(t: Tables) -> DataFrame:
     e = rel.null_where(t.events.withColumn("v", c("value")), [("v", c("v") > 60)])
-    return files.unit_series(e, "user_id", ["ts", "event_id"], ["v"], 7)
+    return files.unit_series(e, "user_id", ["ts", "event_id"], ["v"])
 
 
 _X = "x AS (SELECT s_suppkey, (s_acctbal - min(s_acctbal) OVER ()) / (max(s_acctbal) OVER () - min(s_acctbal) OVER ()) AS a, (s_nationkey - min(s_nationkey) OVER ())::DOUBLE / (max(s_nationkey) OVER () - min(s_nationkey) OVER ()) AS b FROM supplier)"
