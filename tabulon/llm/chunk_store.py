@@ -1,7 +1,8 @@
 """Content-addressed store of token ids.
 
 Layout of a store at `path`:
-  raw/kind=chunk/  hash, n, payload   each distinct chunk once; payload holds the ids little-endian, 2 or 4 bytes each
+  chunks/    hash, n, payload   each distinct chunk once; payload holds the ids little-endian, 2 or 4 bytes each
+             (and, with no hash, the recipes in the order they were made)
   recipes/   part, place, doc_id, start, n_tokens, hashes, lengths   documents in ascending doc_id order
   manifest/  part, n_docs, n_tokens, root   a Merkle root over the recipes of each part
 A rolling hash over the last 16 ids cuts each document's ids where its low bits are zero, so equal
@@ -121,7 +122,7 @@ def _first_of_each(staged: DataFrame) -> DataFrame:
                     met.add(digest)
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep, pa.bool_())).columns, batch.schema.names)
 
-    key = F.coalesce(F.xxhash64("hash"), F.xxhash64("doc_id", "hashes"))
+    key = F.when(F.col("hash").isNull(), F.xxhash64("doc_id", "hashes")).otherwise(F.xxhash64("hash"))
     return staged.repartition(key).mapInArrow(run, STAGED)
 
 
@@ -183,13 +184,13 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
     from tabulon.llm.common import drop_path, release_shuffles
 
     spark = docs.sparkSession
-    first = _first_of_each(stage(docs, tokenizer_path, end_id, width, id_col, text_col)).withColumn("kind", F.when(F.col("hash").isNull(), "recipe").otherwise("chunk"))
-    first.write.partitionBy("kind").option("compression", "zstd").mode("overwrite").parquet(f"{path}/raw")
+    first = _first_of_each(stage(docs, tokenizer_path, end_id, width, id_col, text_col))
+    first.write.option("compression", "zstd").mode("overwrite").parquet(f"{path}/chunks")
     del first
     release_shuffles(spark)
-    raw = spark.read.schema(STAGED + ", kind string").parquet(f"{path}/raw")
+    raw = spark.read.schema(STAGED).parquet(f"{path}/chunks")
     ordered = (
-        raw.filter("kind = 'recipe'")
+        raw.filter("hash IS NULL")
         .select("doc_id", "hashes", "lengths", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens"))
         .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("hashes"))
         .withColumn("part", F.spark_partition_id().cast("long"))
@@ -213,7 +214,6 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
     recipes.sortWithinPartitions("part", "place").write.option("compression", "zstd").mode("overwrite").parquet(f"{path}/recipes")
     roots(read_recipes(spark, path)).write.mode("overwrite").parquet(f"{path}/manifest")
     drop_path(spark, f"{path}/sorting")
-    drop_path(spark, f"{path}/raw/kind=recipe")
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -221,7 +221,7 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("hash binary, n int, payload binary").parquet(f"{path}/raw/kind=chunk")
+    return spark.read.schema(STAGED).parquet(f"{path}/chunks").filter("hash IS NOT NULL").select("hash", "n", "payload")
 
 
 def verify(spark: SparkSession, path: str) -> None:
