@@ -276,36 +276,44 @@ def _contexts(keyed: DataFrame, needed: DataFrame, length: int, hot_contexts: in
     return once.join(by_doc.hint("shuffle_hash"), ["doc0", "th"]).select("doc0", "th", "text", "wanted").mapInArrow(run, ROUTED)
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_contexts: int = HOT_CONTEXTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, list[str]]:
-    """The documents with their keys, the runs (doc0, th, lo, hi) of repeated windows, and the paths of tables to drop when done."""
+def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_contexts: int = HOT_CONTEXTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The documents with their keys, and the runs (doc0, th, lo, hi) of repeated windows."""
     from tabulon.llm.common import drop_path, new_path, release_shuffles, stored
 
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc0"), F.xxhash64("text").alias("th"), "text")
-    paths = [new_path(spark, n) for n in ("anchors", "shared", "certain", "edges")]
-    every = stored(anchors(keyed.select("doc0", "th", "text"), length, anchor), "anchors", paths[0])
-    seen_twice = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    shared = stored(every.join(seen_twice, "h", "left_semi"), "shared", paths[1])
+    made: list[str] = []
+
+    def kept(df, name):
+        # written, so that the joins below deal both sides anew and Spark can split a hot key's rows
+        made.append(new_path(spark, name))
+        return stored(df, name, made[-1])
+
+    every = kept(anchors(keyed.select("doc0", "th", "text"), length, anchor), "anchors")
+    seen_twice = kept(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "twice")
+    shared = kept(every.join(seen_twice, "h", "left_semi"), "shared")
     del every, seen_twice
-    drop_path(spark, paths[0])
+    for path in made[:2]:
+        drop_path(spark, path)
     release_shuffles(spark)
     one = F.min(F.struct("doc0", "th", "a", "s1", "s2")).alias("one")
-    by_context = shared.groupBy("h", "context").agg(F.count(F.lit(1)).alias("n"), one)
+    by_context = kept(shared.groupBy("h", "context").agg(F.count(F.lit(1)).alias("n"), one), "contexts")
     whole = shared.join(by_context.filter("n > 1").select("h", "context"), ["h", "context"], "left_semi")
-    certain = stored(whole.select("doc0", "th", F.col("s1").alias("lo"), F.col("s2").alias("hi")), "certain", paths[2])
-    contexts = by_context.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    needed = by_context.join(contexts, "h").select("h", "k", "one.*")
-    edges = stored(_resolve(_contexts(keyed, needed, length, hot_contexts), length), "edges", paths[3])
-    del by_context, whole, contexts, needed
-    drop_path(spark, paths[1])
+    certain = kept(whole.select("doc0", "th", F.col("s1").alias("lo"), F.col("s2").alias("hi")), "certain")
+    mixed = kept(by_context.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "mixed")
+    needed = by_context.join(mixed, "h").select("h", "k", "one.*")
+    edges = kept(_resolve(_contexts(keyed, needed, length, hot_contexts), length), "edges")
+    del by_context, whole, mixed, needed, shared
+    for path in (made[2], made[3], made[5]):
+        drop_path(spark, path)
     release_shuffles(spark)
-    return keyed, certain.unionByName(edges), paths[2:]
+    return keyed, certain.unionByName(edges)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_contexts: int = HOT_CONTEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes that stay (`kept`)."""
-    keyed, runs, _ = repeated_runs(docs, length, anchor, hot_contexts, id_col, text_col)
+    keyed, runs = repeated_runs(docs, length, anchor, hot_contexts, id_col, text_col)
 
     def cut(batches):
         import numpy as np
