@@ -1,51 +1,17 @@
-"""Reading tables, and writing intermediate tables where every executor can see them."""
+"""Reading tables, and the split of labelled rows; intermediate tables are those of tabulon.storage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.storage import drop_path, new_path, release_shuffles, shared_dir, stored
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tabulon-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tabulon/{name}-{uuid.uuid4().hex}"
+__all__ = ["crc_bucket", "drop_path", "new_path", "release_shuffles", "shared_dir", "stored", "table"]
 
 
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Cuts the lineage: df written as a table in the shared folder and read back."""
-    spark = df.sparkSession
-    path = path or new_path(spark, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Asks the driver's JVM to collect, so that shuffle files of finished stages are deleted from the executors' disks."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def crc_bucket(doc_id: str, modulus: int):

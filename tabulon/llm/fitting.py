@@ -13,9 +13,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, most_
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y")).filter(train)
     n = known.count()
-    if n > most_rows:
+    if n > most_rows:  # twice as many or more in the sample is beyond any chance
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most_rows / n * (1 << 30)))
-    return docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    # a few thousand ids, as counted, go to the documents; the documents stay where they are
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
 
 
 def fitted(sample: DataFrame, features, fit):

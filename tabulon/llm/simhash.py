@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.llm.common import stored
 from tabulon.llm.components import components, local_roots
 
 TILE_ROWS = 4096
@@ -204,8 +205,6 @@ def links(distinct: DataFrame, radius: int, tile_rows: int = TILE_ROWS) -> DataF
 
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle_words: int = 3, tile_rows: int = TILE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: documents whose fingerprints are joined by steps of at most `radius` bits."""
-    from tabulon.llm.common import stored
-
     prints = stored(fingerprints(docs, shingle_words, id_col, text_col), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit((1 << 63) - 1)).alias("node"))
     names = components(links(distinct, radius, tile_rows), "simhash")
@@ -216,7 +215,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle_words: int = 3, ti
 # Near-duplicates by similarity of shingle sets.
 
 #: 64-bit words of the wide sketch, the radius of the first comparison, and the rows of a tile there.
-WIDE_WORDS, FIRST_RADIUS, WIDE_TILE = 16, 16, 16_384
+WIDE_WORDS, FIRST_RADIUS, WIDE_TILE = 16, 18, 16_384
 #: Sets whose sizes are within the similarity are in the same class or the next one.
 CLASS_RATIO = 1.25
 
@@ -248,24 +247,57 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
     return docs.mapInArrow(run, "id0 long, n long, wide binary")
 
 
-def _wide_radius(similarity: float) -> int:
-    """Differing bits of the wide sketch up to which two sets count as similar: the expected number at that similarity and one deviation."""
+def _wide_radii(similarity: float, deviations: float = 2.5) -> tuple[int, int]:
+    """Differing bits of the wide sketch: up to the first, sets are surely as similar; beyond the second, surely not."""
     import math
 
     bits = 64 * WIDE_WORDS
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+    spread = deviations * math.sqrt(bits * p * (1 - p))
+    return int(bits * p - spread), int(bits * p + spread) + 1
+
+
+def _forest(root, left, right, distance):
+    """Of open links the ones that a shortest spanning forest over the roots needs (indices into them)."""
+    import numpy as np
+
+    a, b = np.minimum(root[left], root[right]), np.maximum(root[left], root[right])
+    order = np.lexsort((distance, b, a))
+    order = order[a[order] != b[order]]
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    order = order[first]
+    order = order[np.argsort(distance[order], kind="stable")]
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    kept = []
+    for k in order.tolist():
+        x, y = top(int(a[k])), top(int(b[k]))
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            kept.append(k)
+    return np.array(kept, dtype=np.int64)
 
 
 def _class_links(distinct: DataFrame, similarity: float, tile_rows: int) -> DataFrame:
-    """(a, b) links between sketches of similar sets: tiles of one size class, and of one and the next."""
+    """(a, b, sure) links between sketches of similar sets: tiles of one size class, and of one and the next.
+
+    Sure links of a tile come as each row's smallest member; those that the sketches leave open, as a shortest spanning
+    forest between what sure links join. Neither is ever more than the rows of the tile.
+    """
     spark = distinct.sparkSession
     size = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(CLASS_RATIO))).cast("int")
     classed = distinct.withColumn("c", size)
     # one row for each class, so its size is that of the logarithm of the longest text
     parts = {r.c: -(-r.n // tile_rows) for r in classed.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not parts:
-        return spark.createDataFrame([], "a long, b long")
+        return spark.createDataFrame([], "a long, b long, sure boolean")
     known = F.create_map(*(F.lit(x) for c, n in parts.items() for x in (c, n)))
     own = F.struct(F.col("c").alias("c"), F.pmod(F.xxhash64("node"), F.try_element_at(known, F.col("c"))).cast("int").alias("s"))
     of = lambda c: F.transform(F.sequence(F.lit(0), F.coalesce(F.try_element_at(known, c), F.lit(0)) - 1), lambda s: F.struct(c.alias("c"), s.cast("int").alias("s")))
@@ -273,7 +305,7 @@ def _class_links(distinct: DataFrame, similarity: float, tile_rows: int) -> Data
     partners = F.concat(some(F.col("c") - 1), some(F.col("c")), some(F.col("c") + 1))
     keys = F.transform(partners, lambda p: F.xxhash64(F.least(p, F.col("own")), F.greatest(p, F.col("own"))))
     dealt = classed.withColumn("own", own).select(F.explode(keys).alias("key"), F.col("c"), "node", "n", "wide")
-    radius = _wide_radius(similarity)
+    near_enough, too_far = _wide_radii(similarity)
 
     def compare(node, n, c, wide):
         import numpy as np
@@ -282,8 +314,20 @@ def _class_links(distinct: DataFrame, similarity: float, tile_rows: int) -> Data
         pop = np.bitwise_count(first).astype(np.int64)
         by = np.argsort(pop, kind="stable")
         node, n, wide, first, pop = node[by], n[by], wide[by], first[by], pop[by]
-        left, right, held = [], [], 0
-        side, across = 512, 4096
+        none = np.zeros(0, dtype=np.int64)
+        sure = [(none, none)]
+        open_ = [(none, none, none)]
+        side, across, held = 512, 4096, 0
+
+        def settled():
+            """Both kinds of links so far, as few as say the same."""
+            i, j = (np.concatenate(x) for x in zip(*sure))
+            root = local_roots(len(node), i, j)
+            below = np.flatnonzero(root != np.arange(len(node)))
+            i, j, d = (np.concatenate(x) for x in zip(*open_))
+            k = _forest(root, i, j, d)
+            return (below, root[below]), (i[k], j[k], d[k])
+
         for lo in range(0, len(node), side):
             reach = pop[min(lo + side, len(node)) - 1] + FIRST_RADIUS
             for at in range(lo, len(node), across):
@@ -296,19 +340,16 @@ def _class_links(distinct: DataFrame, similarity: float, tile_rows: int) -> Data
                 i, j = i[keep], j[keep]
                 for q in range(0, len(i), 100_000):
                     a, b = i[q : q + 100_000], j[q : q + 100_000]
-                    close = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64) <= radius
-                    left.append(a[close])
-                    right.append(b[close])
-                    held += len(left[-1])
-                if held > 1_000_000:  # what is linked already is kept as a forest, not as pairs
-                    root = local_roots(len(node), np.concatenate(left), np.concatenate(right))
-                    below = np.flatnonzero(root != np.arange(len(node)))
-                    left, right, held = [below], [root[below]], 0
-        if not left:
-            return node[:0], node[:0]
-        root = local_roots(len(node), np.concatenate(left), np.concatenate(right))
-        below = np.flatnonzero(root != np.arange(len(node)))
-        return node[below], node[root[below]]
+                    d = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64)
+                    close, unclear = d <= near_enough, (d > near_enough) & (d <= too_far)
+                    sure.append((a[close], b[close]))
+                    open_.append((a[unclear], b[unclear], d[unclear]))
+                    held += int(close.sum() + unclear.sum())
+                if held > 1_000_000:
+                    x, y = settled()
+                    sure, open_, held = [x], [y], 0
+        (i, j), (x, y, _) = settled()
+        return np.concatenate((node[i], node[x])), np.concatenate((node[j], node[y])), np.arange(len(i) + len(x)) < len(i)
 
     def run(batches):
         import numpy as np
@@ -318,8 +359,7 @@ def _class_links(distinct: DataFrame, similarity: float, tile_rows: int) -> Data
 
         def done():
             node, n, c, wide = (np.concatenate(x) for x in zip(*held))
-            a, b = compare(node, n, c, wide)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in compare(node, n, c, wide)], ["a", "b", "sure"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -336,26 +376,53 @@ def _class_links(distinct: DataFrame, similarity: float, tile_rows: int) -> Data
         if held:
             yield done()
 
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, sure boolean")
+
+
+def _similar(links: DataFrame, texts: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
+    """The links (a, b) whose texts (id0, text) have shingle sets of at least that Jaccard similarity."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = []
+            for column in (2, 3):
+                hashes, counts = shingle_hashes(batch.column(column).to_pylist(), shingle_words)
+                sets.append(np.split(hashes, np.cumsum(counts)[:-1]) if len(counts) else [])
+            keep = []
+            for x, y in zip(*sets):
+                x, y = np.unique(x), np.unique(y)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    pairs = links.select("a", "b").distinct()
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id0")).distinct()
+    held = stored(texts.join(asked, "id0", "left_semi"), "unclear")
+    of = lambda name: held.select(F.col("id0").alias(name), F.col("text").alias(f"text_{name}"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
+    return met.mapInArrow(run, "a long, b long")
 
 
 def deduplicated(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, tile_rows: int = WIDE_TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns: of each group of near-duplicates the one with the smallest id.
 
-    A 64-bit radius that finds 0.8-similar sets takes in unrelated ones too, so rows within
-    FIRST_RADIUS bits are compared again by 1024 bits of the same kind, whose distance tells a
-    Jaccard similarity to within about 0.02. Links chain. The comparisons grow with the square of the
-    distinct texts in a size class, in tiles of independent tasks. A row without an id takes one from its text.
+    A 64-bit radius that finds 0.8-similar sets takes in unrelated ones too, so rows within FIRST_RADIUS bits are compared
+    again by 1024 bits of the same kind. Where their distance leaves the similarity open, the texts' sets are compared.
+    Links chain. The comparisons grow with the square of the distinct texts in a size class, in tiles of independent
+    tasks. A row without an id takes one from its text.
     """
-    from tabulon.llm.common import stored
-
     own = docs.columns
     stand_in = F.lit(-(1 << 63)) + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 1)
     text = F.col(text_col).cast("string")
     id0 = F.coalesce(F.col(id_col).cast("long"), stand_in)
     prints = stored(sketches(docs.select(id0.alias("id0"), text.alias("text")), shingle_words), "sketches")
     distinct = prints.groupBy("wide", "n").agg(F.min("id0").alias("node"))
-    names = components(_class_links(distinct, similarity, tile_rows), "near")
+    links = stored(_class_links(distinct, similarity, tile_rows), "links")
+    found = _similar(links.filter("NOT sure"), docs.select(id0.alias("id0"), text.alias("text")), similarity, shingle_words)
+    names = components(links.filter("sure").select("a", "b").unionByName(found), "near")
     stay = distinct.join(names.filter("node <> root"), "node", "left_anti").select(F.col("node").alias("id0")).distinct()
     packed = docs.select(id0.alias("id0"), F.struct(*own).alias("row"))
     left = packed.join(stay, "id0", "left_semi")
