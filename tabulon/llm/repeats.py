@@ -16,7 +16,8 @@ strings are found among the few suffixes that start with the same anchor string.
    like size merge. Suffixes are ordered by a 128-bit fingerprint of their first `length` bytes,
    which keeps equal ones adjacent; nothing is emitted twice, and no pairs are made.
 An h with more contexts than `hot_contexts` is dealt out further: its windows go in groups of
-`BUCKET` offsets, each to the task of the hash of the bytes that all windows of the group share.
+`BUCKET` offsets, each to the task of the hash of the bytes that all windows of the group share, and
+of groups with equal bytes, counted before they are moved, one goes and the rest is marked at once.
 
 Defined cases: a null text is empty; texts shorter than `length` are kept whole; repeated rows
 repeat each other; overlapping matches count as one run; null ids are carried; further columns are
@@ -31,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, ANCHOR = 400, 100
-HOT_CONTEXTS = 20_000
+HOT_CONTEXTS = 500
 BUCKET = 25
 PIECE = 1 << 22
 NO_ID = -(1 << 63)
 ANCHORS = "doc0 long, th long, h long, context long, a int, s1 int, s2 int"
-ROUTED = "route long, doc0 long, th long, s1 int, body binary"
+ROUTED = "route long, doc0 long, th long, s1 int, body binary, hot boolean"
 RUNS = "doc0 long, th long, lo int, hi int"
 
 
@@ -247,7 +248,7 @@ def _contexts(keyed: DataFrame, needed: DataFrame, length: int, hot_contexts: in
     def run(batches):
         import pyarrow as pa
 
-        names, kinds = ["route", "doc0", "th", "s1", "body"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names, kinds = ["route", "doc0", "th", "s1", "body", "hot"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
         for batch in batches:
             cols: list[list] = [[] for _ in names]
 
@@ -259,12 +260,12 @@ def _contexts(keyed: DataFrame, needed: DataFrame, length: int, hot_contexts: in
                 for x in wanted:
                     h, a, s1, s2 = x["h"], x["a"], x["s1"], x["s2"]
                     if x["k"] <= hot_contexts:
-                        put(h, doc, th, s1, text[s1 : s2 + length])
+                        put(h, doc, th, s1, text[s1 : s2 + length], False)
                         continue
                     for q in range((a - s2) // BUCKET, (a - s1) // BUCKET + 1):
                         shared = text[a - BUCKET * q : a - BUCKET * (q + 1) + 1 + length]
                         first, last = max(s1, a - BUCKET * (q + 1) + 1), min(s2, a - BUCKET * q)
-                        put(_short(q.to_bytes(4, "little") + shared), doc, th, first, text[first : last + length])
+                        put(_short(q.to_bytes(4, "little") + shared), doc, th, first, text[first : last + length], True)
                 if len(cols[0]) > 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
                     cols[:] = [[] for _ in names]
@@ -303,12 +304,18 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, h
     certain = kept(whole.select("doc0", "th", F.col("s1").alias("lo"), F.col("s2").alias("hi")), "certain")
     mixed = kept(by_context.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "mixed")
     needed = by_context.join(mixed, "h").select("h", "k", "one.*")
-    edges = kept(_resolve(_contexts(keyed, needed, length, hot_contexts), length), "edges")
-    del by_context, whole, mixed, needed, shared
-    for path in (made[2], made[3], made[5]):
-        drop_path(spark, path)
+    routed = kept(_contexts(keyed, needed, length, hot_contexts), "routed")
+    hot = routed.filter("hot")
+    alike = kept(hot.groupBy("route", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc0", "th", "s1")).alias("one")), "alike")
+    told = hot.join(alike.filter("n > 1").select("route", "body"), ["route", "body"], "left_semi")
+    certain_too = kept(told.select("doc0", "th", F.col("s1").alias("lo"), (F.col("s1") + F.octet_length("body") - length).cast("int").alias("hi")), "certain")
+    rest = routed.filter("NOT hot").select("route", "doc0", "th", "s1", "body").unionByName(alike.select("route", "one.doc0", "one.th", "one.s1", "body"))
+    edges = kept(_resolve(rest, length), "edges")
+    del by_context, whole, mixed, needed, shared, routed, hot, alike, told, rest
+    for i in (2, 3, 5, 6, 7):
+        drop_path(spark, made[i])
     release_shuffles(spark)
-    return keyed, certain.unionByName(edges)
+    return keyed, certain.unionByName(certain_too).unionByName(edges)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_contexts: int = HOT_CONTEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
