@@ -6,6 +6,7 @@ n-gram, so an item that leaked into very many documents keeps its seeds, and sto
 count. The second pass looks the seeds up in every whole document; around the places where an item's
 seeds stand, its words are aligned locally (match 1, mismatch and gap -1), and the score is the
 alignment's divided by the item's number of words. 1 is a verbatim copy; one edit in five leaves 0.6.
+From THRESHOLD on, and with LEAST_WORDS or the whole item, it counts as a match.
 
 Both passes look n-grams up in a table of the benchmark's, which is sent out only up to
 MOST_WORDS benchmark words; a larger benchmark is taken in slices of that size, each with its two
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 N = 3
 RARE_TIMES = 4
-THRESHOLD = 0.5
+THRESHOLD = 0.4
+#: Alignments of fewer words than this count only where they hold the whole item.
+LEAST_WORDS = 6
 MOST_WORDS = 2_000_000
 WORD = re.compile(r"\w+")
 MATCHES = "doc_id long, item_id long, score double, n_seeds long, start_word long, end_word long"
@@ -121,7 +124,7 @@ class Benchmark:
                 score, s, e = local_alignment(item, numbers[a:b])
                 if best is None or score > best[0]:
                     best = (score, a + s, a + e)
-            if best and best[0] / m >= threshold:
+            if best and best[0] >= max(threshold * m, min(m, LEAST_WORDS)):
                 out.append((item_id, best[0] / m, len(starts), best[1], best[2]))
         return out
 

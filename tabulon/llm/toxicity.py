@@ -1,7 +1,8 @@
 """Toxicity by character n-grams: a linear classifier over features scaled by naive Bayes log-count ratios.
 
-A text's features are the n-grams (3 to 5 bytes of UTF-8, lower-cased, with the word's borders) of its
-distinct words, present or not. Each is scaled by the log of the ratio of its smoothed frequencies
+A text's features are the n-grams (3 to 6 characters, lower-cased, with the word's borders, and the
+word itself) of its distinct words, present or not, and whether they stand in two or in three of
+them. Each is scaled by the log of the ratio of its smoothed frequencies
 in toxic and other texts, and a logistic regression is fitted on the scaled features by AdaGrad.
 
 Defined cases: a null or empty text has the intercept alone; repeated rows and long texts are
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 #: At most about so many labelled rows are learned from.
 MOST_ROWS = 8000
 BITS = 20
-LENGTHS = (3, 4, 5)
+LENGTHS = (3, 4, 5, 6)
 #: An n-gram of fewer learned texts than this has ratio 0.
 LEAST_TEXTS = 3
+#: An n-gram whose ratio is nearer to 0 says too little; it has ratio 0.
+LEAST_RATIO = 1.5
 #: The length of a text's scaled vector.
 SCALE = 8.0
 WORDS = re.compile(r"\w+")
@@ -33,17 +36,31 @@ def _grams(word: str):
 
     import numpy as np
 
-    marked = f"<{word}>".encode("utf-8", "surrogatepass")
-    grams = [marked[i : i + n] for n in LENGTHS for i in range(len(marked) - n + 1)] or [marked]
+    marked = f"<{word}>"
+    try:  # one byte a character where that is possible
+        marked = marked.encode("latin-1")
+    except UnicodeEncodeError:
+        marked = marked.encode("utf-8", "surrogatepass")
+    grams = {marked, *[marked[i : i + n] for n in LENGTHS for i in range(len(marked) - n + 1)]}
     h = np.fromiter(map(zlib.crc32, grams), np.uint32, len(grams))
     return (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
 
 
+#: Odd factors that name the features of n-grams in two and in three words.
+_STEP = {2: 0x9E3779B1, 3: 0x85EBCA77}
+
+
 class Grams:
-    """A text's distinct n-grams, ascending; `used` (a mask) leaves out those that have no say. Words' n-grams are kept between texts."""
+    """A text's features; `used` (a mask) leaves out n-grams that have no say. Words' n-grams are kept between texts."""
 
     def __init__(self, used=None):
-        self.used, self.known = used, {}
+        self.used, self.exact, self.known = used, used, {}
+        if used is not None:
+            import numpy as np
+
+            at = np.arange(1 << BITS, dtype=np.uint32)
+            mask = np.uint32((1 << BITS) - 1)
+            self.used = used | used[(at * np.uint32(_STEP[2])) & mask] | used[(at * np.uint32(_STEP[3])) & mask]
 
     def __call__(self, text: str):
         import numpy as np
@@ -58,14 +75,19 @@ class Grams:
                 if self.used is not None:
                     g = g[self.used[g]]
                 self.known[w] = g
-            parts.append(g)
+            if len(g):
+                parts.append(g)
         if not parts:
             return np.zeros(0, np.uint32)
         seen = np.concatenate(parts)
         seen.sort()
         first = np.ones(len(seen), bool)
         np.not_equal(seen[1:], seen[:-1], out=first[1:])
-        return seen[first]
+        places = np.flatnonzero(first)
+        at, words = seen[places], np.diff(np.append(places, len(seen)))
+        # an n-gram of several distinct words is also a feature of its own for two, and for three or more
+        out = np.concatenate([at, *((at[words >= k] * np.uint32(_STEP[k])) & np.uint32((1 << BITS) - 1) for k in (2, 3))])
+        return out if self.exact is None else out[self.exact[out]]
 
 
 _all = Grams()
@@ -91,7 +113,7 @@ def fit_scaled(data, y, smoothing: float = 1.0, rate: float = 0.1, l2: float = 1
         counts[int(target > 0.5), i] += 1
     n = np.array([(y <= 0.5).sum(), (y > 0.5).sum()]) + 2 * smoothing
     ratio = np.log((counts[1] + smoothing) / n[1]) - np.log((counts[0] + smoothing) / n[0])
-    ratio[counts.sum(axis=0) < LEAST_TEXTS] = 0
+    ratio[(counts.sum(axis=0) < LEAST_TEXTS) | (np.abs(ratio) < LEAST_RATIO)] = 0
     used = np.flatnonzero(ratio)
     place = np.full(size, -1)
     place[used] = np.arange(len(used))

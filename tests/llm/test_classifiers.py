@@ -72,3 +72,22 @@ def test_features():
     i, x = quality.features("a b a b !! B9 9")
     assert i[0] == 0 and (np.diff(i) > 0).all() and abs((x[1:] ** 2).sum() - 1) < 1e-9
     assert quality.features("")[0].tolist() == [0] and len(toxicity.features("")[0]) == 0
+
+
+def test_several_words_of_one_stem_count():
+    rng = random.Random(4)
+    ends = ["ab", "en", "or", "ul", "is", "am", "et", "yx"]
+    word = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 7)))
+    texts, y = [], []
+    for i in range(400):
+        words = [word() for _ in range(60)]
+        toxic = i % 4 == 0
+        if toxic or i % 4 == 1:  # others hold one word of the stem
+            for end in rng.sample(ends, 3 if toxic else 1):
+                words[rng.randrange(60)] = "grobz" + end
+        texts.append(" ".join(words))
+        y.append(float(toxic))
+    rows = [toxicity.features(t) for t in texts]
+    model = toxicity.fit_scaled(rows[:300], np.array(y[:300]))
+    p = np.array([toxicity.probability(toxicity.Grams(model["r"] != 0)(t), model) for t in texts[300:]])
+    assert ((p > 0.5) == (np.array(y[300:]) > 0.5)).mean() > 0.95
