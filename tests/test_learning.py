@@ -251,3 +251,19 @@ def test_grid(spark):
     s = selection.GridSearchCV(lambda d, alpha: linear.ridge(d, ["x"], "y", alpha), [{"alpha": [100.0, 0.0]}, {"alpha": [0.0]}], lambda m, d: m.score(d, "y"), 4).fit(df, ["k"])
     assert s.best_param == {"alpha": 0.0} and s.best_score == pytest.approx(1) and len(s.scores) == 3 and s.score(df) == pytest.approx(1)
     assert math.isfinite(s.scores[0][1])
+
+
+def test_any_model_scores_rows(spark):
+    from tabulon.ml.ensembles import scored_by
+
+    df = one(spark, [(1, 2.0, 3.0), (2, 0.0, 1.0)], "k int, a double, b double")
+    assert {tuple(r) for r in scored_by(df, lambda x: x.sum(axis=1), ["a", "b"], ["k"]).collect()} == {(1, 5.0), (2, 1.0)}
+
+
+def test_boosted_and_perceptron(spark):
+    from tabulon.ml import ensembles
+
+    rng = random.Random(2)
+    df = one(spark, [(x := rng.random(), rng.random(), float(x > 0.5), x * 2) for _ in range(200)], "a double, b double, c double, y double")
+    assert ensembles.boosted_regressor(df, ["a", "b"], "y", 5, 3)(df).agg(metrics.r2_score("y", "prediction")).first()[0] > 0.9
+    assert ensembles.direction_classifier(df, ["a", "b"], "c", (4,), 60)(df).filter("c = prediction").count() > 150

@@ -99,3 +99,29 @@ def test_generated_and_saved(spark, tmp_path):
     files.save_fitted(s, str(tmp_path / "s.json"))
     assert files.load_fitted(str(tmp_path / "s.json")) == s
     assert len(values(files.rows(spark, [(1, "a")], "a int, b string"))) == 1
+
+
+def test_long_form_and_columns(spark):
+    df = spark.createDataFrame([(1, 2, 0.5)], "k int, x_a int, x_b double")
+    assert rel.columns_of(df, ["x_", "k"]) == ["x_a", "x_b", "k"]
+    assert sorted(values(rel.unpivoted(df, ["k"], ["x_a", "x_b"]))) == [(1, "x_a", 2.0), (1, "x_b", 0.5)]
+
+
+def test_ordered_concatenation_and_counts(spark):
+    df = spark.createDataFrame([("g", 2, "b"), ("g", 1, "a"), (None, 1, "z")], "g string, o int, v string")
+    assert ("g", "a|b") in values(df.groupBy("g").agg(text.joined("v", "o", "|")))
+    assert values(rel.value_counts(df, ["g"])) == [("g", 2)]
+    assert values(rel.with_share(rel.value_counts(df, ["v"])).filter("v = 'a'").select("share")) == [(pytest.approx(1 / 3),)]
+
+
+def test_first_and_last_rows(spark):
+    df = spark.createDataFrame([(1, 3, "c"), (1, 1, "a"), (2, 5, "x")], "g int, t int, v string")
+    assert sorted(values(rel.keep_first(df, ["g"], ["t"]).select("g", "v"))) == [(1, "a"), (2, "x")]
+    assert sorted(values(rel.last_rows(df, ["g"], "t", 1).select("g", "v"))) == [(1, "c"), (2, "x")]
+
+
+def test_empty_tables(spark):
+    df = spark.createDataFrame([], "g string, x double")
+    assert values(rel.describe(df, ["x"])) == [("x", 0, None, None, None, None, None, None, None)]
+    assert values(plotprep.histogram(df, "x", 4)) == [] and values(plotprep.box_stats(df, ["g"], "x")) == []
+    assert values(rel.mode_by(df, ["g"], "x")) == []
