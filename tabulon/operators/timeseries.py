@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.scalars import strict_avg
 from tabulon.operators.relational import null_where
+from tabulon.storage import stored
 
 
 def with_step(df: DataFrame, unit: str, order: Sequence[str], name: str = "t") -> DataFrame:
@@ -129,14 +130,15 @@ def nearest(points: DataFrame, key: str, coords: Sequence[str], k: int, most_poi
         around = rest.select("*", *cell("_a", reach))
         for i in range(len(coords)):
             around = around.withColumn(f"_c{i}", F.explode(F.array(*(F.col(f"_c{i}") + d for d in (-1, 0, 1)))))
-        near = take(around.join(right.select("*", *cell("_b", reach)), [f"_c{i}" for i in range(len(coords))]))
+        # each round reads the last one's tables, not its plan
+        near = stored(take(around.join(right.select("*", *cell("_b", reach)), [f"_c{i}" for i in range(len(coords))])), "near")
         if reach >= cells:
             return final(near if done is None else done.unionByName(near))
         # a k-th neighbour within one cell's side can't be beaten from outside the cells compared
         sure = near.groupBy("_k").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).filter((F.col("n") == k) & (F.col("far") <= min(side) * reach)).select("_k")
         part = near.join(sure, "_k", "left_semi")
         done = part if done is None else done.unionByName(part)
-        rest, reach = rest.join(sure, "_k", "left_anti"), reach * 4
+        rest, reach = stored(rest.join(sure, "_k", "left_anti"), "rest"), reach * 4
 
 
 def neighbour_features(panel: DataFrame, unit: str, step: str, cols: Sequence[str], neighbours: DataFrame) -> DataFrame:
