@@ -86,7 +86,7 @@ def categorical_nb(df: DataFrame, features: Sequence[str], label: str, alpha: fl
     total = sum(classes.values())
     if not total:
         raise ValueError("nothing to fit")
-    long = _long(whole, [F.col(label).alias("class")], features) if False else _long(whole.withColumnRenamed(label, "class"), ["class"], features)
+    long = _long(whole.withColumnRenamed(label, "class"), ["class"], features)
     counts = long.groupBy("class", "feature", "value").agg(F.count(F.lit(1)).alias("n"))
     values = counts.groupBy("feature").agg(F.count_distinct("value").alias("k"))
     grid = counts.select("feature", "value").distinct().withColumn("class", F.explode(F.array(*(F.lit(c) for c in classes))))

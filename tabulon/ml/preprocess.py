@@ -107,11 +107,13 @@ class Encoded(Fitted):
         return df.withColumns(out)
 
     def inverse_transform(self, df: DataFrame, suffix: str = "") -> DataFrame:
+        """Values of codes; a code that no value has is an error when the rows are computed, a NULL stays NULL."""
         out = {}
         for c, values in zip(self.cols, self.values):
             code = F.col(f"{c}{suffix}").cast("int")
-            known = F.array(*(F.lit(v) for v in values))
-            out[c] = F.when((code < 0) | (code >= len(values)), F.raise_error(F.lit(f"no such code in {c}")).cast(df.schema[f"{c}{suffix}"].dataType if not values else "string")).otherwise(F.get(known, code)) if values and isinstance(values[0], str) else F.get(known, code)
+            value = F.get(F.array(*(F.lit(v) for v in values)), code)
+            wrong = F.assert_true(code.isNull() | ((code >= 0) & (code < len(values))), f"no such code in {c}")
+            out[c] = F.when(wrong.isNull(), value)
         return df.withColumns(out)
 
     def one_hot(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -42,6 +42,11 @@ def test_encoders(spark):
         e.transform(one(spark, [("d",)], "v string")).collect()
     with pytest.raises(Exception, match="no such code"):
         e.inverse_transform(one(spark, [(9,)], "v int")).collect()
+    assert e.inverse_transform(one(spark, [(None,), (0,)], "v int")).collect()[0].v is None
+    numbers = preprocess.encoder(one(spark, [(5,), (3,)], "v int"), ["v"])
+    assert [r.v for r in numbers.inverse_transform(one(spark, [(0,), (1,)], "v int")).collect()] == [3, 5]
+    with pytest.raises(Exception, match="no such code"):
+        numbers.inverse_transform(one(spark, [(2,)], "v int")).collect()
     hot = e.one_hot(one(spark, [("a",), ("z",)], "v string"))
     assert [tuple(r) for r in hot.collect()] == [(1, 0, 0), (0, 0, 0)]
     assert [r.v for r in e.from_one_hot(hot).collect()] == ["a", "a"]
