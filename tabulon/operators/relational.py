@@ -135,23 +135,72 @@ def count_at_least_mean(df: DataFrame, cols: Sequence[str], name: str) -> DataFr
     return held.withColumn(name, total).drop(*(f"_mean_{c}" for c in cols))
 
 
+#: Rows up to which one aggregate finds exact quantiles; and rows that may be looked at one by one.
+DIRECT_ROWS, BRACKET_ROWS = 1_000_000, 50_000
+
+
+def exact_quantiles(df: DataFrame, c: str, shares: Sequence[float]) -> list[float | None]:
+    """Quantiles of a column with linear interpolation, NULLs left out; all NULL where there are no values.
+
+    Spark's exact percentile holds the distinct values in one task. Beyond DIRECT_ROWS the range around each rank is
+    narrowed instead: a sketch proposes cuts, one aggregate counts what lies below each, and so on until the values
+    between two cuts are few.
+    """
+    x = df.select(F.col(c).cast("double").alias("x")).dropna()
+    n = x.count()
+    if not n:
+        return [None] * len(shares)
+    if n <= DIRECT_ROWS:
+        return list(x.agg(F.percentile("x", F.array(*(F.lit(float(s)) for s in shares)))).first()[0])
+
+    def at(rank: int) -> float:
+        inside, below = x, 0
+        while True:
+            m = inside.count()
+            if m <= BRACKET_ROWS:
+                break
+            cuts = sorted(set(inside.agg(F.percentile_approx("x", [i / 64 for i in range(65)], 10_000)).first()[0]))
+            counts = inside.agg(*(F.count_if(F.col("x") < v).alias(f"c{i}") for i, v in enumerate(cuts)), *(F.count_if(F.col("x") == v).alias(f"e{i}") for i, v in enumerate(cuts))).first()
+            k = max((i for i in range(len(cuts)) if below + counts[f"c{i}"] <= rank), default=None)
+            if k is not None and rank < below + counts[f"c{k}"] + counts[f"e{k}"]:
+                return cuts[k]
+            low = None if k is None else cuts[k]
+            high = cuts[0 if k is None else k + 1] if (0 if k is None else k + 1) < len(cuts) else None
+            below += 0 if k is None else counts[f"c{k}"] + counts[f"e{k}"]
+            inside = inside.filter(F.lit(True) if low is None else F.col("x") > low).filter(F.lit(True) if high is None else F.col("x") < high)
+        return sorted(r.x for r in inside.collect())[rank - below]
+
+    out, found = [], {}
+    for s in shares:
+        place = s * (n - 1)
+        i = int(place)
+        for r in {i, min(i + 1, n - 1)} - set(found):
+            found[r] = at(r)
+        out.append(found[i] + (found[min(i + 1, n - 1)] - found[i]) * (place - i))
+    return out
+
+
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """column, count, mean, std (sample), min, exact quartiles, max; one pass for all columns."""
-    stats = {
-        "count": lambda c: F.count(c), "mean": lambda c: F.avg(c), "std": lambda c: F.stddev_samp(c), "min": lambda c: F.min(c).cast("double"),
-        "q25": lambda c: F.percentile(c, 0.25), "q50": lambda c: F.percentile(c, 0.5), "q75": lambda c: F.percentile(c, 0.75), "max": lambda c: F.max(c).cast("double"),
-    }
-    wide = df.agg(*(f(c).alias(f"{c}__{n}") for c in cols for n, f in stats.items()))
-    rows = F.array(*(F.struct(F.lit(c).alias("column"), *(F.col(f"{c}__{n}").alias(n) for n in stats)) for c in cols))
-    return wide.select(F.explode(rows).alias("r")).select("r.*")
+    """column, count, mean, std (sample), min, exact quartiles, max; two passes for all columns, more beyond DIRECT_ROWS."""
+    plain = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    one = df.agg(*(f(c).cast("long" if n == "count" else "double").alias(f"{c}__{n}") for c in cols for n, f in plain.items())).first()
+    shares = (0.25, 0.5, 0.75)
+    if max(one[f"{c}__count"] for c in cols) <= DIRECT_ROWS:
+        q = df.agg(*(F.percentile(c, F.array(*map(F.lit, shares))).alias(c) for c in cols)).first()
+        quartiles = {c: q[c] or [None] * 3 for c in cols}
+    else:
+        quartiles = {c: exact_quantiles(df, c, shares) for c in cols}
+    rows = [(c, one[f"{c}__count"], one[f"{c}__mean"], one[f"{c}__std"], one[f"{c}__min"], *quartiles[c], one[f"{c}__max"]) for c in cols]
+    return df.sparkSession.createDataFrame(rows, "column string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
 
 
 def iqr_fence(df: DataFrame, c: str, factor: float = 1.5) -> DataFrame:
     """`c` emptied where it lies beyond its quartiles by `factor` times their distance."""
-    held = with_global(df, _q=F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))))
-    q1, q3 = F.col("_q")[0], F.col("_q")[1]
+    q1, q3 = exact_quantiles(df, c, (0.25, 0.75))
+    if q1 is None:
+        return df
     reach = (q3 - q1) * factor
-    return null_where(held, [(c, (F.col(c) < q1 - reach) | (F.col(c) > q3 + reach))]).drop("_q")
+    return null_where(df, [(c, (F.col(c) < F.lit(q1 - reach)) | (F.col(c) > F.lit(q3 + reach)))])
 
 
 def mode_by(df: DataFrame, keys: Sequence[str], c: str, name: str = "mode") -> DataFrame:

@@ -125,3 +125,17 @@ def test_empty_tables(spark):
     assert values(rel.describe(df, ["x"])) == [("x", 0, None, None, None, None, None, None, None)]
     assert values(plotprep.histogram(df, "x", 4)) == [] and values(plotprep.box_stats(df, ["g"], "x")) == []
     assert values(rel.mode_by(df, ["g"], "x")) == []
+
+
+@pytest.mark.parametrize("distinct", [3, 100_000])
+def test_quantiles_by_narrowing(spark, monkeypatch, distinct):
+    import numpy as np
+
+    rng = np.random.default_rng(distinct)
+    x = np.round(rng.normal(size=3000) * distinct)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(3)
+    shares = (0.013, 0.9, 1.0)
+    direct = rel.exact_quantiles(df, "x", shares)
+    monkeypatch.setattr(rel, "DIRECT_ROWS", 10)
+    monkeypatch.setattr(rel, "BRACKET_ROWS", 60)
+    assert rel.exact_quantiles(df, "x", shares) == pytest.approx(np.quantile(x, shares)) and direct == pytest.approx(np.quantile(x, shares))
