@@ -1,16 +1,16 @@
-"""Benchmark decontamination: rare word n-grams as seeds, Smith-Waterman alignment as the judge.
+"""Benchmark decontamination: word n-grams as seeds, Smith-Waterman alignment as the judge.
 
-A first pass over all documents counts in how many each n-gram of the benchmark occurs. An item's
-seeds are its rare ones: those in at most RARE_TIMES as many documents as its own lower-quartile
-n-gram, so an item that leaked into very many documents keeps its seeds, and stock phrases don't
-count. The second pass looks the seeds up in every whole document; around the places where an item's
-seeds stand, its words are aligned locally (match 1, mismatch and gap -1), and the score is the
-alignment's divided by the item's number of words. 1 is a verbatim copy; one edit in five leaves 0.6.
-From THRESHOLD on, and with LEAST_WORDS or the whole item, it counts as a match.
+Every n-gram of an item is a seed, however many documents hold it, so an item whose edited copies stand
+in very many documents is found in all of them. Around the places where an item's seeds stand in a
+document, its words are aligned locally (match 1, mismatch and gap -1), and the score is the alignment's
+divided by the item's number of words. 1 is a verbatim copy; one edit in five leaves 0.6. From THRESHOLD
+on, and with LEAST_WORDS or the whole item, it counts as a match. Stock phrases are seeds too, so before
+an alignment its score is bounded: a word that the other side lacks costs 1 wherever it is passed. Only
+places whose bound reaches the threshold are aligned; the bound never hides a match.
 
-Both passes look n-grams up in a table of the benchmark's, which is sent out only up to
-MOST_WORDS benchmark words; a larger benchmark is taken in slices of that size, each with its two
-passes. Neither pass shuffles documents.
+The benchmark's n-grams are sent out only up to MOST_WORDS benchmark words; a larger benchmark is taken
+in slices of that size, each with its own pass. No pass shuffles documents. Alignments in which no N words
+of the item stand in a row unchanged have no seed.
 
 Defined cases: null texts are empty; items or documents without words never match; an item of fewer
 words than an n-gram is one seed; items with equal texts are all reported; repeated documents are
@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 N = 3
-RARE_TIMES = 4
 THRESHOLD = 0.4
 #: Alignments of fewer words than this count only where they hold the whole item.
 LEAST_WORDS = 6
@@ -56,7 +55,7 @@ class Benchmark:
                     self.places.append([])
                 self.places[g].append((k, offset))
         self.short = sorted({len(g) for g in self.grams if len(g) < n})
-        self.rare = None
+        self.mark = None
 
     def _grams(self, numbers: list[int], whole: int):
         n = min(self.n, whole)
@@ -87,31 +86,34 @@ class Benchmark:
                     out.append((place, g))
         return out
 
-    def keep_rare(self, counts: dict[int, int], times: float = RARE_TIMES) -> None:
-        """Seeds by item from the number of documents of each n-gram."""
-        own: list[list[int]] = [[] for _ in self.items]
-        for g, places in enumerate(self.places):
-            for k, _ in places:
-                own[k].append(g)
-        self.rare = [[] for _ in self.places]
-        for k, grams in enumerate(own):
-            n = sorted(counts.get(g, 0) for g in grams)
-            limit = times * max(1, n[len(n) // 4])
-            for g in set(grams):
-                if counts.get(g, 0) <= limit:
-                    self.rare[g] += [(j, offset) for j, offset in self.places[g] if j == k]
+    def _reaches(self, item, words, least: float) -> bool:
+        """Whether an alignment could score `least`: words that the other side lacks cost 1 each, all others give 1."""
+        import numpy as np
+
+        if self.mark is None:
+            self.mark = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+        for held, passed in ((item, words), (words, item)):
+            self.mark[held] = True
+            self.mark[0] = False
+            gain = np.cumsum(np.where(self.mark[passed], 1, -1))
+            self.mark[held] = False
+            before = np.minimum(np.minimum.accumulate(gain), 0)
+            if max(int(gain[0]), int((gain[1:] - before[:-1]).max(initial=0))) < least:
+                return False
+        return True
 
     def matches(self, text: str | None, threshold: float) -> list[tuple]:
         """(item_id, score, n_seeds, first word, last word + 1) of the items found in a document."""
         numbers = self.numbers(text)
         seeds: dict[int, list[int]] = {}
         for place, g in self.found(numbers):
-            for k, offset in self.rare[g]:
+            for k, offset in self.places[g]:
                 seeds.setdefault(k, []).append(place - offset)
         out = []
         for k, starts in seeds.items():
             item_id, item = self.items[k]
             m, best = len(item), None
+            least = max(threshold * m, min(m, LEAST_WORDS))
             starts.sort()
             groups = [[starts[0], starts[0]]]
             for s in starts[1:]:
@@ -121,10 +123,12 @@ class Benchmark:
                     groups.append([s, s])
             for lo, hi in groups:
                 a, b = max(0, lo - m), min(len(numbers), hi + 2 * m)
+                if not self._reaches(item, numbers[a:b], least):
+                    continue
                 score, s, e = local_alignment(item, numbers[a:b])
                 if best is None or score > best[0]:
                     best = (score, a + s, a + e)
-            if best and best[0] >= max(threshold * m, min(m, LEAST_WORDS)):
+            if best and best[0] >= least:
                 out.append((item_id, best[0] / m, len(starts), best[1], best[2]))
         return out
 
@@ -164,31 +168,11 @@ def _slices(bench: DataFrame, id_col: str, text_col: str) -> list[Benchmark]:
         yield Benchmark(sorted(((r.id, r.text) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
 
-def prepared(docs: DataFrame, benchmark: Benchmark, text_col: str = "text"):
-    """The benchmark with its rare seeds, by one pass over all documents, as a broadcast variable."""
-    sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast(benchmark)
-
-    def count(batches):
-        import pyarrow as pa
-
-        held, total = sent.value, {}
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for g in {g for _, g in held.found(held.numbers(text))}:
-                    total[g] = total.get(g, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["g", "n"])
-
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    benchmark.keep_rare({r.g: r.n for r in counts.collect()})  # a row for each n-gram of this part of the benchmark at most
-    return sc.broadcast(benchmark)
-
-
 def matches(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, score, n_seeds, and the words [start_word, end_word) of each document that holds an item."""
     out = None
     for part in _slices(bench, item_id_col, item_text_col):
-        sent = prepared(docs, part, text_col)
+        sent = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches, sent=sent):
             import pyarrow as pa
@@ -207,7 +191,7 @@ def matches(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, id_
 def without_leaks(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents that hold no item, with all their columns."""
     for part in _slices(bench, item_id_col, item_text_col):
-        sent = prepared(docs, part, text_col)
+        sent = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches, sent=sent):
             import pyarrow as pa

@@ -57,6 +57,31 @@ def test_slices_of_a_large_benchmark(spark, monkeypatch):
     assert {(i, i) for i in range(40)} <= {(r.doc_id, r.item_id) for r in got if r.score == 1}
 
 
+def test_edited_and_partial_copies_in_many_documents(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    items = [(i, " ".join(word() for _ in range(38))) for i in range(2)]
+    edited = items[0][1].split()
+    edited[2:35:5] = ["changed"] * 7
+    filler = lambda: [word() for _ in range(40)]
+    kinds = [edited, items[1][1].split()[:19], items[1][1].split()[:5] + ["and"] + items[0][1].split()[-5:]]
+    rows = [(3 * i + k, " ".join(filler() + words + filler())) for i in range(300) for k, words in enumerate(kinds)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string")
+    got = d.matches(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(3 * i + k, k) for i in range(300) for k in range(2)}
+    assert all(r.score >= (24 / 38 if r.item_id == 0 else 0.5) for r in got)
+    assert {r.doc_id for r in d.without_leaks(docs, bench).collect()} == {3 * i + 2 for i in range(300)}
+
+
+def test_bound_hides_no_match():
+    rng = np.random.default_rng(4)
+    held = d.Benchmark([(0, " ".join(f"w{i}" for i in range(6)))])
+    for _ in range(2000):
+        a, b = rng.integers(1, 7, rng.integers(1, 12)), rng.integers(0, 7, rng.integers(1, 20))
+        score = d.local_alignment(a, b)[0]
+        assert held._reaches(a, b, score) and not held._reaches(a, b, min(len(a), len(b)) + 1)
+
+
 def plain_base(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     places = [(i, label) for p, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
