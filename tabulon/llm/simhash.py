@@ -247,49 +247,42 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
     return docs.mapInArrow(run, "id0 long, n long, wide binary")
 
 
-def _wide_radii(similarity: float, deviations: float = 2.5) -> tuple[int, int]:
-    """Differing bits of the wide sketch: up to the first, sets are surely as similar; beyond the second, surely not."""
+def _wide_radius(similarity: float, deviations: float = 2.5) -> int:
+    """Differing bits of the wide sketch beyond which sets are not as similar."""
     import math
 
     bits = 64 * WIDE_WORDS
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    spread = deviations * math.sqrt(bits * p * (1 - p))
-    return int(bits * p - spread), int(bits * p + spread) + 1
+    return int(bits * p + deviations * math.sqrt(bits * p * (1 - p))) + 1
 
 
-def _forest(root, left, right, distance):
-    """Of open links the ones that a shortest spanning forest over the roots needs (indices into them)."""
+def _forest(n: int, left, right, distance):
+    """Indices of the links of a shortest spanning forest over n nodes."""
     import numpy as np
 
-    a, b = np.minimum(root[left], root[right]), np.maximum(root[left], root[right])
-    order = np.lexsort((distance, b, a))
-    order = order[a[order] != b[order]]
-    first = np.ones(len(order), dtype=bool)
-    first[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    order = order[first]
-    order = order[np.argsort(distance[order], kind="stable")]
-    up: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = y
-        return x
-
-    kept = []
-    for k in order.tolist():
-        x, y = top(int(a[k])), top(int(b[k]))
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            kept.append(k)
-    return np.array(kept, dtype=np.int64)
+    order = np.argsort(distance, kind="stable")
+    root, kept = np.arange(n), []
+    a, b = left[order], right[order]
+    while len(order):
+        apart = a != b
+        order, a, b = order[apart], a[apart], b[apart]
+        first = np.full(n, len(order))
+        np.minimum.at(first, a, np.arange(len(order)))
+        np.minimum.at(first, b, np.arange(len(order)))
+        chosen = np.unique(first[first < len(order)])
+        if not len(chosen):
+            break
+        kept.append(order[chosen])
+        root = local_roots(n, np.concatenate([left[k] for k in kept]), np.concatenate([right[k] for k in kept]))
+        a, b = root[left[order]], root[right[order]]
+    return np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64)
 
 
 def _class_links(distinct: DataFrame, similarity: float, tile_rows: int) -> DataFrame:
-    """(a, b, sure) links between sketches of similar sets: tiles of one size class, and of one and the next.
+    """(a, b) candidates whose sketches are near: tiles of one size class, and of one and the next.
 
-    Sure links of a tile come as each row's smallest member; those that the sketches leave open, as a shortest spanning
-    forest between what sure links join. Neither is ever more than the rows of the tile.
+    A tile gives a shortest spanning forest of its candidates, which is never more than its rows: what candidates join,
+    these join too.
     """
     spark = distinct.sparkSession
     size = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(CLASS_RATIO))).cast("int")
@@ -297,17 +290,17 @@ def _class_links(distinct: DataFrame, similarity: float, tile_rows: int) -> Data
     # one row for each class, so its size is that of the logarithm of the longest text
     parts = {r.c: -(-r.n // tile_rows) for r in classed.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not parts:
-        return spark.createDataFrame([], "a long, b long, sure boolean")
+        return spark.createDataFrame([], "a long, b long")
     known = F.create_map(*(F.lit(x) for c, n in parts.items() for x in (c, n)))
     own = F.struct(F.col("c").alias("c"), F.pmod(F.xxhash64("node"), F.try_element_at(known, F.col("c"))).cast("int").alias("s"))
     of = lambda c: F.transform(F.sequence(F.lit(0), F.coalesce(F.try_element_at(known, c), F.lit(0)) - 1), lambda s: F.struct(c.alias("c"), s.cast("int").alias("s")))
     some = lambda c: F.when(F.try_element_at(known, c).isNotNull(), of(c)).otherwise(F.array().cast("array<struct<c: int, s: int>>"))
     partners = F.concat(some(F.col("c") - 1), some(F.col("c")), some(F.col("c") + 1))
     keys = F.transform(partners, lambda p: F.xxhash64(F.least(p, F.col("own")), F.greatest(p, F.col("own"))))
-    dealt = classed.withColumn("own", own).select(F.explode(keys).alias("key"), F.col("c"), "node", "n", "wide")
-    near_enough, too_far = _wide_radii(similarity)
+    dealt = classed.withColumn("own", own).select(F.explode(keys).alias("key"), "node", "n", "wide")
+    too_far = _wide_radius(similarity)
 
-    def compare(node, n, c, wide):
+    def compare(node, n, wide):
         import numpy as np
 
         first = wide[:, 0]
@@ -315,18 +308,14 @@ def _class_links(distinct: DataFrame, similarity: float, tile_rows: int) -> Data
         by = np.argsort(pop, kind="stable")
         node, n, wide, first, pop = node[by], n[by], wide[by], first[by], pop[by]
         none = np.zeros(0, dtype=np.int64)
-        sure = [(none, none)]
-        open_ = [(none, none, none)]
+        found = [(none, none, none)]
         side, across, held = 512, 4096, 0
 
         def settled():
-            """Both kinds of links so far, as few as say the same."""
-            i, j = (np.concatenate(x) for x in zip(*sure))
-            root = local_roots(len(node), i, j)
-            below = np.flatnonzero(root != np.arange(len(node)))
-            i, j, d = (np.concatenate(x) for x in zip(*open_))
-            k = _forest(root, i, j, d)
-            return (below, root[below]), (i[k], j[k], d[k])
+            """A forest of the candidates so far."""
+            i, j, d = (np.concatenate(x) for x in zip(*found))
+            k = _forest(len(node), i, j, d)
+            return i[k], j[k], d[k]
 
         for lo in range(0, len(node), side):
             reach = pop[min(lo + side, len(node)) - 1] + FIRST_RADIUS
@@ -341,15 +330,13 @@ def _class_links(distinct: DataFrame, similarity: float, tile_rows: int) -> Data
                 for q in range(0, len(i), 100_000):
                     a, b = i[q : q + 100_000], j[q : q + 100_000]
                     d = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64)
-                    close, unclear = d <= near_enough, (d > near_enough) & (d <= too_far)
-                    sure.append((a[close], b[close]))
-                    open_.append((a[unclear], b[unclear], d[unclear]))
-                    held += int(close.sum() + unclear.sum())
+                    near = d <= too_far
+                    found.append((a[near], b[near], d[near]))
+                    held += int(near.sum())
                 if held > 1_000_000:
-                    x, y = settled()
-                    sure, open_, held = [x], [y], 0
-        (i, j), (x, y, _) = settled()
-        return np.concatenate((node[i], node[x])), np.concatenate((node[j], node[y])), np.arange(len(i) + len(x)) < len(i)
+                    found, held = [settled()], 0
+        i, j, _ = settled()
+        return node[i], node[j]
 
     def run(batches):
         import numpy as np
@@ -358,29 +345,29 @@ def _class_links(distinct: DataFrame, similarity: float, tile_rows: int) -> Data
         held, key = [], None
 
         def done():
-            node, n, c, wide = (np.concatenate(x) for x in zip(*held))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in compare(node, n, c, wide)], ["a", "b", "sure"])
+            node, n, wide = (np.concatenate(x) for x in zip(*held))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in compare(node, n, wide)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, c, node, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            wide = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u8").reshape(-1, WIDE_WORDS)
+            keys, node, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            wide = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(-1, WIDE_WORDS)
             cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
             for s, e in zip(cuts, cuts[1:]):
                 if keys[s] != key and held:
                     yield done()
                     held = []
                 key = keys[s]
-                held.append((node[s:e], n[s:e], c[s:e], wide[s:e]))
+                held.append((node[s:e], n[s:e], wide[s:e]))
         if held:
             yield done()
 
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, sure boolean")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def _similar(links: DataFrame, texts: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
-    """The links (a, b) whose texts (id0, text) have shingle sets of at least that Jaccard similarity."""
+    """(a, b, similar): whether the texts (id0, text) of a link have shingle sets of at least that Jaccard similarity."""
 
     def run(batches):
         import numpy as np
@@ -396,23 +383,108 @@ def _similar(links: DataFrame, texts: DataFrame, similarity: float, shingle_word
                 x, y = np.unique(x), np.unique(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keep, pa.bool_())], ["a", "b", "similar"])
 
     pairs = links.select("a", "b").distinct()
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id0")).distinct()
-    held = stored(texts.join(asked, "id0", "left_semi"), "unclear")
+    held = stored(texts.join(asked, "id0", "left_semi"), "asked")
     of = lambda name: held.select(F.col("id0").alias(name), F.col("text").alias(f"text_{name}"))
     met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(run, "a long, b long, similar boolean")
+
+
+def _set_links(n, hashes, similarity: float):
+    """Index pairs that join all of several shingle sets with that Jaccard similarity; every two are compared.
+
+    The hashes of the sets stand end to end, n[i] distinct ones of set i. A hash of few sets is counted pair by pair, one of
+    many by a matrix product.
+    """
+    import numpy as np
+
+    m = len(n)
+    owner = np.repeat(np.arange(m), n)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    both = np.zeros((m, m), dtype=np.float32)
+    edge = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1], [True]))) if len(hashes) else np.zeros(1, dtype=np.int64)
+    runs = np.diff(edge)
+    many = np.flatnonzero(runs >= 16)
+    for q in range(0, len(many), 2048):
+        part = many[q : q + 2048]
+        columns = np.zeros((m, len(part)), dtype=np.float32)
+        columns[owner[np.concatenate([np.arange(edge[k], edge[k + 1]) for k in part])], np.repeat(np.arange(len(part)), runs[part])] = 1
+        both += columns @ columns.T
+    few = np.repeat(runs < 16, runs)
+    hashes, owner = hashes[few], owner[few]
+    for d in range(1, 16):
+        i = np.flatnonzero(hashes[d:] == hashes[:-d])
+        if not len(i):
+            break
+        np.add.at(both, (owner[i], owner[i + d]), 1)  # owners rise within a hash, as the sort is stable
+    return np.nonzero(np.triu(both >= similarity * (n[:, None] + n[None, :] - both), 1))
+
+
+#: Sets, and shingles of them, in a part of a group whose sets are all compared.
+PART_SETS, PART_SHINGLES = 512, 1_000_000
+
+
+def _settled(groups: DataFrame, texts: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
+    """(a, b): links that join all similar sets within each group (root, id0, n); all pairs of a group are compared.
+
+    A group is one task; a large one is dealt in parts, and every two of them are a task.
+    """
+
+    def hashed(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            hashes, counts = shingle_hashes(batch.column(2).to_pylist(), shingle_words)
+            sets = [np.unique(x).tobytes() for x in np.split(hashes, np.cumsum(counts)[:-1])] if len(counts) else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.binary())], ["root", "node", "hashes"])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, key = [], None
+
+        def done():
+            nodes, sets = zip(*held)
+            node, n = np.array(nodes), np.array([len(x) // 8 for x in sets])
+            i, j = _set_links(n, np.frombuffer(b"".join(sets), dtype=np.uint64), similarity)
+            root = local_roots(len(node), i, j)
+            below = np.flatnonzero(root != np.arange(len(node)))
+            return pa.RecordBatch.from_arrays([pa.array(node[below]), pa.array(node[root[below]])], ["a", "b"])
+
+        for batch in batches:
+            for k, node, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key and held:
+                    yield done()
+                    held = []
+                key = k
+                held.append((node, shingles))
+        if held:
+            yield done()
+
+    sized = groups.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PART_SETS), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
+    sets = groups.select("root", "id0").join(texts, "id0").select("root", "id0", "text").mapInArrow(hashed, "root long, node long, hashes binary").join(sized, "root")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda s: s != F.col("own"))
+    keys = F.when(F.col("parts") == 1, F.array(F.xxhash64("root"))).otherwise(F.transform(others, lambda s: F.xxhash64("root", F.least(s, F.col("own")), F.greatest(s, F.col("own")))))
+    dealt = sets.withColumn("own", own).select(F.explode(keys).alias("key"), "node", "hashes")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def deduplicated(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, tile_rows: int = WIDE_TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns: of each group of near-duplicates the one with the smallest id.
 
     A 64-bit radius that finds 0.8-similar sets takes in unrelated ones too, so rows within FIRST_RADIUS bits are compared
-    again by 1024 bits of the same kind. Where their distance leaves the similarity open, the texts' sets are compared.
-    Links chain. The comparisons grow with the square of the distinct texts in a size class, in tiles of independent
-    tasks. A row without an id takes one from its text.
+    again by 1024 bits of the same kind. Those near there are candidates only: no row goes without a link whose texts' sets
+    were compared. A spanning forest of the candidates is compared first; where one of its links fails and leaves a group of
+    candidates apart, all sets of that group are compared with each other. Links chain. The comparisons grow with the square
+    of the distinct texts in a size class, and of those in a group, in tiles of independent tasks. A row without an id takes
+    one from its text.
     """
     own = docs.columns
     stand_in = F.lit(-(1 << 63)) + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 1)
@@ -420,9 +492,19 @@ def deduplicated(docs: DataFrame, similarity: float = 0.8, shingle_words: int =
     id0 = F.coalesce(F.col(id_col).cast("long"), stand_in)
     prints = stored(sketches(docs.select(id0.alias("id0"), text.alias("text")), shingle_words), "sketches")
     distinct = prints.groupBy("wide", "n").agg(F.min("id0").alias("node"))
+    texts = docs.select(id0.alias("id0"), text.alias("text"))
     links = stored(_class_links(distinct, similarity, tile_rows), "links")
-    found = _similar(links.filter("NOT sure"), docs.select(id0.alias("id0"), text.alias("text")), similarity, shingle_words)
-    names = components(links.filter("sure").select("a", "b").unionByName(found), "near")
+    tried = stored(_similar(links, texts, similarity, shingle_words), "tried")
+    sound = tried.filter("similar").select("a", "b")
+    names = components(sound, "near")
+    at = lambda name: names.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    apart = tried.filter("NOT similar").join(at("a"), "a", "left").join(at("b"), "b", "left").filter("coalesce(root_a, a) <> coalesce(root_b, b)").select(F.col("a").alias("node"))
+    apart = stored(apart, "apart")
+    if not apart.isEmpty():
+        loose = components(links, "candidates")
+        roots = loose.join(apart.distinct(), "node", "left_semi").select("root").distinct()
+        groups = stored(loose.join(roots, "root", "left_semi").join(distinct, "node").select("root", F.col("node").alias("id0"), "n"), "groups")
+        names = components(sound.unionByName(_settled(groups, texts, similarity, shingle_words)), "near")
     stay = distinct.join(names.filter("node <> root"), "node", "left_anti").select(F.col("node").alias("id0")).distinct()
     packed = docs.select(id0.alias("id0"), F.struct(*own).alias("row"))
     left = packed.join(stay, "id0", "left_semi")

@@ -75,3 +75,45 @@ def test_deduplicated(spark, tile_rows):
     left = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, row string"), tile_rows=tile_rows)
     assert left.columns == ["doc_id", "text", "row"]
     assert sorted(r.doc_id for r in left.collect()) == [4 * i for i in range(20)] + [100]
+
+
+def exact_survivors(texts, similarity=0.8, size=5):
+    """Indices of the first text of each group that links of shingle sets make."""
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({" ".join(w[i : i + size]) for i in range(len(w) - size + 1)} or {t})
+    names = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(sets), len(names)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        held[i, [names[x] for x in s]] = 1
+    both, n = held @ held.T, held.sum(axis=1)
+    near = both >= similarity * (n[:, None] + n[None, :] - both)
+    label = np.arange(len(sets))
+    while (new := np.where(near, label[None, :], len(sets)).min(axis=1)).tolist() != label.tolist():
+        label = new
+    return np.flatnonzero(label == np.arange(len(sets))).tolist()
+
+
+def variants(rng, copies, words, changed):
+    """Copies of one text with some words changed, so that their similarities lie about 0.8."""
+    base, out = [f"v{j}" for j in rng.integers(0, 5000, words)], []
+    for k in range(copies):
+        e = list(base)
+        for at in rng.choice(words, rng.choice(changed), replace=False):
+            e[at] = f"edit{k}x{at}"
+        out.append(" ".join(e))
+    return out
+
+
+@pytest.mark.parametrize("part_sets", [60, 512])
+def test_large_groups_about_the_similarity_are_as_by_exact_sets(spark, monkeypatch, part_sets):
+    monkeypatch.setattr(simhash, "PART_SETS", part_sets)
+    rng = np.random.default_rng(8)
+    texts = variants(rng, 400, 300, [4, 5]) + variants(rng, 300, 200, [3, 4]) + variants(rng, 60, 100, [1, 2])
+    core = [f"core{j}" for j in range(270)]
+    texts += [" ".join(core + [f"own{k}x{j}" for j in range(35)]) for k in range(200)]  # every two share 266 of 336
+    left = simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    want = exact_survivors(texts)
+    assert 200 < len(want) < len(texts) - 200 and set(range(760, 960)) <= set(want)
+    assert sorted(r.doc_id for r in left.collect()) == want
