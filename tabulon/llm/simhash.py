@@ -214,8 +214,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle_words: int = 3, ti
 
 # Near-duplicates by similarity of shingle sets.
 
-#: 64-bit words of the wide sketch, the radius of the first comparison, and the rows of a tile there.
-WIDE_WORDS, FIRST_RADIUS, WIDE_TILE = 16, 18, 16_384
+#: 64-bit words of the wide sketch and the rows of a tile; the first two words decide which pairs are compared by all.
+WIDE_WORDS, WIDE_TILE = 16, 16_384
 #: Sets whose sizes are within the similarity are in the same class or the next one.
 CLASS_RATIO = 1.25
 
@@ -247,13 +247,32 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
     return docs.mapInArrow(run, "id0 long, n long, wide binary")
 
 
-def _wide_radius(similarity: float, deviations: float = 2.5) -> int:
-    """Differing bits of the wide sketch beyond which sets are not as similar."""
-    import math
+def _radii(similarity: float, bits: int, deviations: float = 6.0):
+    """Differing bits of two sketches beyond which sets are not as similar, by the smaller set's size (the last: all larger).
 
-    bits = 64 * WIDE_WORDS
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * p + deviations * math.sqrt(bits * p * (1 - p))) + 1
+    A bit differs where the majorities of two sets do, at the worst split into shared and own shingles; small sets are no
+    normal case. Beyond six deviations lies fewer than one pair in a million of those just as similar.
+    """
+    from math import ceil, comb
+
+    import numpy as np
+
+    def reached(n):
+        """Chance of at least 0, 1, ..., n + 1 bits among n."""
+        return np.cumsum(np.array([0.0, *(comb(n, k) / 2**n for k in range(n, -1, -1))]))[::-1]
+
+    def differ(shared, *own):
+        bits = np.arange(shared + 1)
+        over = [reached(n)[np.clip((shared + n) // 2 + 1 - bits, 0, n + 1)] for n in own]
+        return float((np.diff(-reached(shared)) * (over[0] * (1 - over[1]) + over[1] * (1 - over[0]))).sum())
+
+    worst = [0.0]
+    for n in range(1, 41):
+        splits = [(s, n - s, m - s) for m in range(n, int(n / similarity) + 1) for s in range(max(0, ceil(similarity * (n + m) / (1 + similarity) - 1e-9)), n + 1)]
+        worst.append(max(differ(*x) for x in splits))
+    worst[-1] = max(worst[-8:])
+    p = np.array(worst)
+    return (bits * p + deviations * np.sqrt(bits * p * (1 - p))).astype(np.int64) + 1
 
 
 def _forest(n: int, left, right, distance):
@@ -298,15 +317,15 @@ def _class_links(distinct: DataFrame, similarity: float, tile_rows: int) -> Data
     partners = F.concat(some(F.col("c") - 1), some(F.col("c")), some(F.col("c") + 1))
     keys = F.transform(partners, lambda p: F.xxhash64(F.least(p, F.col("own")), F.greatest(p, F.col("own"))))
     dealt = classed.withColumn("own", own).select(F.explode(keys).alias("key"), "node", "n", "wide")
-    too_far = _wide_radius(similarity)
+    first_radius, too_far = _radii(similarity, 128), _radii(similarity, 64 * WIDE_WORDS)
 
     def compare(node, n, wide):
         import numpy as np
 
-        first = wide[:, 0]
-        pop = np.bitwise_count(first).astype(np.int64)
-        by = np.argsort(pop, kind="stable")
-        node, n, wide, first, pop = node[by], n[by], wide[by], first[by], pop[by]
+        by = np.argsort(n, kind="stable")
+        node, n, wide = node[by], n[by], wide[by]
+        first, second = wide[:, 0].copy(), wide[:, 1].copy()
+        small = np.minimum(n, len(too_far) - 1)
         none = np.zeros(0, dtype=np.int64)
         found = [(none, none, none)]
         side, across, held = 512, 4096, 0
@@ -318,11 +337,12 @@ def _class_links(distinct: DataFrame, similarity: float, tile_rows: int) -> Data
             return i[k], j[k], d[k]
 
         for lo in range(0, len(node), side):
-            reach = pop[min(lo + side, len(node)) - 1] + FIRST_RADIUS
             for at in range(lo, len(node), across):
-                if pop[at] > reach:
+                if similarity * n[at] > n[min(lo + side, len(node)) - 1]:
                     break
-                near = np.bitwise_count(first[lo : lo + side, None] ^ first[None, at : at + across]) <= FIRST_RADIUS
+                near = np.bitwise_count(first[lo : lo + side, None] ^ first[None, at : at + across])
+                near += np.bitwise_count(second[lo : lo + side, None] ^ second[None, at : at + across])
+                near = near <= first_radius[small[lo : lo + side], None]
                 i, j = np.nonzero(near)
                 i, j = i + lo, j + at
                 keep = (i < j) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
@@ -330,7 +350,7 @@ def _class_links(distinct: DataFrame, similarity: float, tile_rows: int) -> Data
                 for q in range(0, len(i), 100_000):
                     a, b = i[q : q + 100_000], j[q : q + 100_000]
                     d = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64)
-                    near = d <= too_far
+                    near = d <= too_far[small[a]]
                     found.append((a[near], b[near], d[near]))
                     held += int(near.sum())
                 if held > 1_000_000:
@@ -479,9 +499,9 @@ def _settled(groups: DataFrame, texts: DataFrame, similarity: float, shingle_wor
 def deduplicated(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, tile_rows: int = WIDE_TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns: of each group of near-duplicates the one with the smallest id.
 
-    A 64-bit radius that finds 0.8-similar sets takes in unrelated ones too, so rows within FIRST_RADIUS bits are compared
-    again by 1024 bits of the same kind. Those near there are candidates only: no row goes without a link whose texts' sets
-    were compared. A spanning forest of the candidates is compared first; where one of its links fails and leaves a group of
+    A radius of 128 SimHash bits that finds 0.8-similar sets takes in unrelated ones too, so rows within it are compared again
+    by 1024 bits of the same kind. Those near there are candidates only: no row goes without a link whose texts' sets were
+    compared. A spanning forest of the candidates is compared first; where one of its links fails and leaves a group of
     candidates apart, all sets of that group are compared with each other. Links chain. The comparisons grow with the square
     of the distinct texts in a size class, and of those in a group, in tiles of independent tasks. A row without an id takes
     one from its text.

@@ -117,3 +117,29 @@ def test_large_groups_about_the_similarity_are_as_by_exact_sets(spark, monkeypat
     want = exact_survivors(texts)
     assert 200 < len(want) < len(texts) - 200 and set(range(760, 960)) <= set(want)
     assert sorted(r.doc_id for r in left.collect()) == want
+
+
+def test_few_shingles_and_chance_bits_lose_no_pair(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: f"v{rng.integers(0, 10**9)}"
+    texts = []
+    for k in range(300):
+        base = [word() for _ in range(8 + k % 3 + 4 * (k % 2) * (k % 7))]
+        shared = len(base) - 4
+        longer = base + [word() for _ in range(shared // 4)]  # shared of shared * 5 / 4: 0.8 or just more
+        texts += [" ".join(base), " ".join(longer)]
+    left = simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    assert exact_survivors(texts) == list(range(0, 600, 2)) == sorted(r.doc_id for r in left.collect())
+
+
+def test_radii_hold_pairs_just_as_similar():
+    rng = np.random.default_rng(10)
+    first, wide = simhash._radii(0.8, 128), simhash._radii(0.8, 1024)
+    for small, large, shared in [(4, 5, 4), (5, 6, 5), (12, 15, 12), (20, 25, 20), (36, 45, 36), (180, 180, 160)]:
+        for _ in range(50):
+            h = rng.integers(0, 2**63, small + large - shared, dtype=np.uint64)
+            masks = rng.integers(0, 2**63, (16, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            bits = [simhash.majority_bits((((x := h * m) ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93))[part], np.array([len(h[part])])) for m in masks for part in (slice(0, small), slice(small - shared, None))]
+            d = [int(np.bitwise_count(a ^ b)[0]) for a, b in zip(bits[::2], bits[1::2])]
+            at = min(small, 40)
+            assert sum(d[:2]) <= first[at] and sum(d) <= wide[at]
