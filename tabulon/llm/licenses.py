@@ -96,9 +96,14 @@ class Scanner:
         for k, spans in self.windows(text).items():
             n = self.notices[k]
             for lo, hi in spans:
-                for m in self.patterns[k].finditer(text, lo, hi):
-                    edits = sum(m.fuzzy_counts)
-                    out.append((n.label, m.start(), m.end(), edits, 1 - edits / len(n.phrase)))
+                stretches = [(lo, hi)]
+                while stretches:
+                    lo, hi = stretches.pop()
+                    m = self.patterns[k].search(text, lo, hi)
+                    if m:  # the best of the stretch; others may stand on both sides
+                        edits = sum(m.fuzzy_counts)
+                        out.append((n.label, m.start(), m.end(), edits, 1 - edits / len(n.phrase)))
+                        stretches += [(a, b) for a, b in ((lo, m.start()), (m.end(), hi)) if b - a >= len(n.phrase) - n.errors]
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
     def scan(self, text: str | None) -> tuple:

@@ -113,6 +113,14 @@ def test_errors_are_found_as_by_the_library_alone():
                 assert any(lo <= direct.search(text).start() and direct.search(text).end() <= hi for lo, hi in s.windows(text)[k])
 
 
+def test_edited_notice_before_an_exact_one():
+    s = licenses.Scanner()
+    for text, want in [(" all rights reservd all rights reserved ", [1, 0]), (" all rights reserved all rights reservd ", [0, 1]), (" all rihts reserved all rights reservd all rights reserved all rights reservd ", [1, 1, 0, 1])]:
+        assert [x[3] for x in s.matches(text) if x[0] == "reserved"] == want
+    spans = s.scan("All rights reservd. All rights reserved.")[7]
+    assert [(x["start"], x["end"]) for x in spans] == [(0, 18), (20, 39)]
+
+
 def test_spans_point_into_the_text():
     text = "Ünder. This work is Licensd -- under the  Apache License, Version 2.0. Fin"
     n_words, n_base, *_, labels, score, spans = licenses.Scanner().scan(text)
