@@ -221,7 +221,7 @@ CLASS_RATIO = 1.25
 
 
 def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """id0, n (distinct shingles) and 16 SimHash words over the set of a text's shingles; the first word is the fingerprint."""
+    """id0, h, n (distinct shingles) and 16 SimHash words over the set of a text's shingles; the first word is the fingerprint."""
 
     def run(batches):
         import numpy as np
@@ -230,7 +230,7 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                hashes, counts = shingle_hashes(part.column(1).to_pylist(), shingle_words)
+                hashes, counts = shingle_hashes(part.column(2).to_pylist(), shingle_words)
                 order = np.lexsort((hashes, np.repeat(np.arange(len(counts)), counts)))
                 owner, hashes = np.repeat(np.arange(len(counts)), counts)[order], hashes[order]
                 first = np.ones(len(hashes), dtype=bool)
@@ -242,9 +242,9 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
                     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
                     words.append(majority_bits(x ^ (x >> np.uint64(32)), counts))
                 wide = np.stack(words, axis=1).astype("<u8")
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array([row.tobytes() for row in wide], pa.binary())], ["id0", "n", "wide"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array([row.tobytes() for row in wide], pa.binary())], ["id0", "h", "n", "wide"])
 
-    return docs.mapInArrow(run, "id0 long, n long, wide binary")
+    return docs.mapInArrow(run, "id0 long, h long, n long, wide binary")
 
 
 def _radii(similarity: float, bits: int, deviations: float = 6.0):
@@ -407,7 +407,7 @@ def _similar(links: DataFrame, texts: DataFrame, similarity: float, shingle_word
 
     pairs = links.select("a", "b").distinct()
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id0")).distinct()
-    held = stored(texts.join(asked, "id0", "left_semi"), "asked")
+    held = stored(texts.join(asked, "id0", "left_semi").dropDuplicates(["id0"]), "asked")
     of = lambda name: held.select(F.col("id0").alias(name), F.col("text").alias(f"text_{name}"))
     met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
     return met.mapInArrow(run, "a long, b long, similar boolean")
@@ -445,7 +445,7 @@ def _set_links(n, hashes, similarity: float):
 
 
 #: Sets, and shingles of them, in a part of a group whose sets are all compared.
-PART_SETS, PART_SHINGLES = 512, 1_000_000
+PART_SETS, PART_SHINGLES = 1024, 1_000_000
 
 
 def _settled(groups: DataFrame, texts: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
@@ -488,7 +488,7 @@ def _settled(groups: DataFrame, texts: DataFrame, similarity: float, shingle_wor
             yield done()
 
     sized = groups.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PART_SETS), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
-    sets = groups.select("root", "id0").join(texts, "id0").select("root", "id0", "text").mapInArrow(hashed, "root long, node long, hashes binary").join(sized, "root")
+    sets = groups.select("root", "id0").join(texts.join(groups, "id0", "left_semi").dropDuplicates(["id0"]), "id0").select("root", "id0", "text").mapInArrow(hashed, "root long, node long, hashes binary").join(sized, "root")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda s: s != F.col("own"))
     keys = F.when(F.col("parts") == 1, F.array(F.xxhash64("root"))).otherwise(F.transform(others, lambda s: F.xxhash64("root", F.least(s, F.col("own")), F.greatest(s, F.col("own")))))
@@ -504,15 +504,17 @@ def deduplicated(docs: DataFrame, similarity: float = 0.8, shingle_words: int =
     compared. A spanning forest of the candidates is compared first; where one of its links fails and leaves a group of
     candidates apart, all sets of that group are compared with each other. Links chain. The comparisons grow with the square
     of the distinct texts in a size class, and of those in a group, in tiles of independent tasks. A row without an id takes
-    one from its text.
+    one from its text; rows of one id are told apart by the hash of their text, and of equal ones one stays.
     """
     own = docs.columns
-    stand_in = F.lit(-(1 << 63)) + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 1)
     text = F.col(text_col).cast("string")
-    id0 = F.coalesce(F.col(id_col).cast("long"), stand_in)
-    prints = stored(sketches(docs.select(id0.alias("id0"), text.alias("text")), shingle_words), "sketches")
-    distinct = prints.groupBy("wide", "n").agg(F.min("id0").alias("node"))
-    texts = docs.select(id0.alias("id0"), text.alias("text"))
+    h = F.xxhash64(F.coalesce(text, F.lit("")))
+    id0 = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)) + F.shiftrightunsigned(h, 1))
+    rows = docs.select(id0.alias("id0"), h.alias("h"), text.alias("text"))
+    prints = stored(sketches(rows, shingle_words), "sketches")
+    # a text's hash is its name; of equal sketches the row of the smallest id speaks for all
+    distinct = stored(prints.groupBy("wide", "n").agg(F.min(F.struct("id0", "h")).alias("first")).select("wide", "n", F.col("first.h").alias("node"), F.col("first.id0").alias("least")), "distinct")
+    texts = rows.join(distinct.select(F.col("least").alias("id0"), F.col("node").alias("h")), ["id0", "h"], "left_semi").select(F.col("h").alias("id0"), "text")
     links = stored(_class_links(distinct, similarity, tile_rows), "links")
     tried = stored(_similar(links, texts, similarity, shingle_words), "tried")
     sound = tried.filter("similar").select("a", "b")
@@ -525,11 +527,12 @@ def deduplicated(docs: DataFrame, similarity: float = 0.8, shingle_words: int =
         roots = loose.join(apart.distinct(), "node", "left_semi").select("root").distinct()
         groups = stored(loose.join(roots, "root", "left_semi").join(distinct, "node").select("root", F.col("node").alias("id0"), "n"), "groups")
         names = components(sound.unionByName(_settled(groups, texts, similarity, shingle_words)), "near")
-    stay = distinct.join(names.filter("node <> root"), "node", "left_anti").select(F.col("node").alias("id0")).distinct()
-    packed = docs.select(id0.alias("id0"), F.struct(*own).alias("row"))
-    left = packed.join(stay, "id0", "left_semi")
-    if prints.count() > prints.select("id0").distinct().count():  # an id stands in several rows
-        left = left.dropDuplicates(["id0"])
+    named = distinct.join(names, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct(F.col("least").alias("id0"), F.col("node").alias("h")).alias("first"))
+    stay = named.groupBy("root").agg(F.min("first").alias("first")).select("first.id0", "first.h")
+    packed = docs.select(id0.alias("id0"), h.alias("h"), F.struct(*own).alias("row"))
+    left = packed.join(stay, ["id0", "h"], "left_semi")
+    if prints.count() > prints.select("id0", "h").distinct().count():  # equal rows
+        left = left.dropDuplicates(["id0", "h"])
     return left.select("row.*")
 
 

@@ -143,3 +143,13 @@ def test_radii_hold_pairs_just_as_similar():
             d = [int(np.bitwise_count(a ^ b)[0]) for a, b in zip(bits[::2], bits[1::2])]
             at = min(small, 40)
             assert sum(d[:2]) <= first[at] and sum(d) <= wide[at]
+
+
+def test_texts_under_one_id_are_told_apart(spark):
+    rng = np.random.default_rng(11)
+    text = lambda: " ".join(f"v{j}" for j in rng.integers(0, 10**6, 100))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, b), (1, b), (2, b + " end"), (2, c), (3, c), (None, c), (None, text())]
+    left = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = [tuple(r) for r in left.collect()]
+    assert len(got) == 4 and set(got) == {(1, a), (1, b), (None, c), rows[7]}
