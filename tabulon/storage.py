@@ -4,28 +4,45 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle files of a write go when it is done, not at the driver's next garbage collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tabulon-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tabulon/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/tabulon/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes every table that this process has put in the shared folder; results that read them can't be used after."""
+    while _made:
+        drop_path(spark, _made.pop())
 
 
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Cuts the lineage: df written as a table in the shared folder and read back."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    with short_lived_shuffles(spark):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -35,6 +52,28 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the complete tables in a folder; none if there is no such folder."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    found = [x.getPath() for x in fs.listStatus(where)]
+    return sorted(p.getName() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+@contextmanager
+def short_lived_shuffles(spark: SparkSession):
+    """Inside, shuffle files of a query go when it ends."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Asks the driver's JVM to collect, so that shuffle files of finished stages are deleted from the executors' disks."""
     import gc
