@@ -181,13 +181,12 @@ SLICE = 4096
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = None, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the store. `width`: bytes of an id in the chunk files, 2 where the vocabulary allows."""
-    from tabulon.llm.common import drop_path, release_shuffles
+    from tabulon.llm.common import drop_path
 
     spark = docs.sparkSession
     first = _first_of_each(stage(docs, tokenizer_path, end_id, width, id_col, text_col))
     first.write.option("compression", "zstd").mode("overwrite").parquet(f"{path}/chunks")
     del first
-    release_shuffles(spark)
     raw = spark.read.schema(STAGED).parquet(f"{path}/chunks")
     ordered = (
         raw.filter("hash IS NULL")

@@ -1,23 +1,27 @@
-"""Repeated byte strings across documents, by an index family of suffix arrays.
-
-A byte goes if a string of `length` bytes that covers it also starts anywhere else. Suffixes that
-matter are those at anchors: of the k-byte strings in a window of `length` bytes, the one with the
-smallest hash, the first of equals. Equal windows have their anchor at the same offset, so equal
-strings are found among the few suffixes that start with the same anchor string.
-
-1. Every document's anchors, each with the run of windows it serves: (h, context), where h is the
-   hash of the anchor string and context the hash of all bytes of its windows. Only anchors whose h
-   occurs twice or more go on.
-2. A context that occurs twice or more repeats as a whole: all its windows are marked.
-3. What is left are the edges of matches, where anchors agree and contexts don't. One of each
-   distinct context of such an h is resolved by bytes: every task holds a logarithmic family of
-   suffix arrays over windows. A new batch is sorted into an array, adjacent equals are marked, the
-   array is merge-scanned against each level for equals, what is new becomes a level, and levels of
-   like size merge. Suffixes are ordered by a 128-bit fingerprint of their first `length` bytes,
-   which keeps equal ones adjacent; nothing is emitted twice, and no pairs are made.
-An h with more contexts than `hot_contexts` is dealt out further: its windows go in groups of
-`BUCKET` offsets, each to the task of the hash of the bytes that all windows of the group share, and
-of groups with equal bytes, counted before they are moved, one goes and the rest is marked at once.
+"""Repeated byte strings across documents, by a stored logarithmic family of suffix arrays.
+
+A byte goes if a string of `length` bytes that covers it also starts anywhere else. Suffixes are taken
+at anchors: of the k-byte strings in a window of `length` bytes, the one with the smallest hash, the
+first of equals. Equal windows have their anchor at the same offset, so equal windows are found among
+the suffixes that start with the same anchor string.
+
+1. `Family.add` takes a batch of documents. Its suffix array has a row for each distinct suffix: (h,
+   context), how many places have it, and one of them. h orders suffixes by their first four bytes and
+   then by a hash of the anchor string; context is the hash of all bytes of the windows that the anchor
+   serves. The array is written sorted to the family's folder, as a level. Levels of like size merge
+   before the next batch goes in, so n batches make about log2(n) levels and a row is rewritten about
+   log2(n) times. A family can be opened again later, by its folder alone.
+2. `Family.met` merge-scans all levels by h: suffixes that meet, in one level or across levels. Of a
+   suffix in two places or more, all windows repeat.
+3. What is left are the edges of long matches, where anchors agree and contexts don't. The bytes of one
+   of each distinct context go to the task of their h, windows there are sorted by a 128-bit fingerprint
+   of their `length` bytes, and neighbours are compared; how many places a context has goes along, so
+   no copy of it is moved. A task takes as many h at once as make `MOST_WINDOWS` windows.
+4. Runs of windows found for (h, context) are joined back to all places that have it.
+An h with more contexts than `hot_contexts` is dealt out further: its windows go in groups of `BUCKET`
+offsets, each to the task of the hash of the bytes that all windows of the group share; groups with
+equal bytes are counted before they are moved. Where a group still has more than `crowd` distinct
+bodies, its windows are counted by fingerprint as rows. No step holds more than these bounds in a task.
 
 Defined cases: a null text is empty; texts shorter than `length` are kept whole; repeated rows
 repeat each other; overlapping matches count as one run; null ids are carried; further columns are
@@ -28,17 +32,22 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LENGTH, ANCHOR = 400, 100
-HOT_CONTEXTS = 500
+HOT_CONTEXTS, CROWD = 500, 20_000
 BUCKET = 25
 PIECE = 1 << 22
+MOST_WINDOWS = 1 << 19
+#: Batches that a table is taken in; equal texts are in one batch.
+BATCHES = 4
 NO_ID = -(1 << 63)
-ANCHORS = "doc0 long, th long, h long, context long, a int, s1 int, s2 int"
-ROUTED = "route long, doc0 long, th long, s1 int, body binary, hot boolean"
-RUNS = "doc0 long, th long, lo int, hi int"
+PLACES = "doc0 long, th long, h long, context long, a int, s1 int, s2 int"
+ROUTED = "route long, h long, context long, s1 int, n long, body binary, hot boolean"
+RUNS = "h long, context long, lo int, hi int"
+WINDOWS = "f1 long, f2 long, n long, h long, context long, at int"
+LEVEL = "h long, context long, n long, one struct<doc0: long, th: long, a: int, s1: int, s2: int>"
 
 
 class Rolling:
@@ -110,8 +119,18 @@ def _window_minima(x, width: int):
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
+def _heads(data, at):
+    """The four bytes at each place as a number, so that numbers stand in the order of the bytes."""
+    import numpy as np
+
+    out = np.zeros(len(at), dtype=np.uint64)
+    for i in range(4):
+        out = (out << np.uint64(8)) | data[at + i].astype(np.uint64)
+    return out
+
+
 def anchors_of(data: bytes, rolling: Rolling, length: int = LENGTH, anchor: int = ANCHOR) -> list[tuple[int, int, int, int]]:
-    """(h, place, first window, last window) of each anchor; windows are counted by their first byte."""
+    """(h, place, first window, last window) of each anchor; windows are counted by their first byte, h is a signed 64-bit number."""
     import numpy as np
 
     out = []
@@ -125,7 +144,8 @@ def anchors_of(data: bytes, rolling: Rolling, length: int = LENGTH, anchor: int
         first = np.concatenate(([0], cuts))
         last = np.concatenate((cuts, [len(place)])) - 1
         places = place[first]
-        out += zip(h[places].view(np.int64).tolist(), (places + lo).tolist(), (first + lo).tolist(), (last + lo).tolist())
+        order = (_heads(part, places) << np.uint64(32)) | (h[places] >> np.uint64(32))
+        out += zip((order ^ np.uint64(1 << 63)).view(np.int64).tolist(), (places + lo).tolist(), (first + lo).tolist(), (last + lo).tolist())
     return out
 
 
@@ -149,106 +169,167 @@ def anchors(keyed: DataFrame, length: int, anchor: int) -> DataFrame:
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    return keyed.mapInArrow(run, ANCHORS)
+    return keyed.mapInArrow(run, PLACES)
 
 
 class Family:
-    """Sorted arrays of distinct windows, each at least twice as large as the next; add() tells which windows are met again.
+    """Suffix arrays of batches, as levels `level-<first batch>-<last batch>` in a folder that all executors see.
 
-    A level's columns: two fingerprint halves (sorted by the first), the owner's number, the window's place, whether it was told.
+    Beside them lie `places-<batch>`: every anchor of a batch with its document, its (h, context) and its windows.
+    A level that a wider one covers is a leftover of a stopped merge and counts no more.
     """
 
-    def __init__(self):
-        self.levels: list[list] = []
-
-    def add(self, high, low, owner, place):
-        """Marks of this batch's windows, and (owner, place) of older windows that are met again for the first time."""
-        import numpy as np
+    def __init__(self, spark: SparkSession, path: str, length: int = LENGTH, anchor: int = ANCHOR):
+        from tabulon.llm.common import folder_names
+
+        self.spark, self.path, self.length, self.anchor = spark, path, length, anchor
+        found = sorted((int(a), -int(b)) for a, b in (x.split("-")[1:] for x in folder_names(spark, path) if x.startswith("level-")))
+        self.spans: list[tuple[int, int]] = []
+        for first, last in ((a, -b) for a, b in found):
+            if not self.spans or first > self.spans[-1][1]:
+                self.spans.append((first, last))
+
+    @property
+    def batches(self) -> int:
+        return self.spans[-1][1] + 1 if self.spans else 0
+
+    def _at(self, span: tuple[int, int]) -> str:
+        return f"{self.path}/level-{span[0]}-{span[1]}"
+
+    def _read(self, span: tuple[int, int]) -> DataFrame:
+        return self.spark.read.schema(LEVEL).parquet(self._at(span))
+
+    def _write(self, suffixes: DataFrame, span: tuple[int, int]) -> None:
+        """A suffix array: each distinct (h, context) once, in order."""
+        from tabulon.llm.common import stored
+
+        array = suffixes.groupBy("h", "context").agg(F.sum("n").alias("n"), F.min("one").alias("one"))
+        stored(array.sortWithinPartitions("h", "context"), "level", self._at(span))
+
+    def merge(self) -> None:
+        """Merges levels of like size: the last two as long as the older has no more batches than the younger."""
+        from tabulon.llm.common import drop_path
+
+        while len(self.spans) > 1 and self.spans[-2][1] - self.spans[-2][0] <= self.spans[-1][1] - self.spans[-1][0]:
+            b, a = self.spans.pop(), self.spans.pop()
+            self._write(self._read(a).unionByName(self._read(b)), (a[0], b[1]))
+            self.spans.append((a[0], b[1]))
+            for old in (a, b):
+                drop_path(self.spark, self._at(old))
+
+    def add(self, keyed: DataFrame) -> None:
+        """A batch of documents (doc0, th, text) as a new level."""
+        from tabulon.llm.common import stored
+
+        self.merge()
+        k = self.batches
+        places = stored(anchors(keyed.select("doc0", "th", "text"), self.length, self.anchor), "places", f"{self.path}/places-{k}")
+        one = F.struct("doc0", "th", "a", "s1", "s2").alias("one")
+        self._write(places.select("h", "context", F.lit(1).cast("long").alias("n"), one), (k, k))
+        self.spans.append((k, k))
+
+    def suffixes(self) -> DataFrame:
+        """The rows of all levels; an (h, context) stands once in each level that has it."""
+        out = self.spark.createDataFrame([], LEVEL)
+        for span in self.spans:
+            out = out.unionByName(self._read(span))
+        return out
+
+    def places(self) -> DataFrame:
+        return self.spark.read.schema(PLACES).parquet(*(f"{self.path}/places-{k}" for k in range(self.batches)))
+
+    def met(self) -> DataFrame:
+        """h, k (contexts, once for each level) of the suffixes that meet others, found in a merge-scan of the levels."""
+        scanned = self.suffixes().groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+        return scanned.filter("n > 1").select("h", "k")
+
+
+def _runs(rows, length: int, hashes):
+    """(h, context, first and last window by its distance to the anchor) of windows met twice among the bodies in hand."""
+    import numpy as np
 
-        order = np.lexsort((low, high))
-        high, low, owner, place = high[order], low[order], owner[order], place[order]
-        same = (high[1:] == high[:-1]) & (low[1:] == low[:-1])
-        marked = np.zeros(len(high), dtype=bool)
-        marked[1:] |= same
-        marked[:-1] |= same
-        fresh = np.ones(len(high), dtype=bool)
-        fresh[1:] = ~same
-        older_owner, older_place = [], []
-        for level in self.levels:
-            at = np.minimum(np.searchsorted(level[0], high), len(level[0]) - 1)
-            hit = (level[0][at] == high) & (level[1][at] == low)
-            marked |= hit
-            fresh &= ~hit
-            again = np.unique(at[hit])
-            again = again[~level[4][again]]
-            level[4][again] = True
-            older_owner.append(level[2][again])
-            older_place.append(level[3][again])
-        if fresh.any():
-            self.levels.append([high[fresh], low[fresh], owner[fresh], place[fresh], marked[fresh]])
-        while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) > len(self.levels[-2][0]):
-            b, a = self.levels.pop(), self.levels.pop()
-            joined = [np.concatenate(x) for x in zip(a, b)]
-            by = np.argsort(joined[0], kind="stable")
-            self.levels.append([x[by] for x in joined])
-        out = np.zeros(len(marked), dtype=bool)
-        out[order] = marked
-        none = np.zeros(0, dtype=np.int64)
-        return out, np.concatenate(older_owner or [none]), np.concatenate(older_place or [none])
+    h, context, s1, n, bodies = zip(*rows)
+    sizes = np.array([len(b) for b in bodies])
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    windows = sizes - length + 1
+    owner = np.repeat(np.arange(len(sizes)), windows)
+    inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    high, low = (x.all(data, length, inner + np.repeat(np.cumsum(sizes) - sizes, windows)) for x in hashes)
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    first = np.flatnonzero(np.concatenate(([True], (high[1:] != high[:-1]) | (low[1:] != low[:-1]))))
+    weight = np.add.reduceat(np.array(n)[owner[order]], first)
+    again = np.zeros(len(order), dtype=bool)
+    again[order] = np.repeat(weight > 1, np.diff(np.append(first, len(order))))
+    owner, inner = owner[again], inner[again]
+    if not len(owner):
+        return None
+    cut = np.flatnonzero((np.diff(owner) != 0) | (np.diff(inner) > 1)) + 1
+    lo, hi = np.concatenate(([0], cut)), np.concatenate((cut, [len(owner)])) - 1
+    of, start = owner[lo], np.array(s1, dtype=np.int64)[owner[lo]]
+    return np.array(h)[of], np.array(context)[of], start + inner[lo], start + inner[hi]
 
 
 def _resolve(routed: DataFrame, length: int) -> DataFrame:
-    """Runs of repeated windows among routed contexts."""
+    """Runs of repeated windows among routed bodies; a task sorts the windows of some routes at a time."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        family, hashes = Family(), (Rolling(2), Rolling(3))
-        docs: list = []
-
-        def runs(owner, place):
-            if not len(owner):
-                return None
-            by = np.lexsort((place, owner))
-            owner, place = owner[by], place[by]
-            cut = np.flatnonzero((np.diff(owner) != 0) | (np.diff(place) > 1)) + 1
-            first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(owner)])) - 1
-            of = [docs[i] for i in owner[first].tolist()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([d for d, _ in of], pa.int64()), pa.array([t for _, t in of], pa.int64()), pa.array(place[first].astype(np.int32)), pa.array(place[last].astype(np.int32))],
-                ["doc0", "th", "lo", "hi"],
-            )
+        hashes = Rolling(2), Rolling(3)
+        held, windows, last = [], 0, None
+
+        def done():
+            found = _runs(held, length, hashes)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["h", "context", "lo", "hi"])
+
+        for batch in batches:
+            for route, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if windows >= MOST_WINDOWS and route != last:
+                    yield from done()
+                    held, windows = [], 0
+                last = route
+                held.append(row)
+                windows += len(row[-1]) - length + 1
+        if held:
+            yield from done()
+
+    return routed.select("route", "h", "context", "s1", "n", "body").repartition("route").sortWithinPartitions("route").mapInArrow(run, RUNS)
+
 
+def _counted(crowded: DataFrame, length: int, kept) -> DataFrame:
+    """Runs of one repeated window each, from windows as rows counted by fingerprint."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        hashes = Rolling(2), Rolling(3)
+        names, kinds = ["f1", "f2", "n", "h", "context", "at"], [pa.int64()] * 5 + [pa.int32()]
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
-                batch = whole.slice(lo, 2000)
-                bodies = batch.column(4).to_pylist()
+                h, context, s1, n, bodies = (c.to_pylist() for c in whole.slice(lo, 2000).columns)
                 sizes = np.array([len(b) for b in bodies])
-                n = sizes - length + 1
+                windows = sizes - length + 1
+                inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
                 data = np.frombuffer(b"".join(bodies), np.uint8)
-                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = inner + np.repeat(np.cumsum(sizes) - sizes, n)
-                owner = np.repeat(np.arange(len(docs), len(docs) + len(bodies)), n)
-                place = inner + np.repeat(np.array(batch.column(3).to_pylist(), dtype=np.int64), n)
-                docs += zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-                high, low = (x.all(data, length, at) for x in hashes)
-                # the same window of one document may come in two rows (a group of offsets and its neighbour never share one)
-                marked, older_owner, older_place = family.add(high, low, owner, place)
-                for part in (runs(owner[marked], place[marked]), runs(older_owner, older_place)):
-                    if part is not None:
-                        yield part
+                prints = [x.all(data, length, inner + np.repeat(np.cumsum(sizes) - sizes, windows)).view(np.int64) for x in hashes]
+                cols = [*prints, *(np.repeat(np.array(x, dtype=np.int64), windows) for x in (n, h, context)), np.repeat(np.array(s1, dtype=np.int64), windows) + inner]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    return routed.repartition("route").mapInArrow(run, RUNS)
+    windows = kept(crowded.select("h", "context", "s1", "n", "body").mapInArrow(run, WINDOWS), "windows")
+    again = kept(windows.groupBy("f1", "f2").agg(F.sum("n").alias("n")).filter("n > 1").select("f1", "f2"), "again")
+    return windows.join(again, ["f1", "f2"], "left_semi").select("h", "context", F.col("at").alias("lo"), F.col("at").alias("hi"))
 
 
-def _contexts(keyed: DataFrame, needed: DataFrame, length: int, hot_contexts: int) -> DataFrame:
-    """The bytes of each needed context, with the number of the task that resolves it."""
+def _bodies(keyed: DataFrame, needed: DataFrame, length: int, hot_contexts: int) -> DataFrame:
+    """The bytes of each needed context, with the number of the task that resolves it; s1 is the first window's distance to the anchor."""
 
     def run(batches):
         import pyarrow as pa
 
-        names, kinds = ["route", "doc0", "th", "s1", "body", "hot"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
+        names, kinds = ["route", "h", "context", "s1", "n", "body", "hot"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.bool_()]
         for batch in batches:
             cols: list[list] = [[] for _ in names]
 
@@ -256,71 +337,86 @@ def _contexts(keyed: DataFrame, needed: DataFrame, length: int, hot_contexts: in
                 for col, v in zip(cols, row):
                     col.append(v)
 
-            for doc, th, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
+            for text, wanted in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
                 for x in wanted:
-                    h, a, s1, s2 = x["h"], x["a"], x["s1"], x["s2"]
+                    h, context, n, a, s1, s2 = x["h"], x["context"], x["n"], x["a"], x["s1"], x["s2"]
                     if x["k"] <= hot_contexts:
-                        put(h, doc, th, s1, text[s1 : s2 + length], False)
+                        put(h, h, context, s1 - a, n, text[s1 : s2 + length], False)
                         continue
                     for q in range((a - s2) // BUCKET, (a - s1) // BUCKET + 1):
                         shared = text[a - BUCKET * q : a - BUCKET * (q + 1) + 1 + length]
                         first, last = max(s1, a - BUCKET * (q + 1) + 1), min(s2, a - BUCKET * q)
-                        put(_short(q.to_bytes(4, "little") + shared), doc, th, first, text[first : last + length], True)
+                        put(_short(q.to_bytes(4, "little") + shared), h, context, first - a, n, text[first : last + length], True)
                 if len(cols[0]) > 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
                     cols[:] = [[] for _ in names]
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    by_doc = needed.groupBy("doc0", "th").agg(F.collect_list(F.struct("h", "a", "s1", "s2", "k")).alias("wanted"))
-    once = keyed.select("doc0", "th", "text")
-    return once.join(by_doc.hint("shuffle_hash"), ["doc0", "th"]).select("doc0", "th", "text", "wanted").mapInArrow(run, ROUTED)
+    by_doc = needed.groupBy("doc0", "th").agg(F.collect_list(F.struct("h", "context", "n", "k", "a", "s1", "s2")).alias("wanted"))
+    one = keyed.select("doc0", "th", "text").join(by_doc.hint("shuffle_hash"), ["doc0", "th"])
+    return one.select("text", "wanted").mapInArrow(run, ROUTED)
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_contexts: int = HOT_CONTEXTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The documents with their keys, and the runs (doc0, th, lo, hi) of repeated windows."""
-    from tabulon.llm.common import drop_path, new_path, release_shuffles, stored
+def repeated_runs(family: Family, keyed: DataFrame, hot_contexts: int = HOT_CONTEXTS, crowd: int = CROWD) -> DataFrame:
+    """Runs (doc0, th, lo, hi) of repeated windows among all documents of the family; `keyed` has their texts."""
+    from tabulon.llm.common import drop_path, new_path, stored
 
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc0"), F.xxhash64("text").alias("th"), "text")
-    made: list[str] = []
+    spark, length = family.spark, family.length
+    made: dict[str, str] = {}
 
     def kept(df, name):
         # written, so that the joins below deal both sides anew and Spark can split a hot key's rows
-        made.append(new_path(spark, name))
-        return stored(df, name, made[-1])
-
-    every = kept(anchors(keyed.select("doc0", "th", "text"), length, anchor), "anchors")
-    seen_twice = kept(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "twice")
-    shared = kept(every.join(seen_twice, "h", "left_semi"), "shared")
-    del every, seen_twice
-    for path in made[:2]:
-        drop_path(spark, path)
-    release_shuffles(spark)
-    one = F.min(F.struct("doc0", "th", "a", "s1", "s2")).alias("one")
-    by_context = kept(shared.groupBy("h", "context").agg(F.count(F.lit(1)).alias("n"), one), "contexts")
-    whole = shared.join(by_context.filter("n > 1").select("h", "context"), ["h", "context"], "left_semi")
-    certain = kept(whole.select("doc0", "th", F.col("s1").alias("lo"), F.col("s2").alias("hi")), "certain")
-    mixed = kept(by_context.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "mixed")
-    needed = by_context.join(mixed, "h").select("h", "k", "one.*")
-    routed = kept(_contexts(keyed, needed, length, hot_contexts), "routed")
+        made[name] = new_path(spark, name)
+        return stored(df, name, made[name])
+
+    met = kept(family.met(), "met")
+    meeting = family.suffixes().join(met, "h").groupBy("h", "context").agg(F.sum("n").alias("n"), F.min("one").alias("one"), F.first("k").alias("k"))
+    meeting = kept(meeting, "meeting")
+    whole = meeting.filter("n > 1").select("h", "context", (F.col("one.s1") - F.col("one.a")).alias("lo"), (F.col("one.s2") - F.col("one.a")).alias("hi"))
+    routed = kept(_bodies(keyed, meeting.filter("k > 1").select("h", "context", "n", "k", "one.*"), length, hot_contexts), "routed")
     hot = routed.filter("hot")
-    alike = kept(hot.groupBy("route", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc0", "th", "s1")).alias("one")), "alike")
+    own = F.struct("h", "context", "s1")
+    alike = kept(hot.groupBy("route", "body").agg(F.sum("n").alias("n"), F.min(own).alias("one")), "alike")
     told = hot.join(alike.filter("n > 1").select("route", "body"), ["route", "body"], "left_semi")
-    certain_too = kept(told.select("doc0", "th", F.col("s1").alias("lo"), (F.col("s1") + F.octet_length("body") - length).cast("int").alias("hi")), "certain")
-    rest = routed.filter("NOT hot").select("route", "doc0", "th", "s1", "body").unionByName(alike.select("route", "one.doc0", "one.th", "one.s1", "body"))
+    told = told.select("h", "context", F.col("s1").alias("lo"), (F.col("s1") + F.octet_length("body") - length).cast("int").alias("hi"))
+    crowds = kept(alike.groupBy("route").agg(F.count(F.lit(1)).alias("bodies")).filter(F.col("bodies") > crowd), "crowds")
+    bodies = alike.join(crowds, "route", "left").select("route", "one.h", "one.context", "one.s1", "n", "body", F.col("bodies").isNotNull().alias("crowded"))
+    rest = routed.filter("NOT hot").select("route", "h", "context", "s1", "n", "body").unionByName(bodies.filter("NOT crowded").drop("crowded"))
     edges = kept(_resolve(rest, length), "edges")
-    del by_context, whole, mixed, needed, shared, routed, hot, alike, told, rest
-    for i in (2, 3, 5, 6, 7):
-        drop_path(spark, made[i])
-    release_shuffles(spark)
-    return keyed, certain.unionByName(certain_too).unionByName(edges)
+    single = kept(_counted(bodies.filter("crowded"), length, kept), "single")
+    runs = stored(whole.unionByName(told).unionByName(edges).unionByName(single), "runs", f"{family.path}/runs")
+    found = family.places().join(runs, ["h", "context"]).select("doc0", "th", (F.col("a") + F.col("lo")).alias("lo"), (F.col("a") + F.col("hi")).alias("hi"))
+    for path in made.values():
+        drop_path(spark, path)
+    return found
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_contexts: int = HOT_CONTEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, doc0 (the id; NO_ID for none), th (the text's hash) and text."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc0"), F.xxhash64("text").alias("th"), "text")
+
+
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_contexts: int = HOT_CONTEXTS, crowd: int = CROWD, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes that stay (`kept`)."""
-    keyed, runs = repeated_runs(docs, length, anchor, hot_contexts, id_col, text_col)
+    from tabulon.llm.common import drop_path, new_path, stored
+
+    spark = docs.sparkSession
+    keyed = keyed_texts(docs, id_col, text_col)
+    family = Family(spark, new_path(spark, "family"), length, anchor)
+    for k in range(batches):
+        family.add(keyed.filter(F.pmod("th", F.lit(batches)) == k))
+    found = repeated_runs(family, keyed, hot_contexts, crowd)
+    by_doc = stored(found.groupBy("doc0", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("found")), "found")
+    drop_path(spark, family.path)
+    return _cut(keyed, by_doc, length)
+
+
+def _cut(keyed: DataFrame, by_doc: DataFrame, length: int) -> DataFrame:
+    """The documents without the bytes of their runs."""
 
     def cut(batches):
         import numpy as np
@@ -343,7 +439,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] * 4 + [pa.binary()])], names)
 
-    by_doc = runs.groupBy("doc0", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
     joined = keyed.join(by_doc.hint("shuffle_hash"), ["doc0", "th"], "left").select("doc_id", "text", "found")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

@@ -1,9 +1,11 @@
 import hashlib
+import os
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabulon.llm import repeats
 
@@ -23,8 +25,8 @@ def plain(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("length, anchor, hot", [(40, 10, 20_000), (40, 10, 2), (60, 33, 1), (31, 31, 20_000)])
-def test_against_all_windows(spark, length, anchor, hot):
+@pytest.mark.parametrize("length, anchor, hot, crowd", [(40, 10, 20_000, 20_000), (40, 10, 2, 20_000), (60, 33, 1, 2), (31, 31, 1, 1)])
+def test_against_all_windows(spark, length, anchor, hot, crowd):
     rng = random.Random(length)
     word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 5)))
     passages = [" ".join(word() for _ in range(rng.randint(5, 60))) for _ in range(10)]
@@ -33,7 +35,7 @@ def test_against_all_windows(spark, length, anchor, hot):
         t = " ".join(rng.choice(passages) if rng.random() < 0.3 else word() for _ in range(rng.randint(0, 40)))
         t = {1: "Heat " * rng.randint(1, 60), 2: "a" * rng.randint(1, 200), 3: rows[-1][1] if rows else t, 4: None}.get(i % 31, t)
         rows.append((None if i % 97 == 0 else i - i % 2 if i % 30 == 0 else i, t))
-    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length, anchor, hot)
+    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length, anchor, hot, crowd)
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in found.collect()), key=str)
     assert got == plain(rows, length)
 
@@ -47,15 +49,51 @@ def test_pieces_of_long_texts(monkeypatch):
     assert at(whole) == at(cut)
 
 
-def test_family_levels():
-    rng = np.random.default_rng(0)
-    family, seen, told = repeats.Family(), Counter(), set()
-    batches = [rng.integers(1, 400, 60).astype(np.uint64) for _ in range(20)]
-    for b, keys in enumerate(batches):
-        marked, owner, place = family.add(keys, keys, np.full(60, b), np.arange(60))
-        told |= {(b, i) for i in np.flatnonzero(marked)} | set(zip(owner.tolist(), place.tolist()))
-        seen.update(keys.tolist())
-    assert {batches[b][i] for b, i in told} == {k for k, n in seen.items() if n > 1}
-    assert told == {(b, i) for b, keys in enumerate(batches) for i, k in enumerate(keys) if seen[k] > 1}
-    sizes = [len(level[0]) for level in family.levels]
-    assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:])) and sum(sizes) == len(seen)
+def test_batches_meet_the_levels_of_earlier_ones(spark, tmp_path):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 6)))
+    passages = [" ".join(word() for _ in range(20)) for _ in range(6)]
+    rows = [(i, " ".join(rng.choice(passages) if rng.random() < 0.2 else word() for _ in range(25))) for i in range(120)]
+    docs = repeats.keyed_texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    path, levels = f"file://{tmp_path}/family", []
+    for k in range(6):
+        family = repeats.Family(spark, path, 40, 10)  # opened anew, as another session would
+        assert family.batches == k
+        family.add(docs.filter(f"doc_id % 6 = {k}"))
+        levels.append([b - a + 1 for a, b in family.spans])
+        if k not in (1, 5):
+            continue
+        some = docs.filter(f"doc_id % 6 <= {k}")
+        by_doc = repeats.repeated_runs(family, some).groupBy("doc0", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
+        got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in repeats._cut(some, by_doc, 40).collect()), key=str)
+        assert got == plain([r for r in rows if r[0] % 6 <= k], 40)
+    assert levels == [[1], [1, 1], [2, 1], [2, 1, 1], [4, 1], [4, 1, 1]]
+    array = [(r.h, r.context) for r in family._read((0, 3)).coalesce(1).collect()]
+    assert len(set(array)) == len(array)
+    os.remove(next(iter((tmp_path / "family" / "level-5-5").glob("_SUCCESS"))))  # a level that was never finished
+    assert repeats.Family(spark, path, 40, 10).spans == [(0, 3), (4, 4)]
+
+
+def test_suffixes_stand_in_the_order_of_their_bytes():
+    data = bytes(random.Random(4).choice(b"abcd ") for _ in range(3000))
+    found = sorted(repeats.anchors_of(data, repeats.Rolling(1), 60, 20))
+    assert [data[a : a + 4] for _, a, _, _ in found] == sorted(data[a : a + 4] for _, a, _, _ in found)
+
+
+def test_bounded_tasks(spark, monkeypatch):
+    """One row of text after another: windows are taken a few routes at a time."""
+    monkeypatch.setattr(repeats, "MOST_WINDOWS", 50)
+    rng, hashes = random.Random(3), (repeats.Rolling(2), repeats.Rolling(3))
+    rows = [(h, c, 0, 1 + (c % 7 == 0), bytes(rng.choice(b"ab") for _ in range(rng.randint(8, 30)))) for h in range(30) for c in range(10)]
+    df = spark.createDataFrame([(r[0], *r, False) for r in rows], repeats.ROUTED)
+    got = {(r.h, r.context, w) for r in repeats._resolve(df, 8).collect() for w in range(r.lo, r.hi + 1)}
+    want = set()
+    for h in range(30):
+        n = Counter()
+        for r in rows:
+            if r[0] == h:
+                n.update({r[4][k : k + 8]: 0 for k in range(len(r[4]) - 7)})
+                for k in range(len(r[4]) - 7):
+                    n[r[4][k : k + 8]] += r[3]
+        want |= {(h, r[1], k) for r in rows if r[0] == h for k in range(len(r[4]) - 7) if n[r[4][k : k + 8]] > 1}
+    assert got == want
