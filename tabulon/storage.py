@@ -72,11 +72,3 @@ def short_lived_shuffles(spark: SparkSession):
         yield
     finally:
         spark.conf.set(CLEANUP, before)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Asks the driver's JVM to collect, so that shuffle files of finished stages are deleted from the executors' disks."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
