@@ -4,8 +4,12 @@ A text becomes its words (ASCII lower-cased, split at anything that is no letter
 non-ASCII character) joined by single spaces. Base phrases are counted wherever their words
 stand in a row. For notices with errors a phrase with at most e edits is split into e + 1
 pieces, one of which must stand unchanged (the pigeonhole principle): one automaton finds all
-pieces of all phrases, each hit opens a window, overlapping windows are joined, and the regex
-library's bounded-error matching confirms the phrase there, with its edits and its span.
+pieces of all phrases, and each hit opens a window of the phrase's length and e characters on both
+sides. An edit takes away two of a phrase's pairs of letters at most, so a window that lacks more than
+2e of them holds no match; in the others the regex library's bounded-error matching looks for the
+best match, with its edits and its span. Of overlapping matches of a notice the one with fewest
+edits stays, then the first. Windows of equal letters are matched once, so that a text takes time in
+proportion to its length however often it repeats a notice or what comes near one.
 
 Defined cases: a null text is empty; no words give counts 0, null first and last word, empty
 labels and score 0; repeated rows stay; further columns are ignored; an empty table gives no rows.
@@ -13,7 +17,9 @@ labels and score 0; repeated rows stay; further columns are ignored; an empty ta
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import accumulate, groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +52,8 @@ NOTICES = (
 )
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, start: int, end: int, edits: int>>"
+#: Windows whose best match a worker remembers.
+KNOWN_WINDOWS = 20_000
 #: keeps digits, small letters and all bytes of non-ASCII characters
 _WORD_BYTES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
@@ -57,6 +65,8 @@ class Scanner:
 
         self.base = [(f" {phrase} ".encode(), label) for phrase, label in base.items()]
         self.notices = notices
+        self.known: dict[tuple[int, str], tuple[int, int, int] | None] = {}
+        self.pairs = [[n.phrase[i : i + 2] for i in range(len(n.phrase) - 1)] for n in notices]
         self.patterns = [regex.compile(f"(?b)(?:{regex.escape(n.phrase, literal_spaces=True)}){{e<={n.errors}}}") for n in notices]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, n in enumerate(notices):
@@ -69,68 +79,81 @@ class Scanner:
             self.seeds.add_word(piece, (len(piece), uses))
         self.seeds.make_automaton()
 
-    def windows(self, text: str) -> dict[int, list[list[int]]]:
-        """notice -> joined windows [from, to) that can hold it."""
-        found: dict[int, list[list[int]]] = {}
-        for end, (size, uses) in self.seeds.iter(text):
-            for k, offset in uses:
-                n = self.notices[k]
-                start = end + 1 - size - offset
-                lo, hi = max(0, start - n.errors), min(len(text), start + len(n.phrase) + n.errors)
-                held = found.setdefault(k, [])
-                held.append([lo, hi])
-        for k, spans in found.items():
-            spans.sort()
-            joined = [spans[0]]
-            for lo, hi in spans[1:]:
-                if lo <= joined[-1][1]:
-                    joined[-1][1] = max(joined[-1][1], hi)
-                else:
-                    joined.append([lo, hi])
-            found[k] = joined
+    def windows(self, text: str) -> list[tuple[int, int]]:
+        """(notice, first letter of a window); every match with at most the notice's errors lies in a window."""
+        return sorted({(k, max(0, end + 1 - size - offset - self.notices[k].errors)) for end, (size, uses) in self.seeds.iter(text) for k, offset in uses})
+
+    def best(self, k: int, window: str) -> tuple[int, int, int] | None:
+        """(start, end, edits) of a notice's best match in a window."""
+        found = self.known.get((k, window), self)
+        if found is self:
+            n = self.notices[k]
+            held = {window[i : i + 2] for i in range(len(window) - 1)}
+            m = self.patterns[k].search(window) if sum(g in held for g in self.pairs[k]) >= len(n.phrase) - 1 - 2 * n.errors else None
+            found = m and (m.start(), m.end(), sum(m.fuzzy_counts))
+            if len(self.known) >= KNOWN_WINDOWS:
+                self.known.clear()
+            self.known[k, window] = found
         return found
 
     def matches(self, text: str) -> list[tuple[str, int, int, int, float]]:
         """(label, start, end, edits, score) in the joined words."""
+        by_notice: dict[int, set[tuple[int, int, int]]] = {}
+        for k, lo in self.windows(text):
+            n = self.notices[k]
+            m = self.best(k, text[lo : lo + len(n.phrase) + 2 * n.errors])
+            if m:
+                by_notice.setdefault(k, set()).add((m[2], lo + m[0], lo + m[1]))
         out = []
-        for k, spans in self.windows(text).items():
+        for k, found in by_notice.items():
             n = self.notices[k]
-            for lo, hi in spans:
-                stretches = [(lo, hi)]
-                while stretches:
-                    lo, hi = stretches.pop()
-                    m = self.patterns[k].search(text, lo, hi)
-                    if m:  # the best of the stretch; others may stand on both sides
-                        edits = sum(m.fuzzy_counts)
-                        out.append((n.label, m.start(), m.end(), edits, 1 - edits / len(n.phrase)))
-                        stretches += [(a, b) for a, b in ((lo, m.start()), (m.end(), hi)) if b - a >= len(n.phrase) - n.errors]
+            for edits, s, e in _apart(sorted(found)):
+                out.append((n.label, s, e, edits, 1 - edits / len(n.phrase)))
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
     def scan(self, text: str | None) -> tuple:
         raw = (text or "").encode("utf-8", "surrogatepass")
         words = raw.lower().translate(_WORD_BYTES).split()
         joined = b" " + b" ".join(words) + b" "
-        places, labels = [], set()
+        places, labels, starts = [], set(), None
         for needle, label in self.base:
             at = joined.find(needle)
             while at >= 0:
-                places.append(joined.count(b" ", 0, at))
+                starts = starts or list(accumulate((len(w) + 1 for w in words), initial=1))
+                places.append(bisect_left(starts, at + 1))
                 labels.add(label)
                 at = joined.find(needle, at + 1)
-        plain = joined.decode("utf-8", "surrogatepass")
-        near = self.matches(plain)
+        near = self.matches(joined.decode("utf-8", "surrogatepass"))
         spans = []
-        if near or places:
+        if near:
             at = _word_spans(text or "")
+            starts = list(accumulate((e - s + 1 for s, e in at), initial=1))
+            ends = [x - 1 for x in starts[1:]]
             for label, s, e, edits, _ in near:
-                first = min(plain.count(" ", 0, s + (plain[s] == " ")) - 1, len(at) - 1)
-                last = min(plain.count(" ", 0, e - (plain[e - 1] == " ")) - 1, len(at) - 1)
+                # the words that the match has letters of
+                first = min(bisect_right(ends, s), len(at) - 1)
+                last = max(bisect_left(starts, e) - 1, first)
                 spans.append({"label": label, "start": at[first][0], "end": at[last][1], "edits": edits})
         score = max([float(bool(places)), *(x[4] for x in near)])
         every = labels | {x[0] for x in near}
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(every)), score, spans
 
 
+def _apart(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (edits, start, end) in this order, each that overlaps none taken before it."""
+    taken: list[tuple[int, int, int]] = []
+    for _, some in groupby(found, key=lambda x: x[0]):
+        older, i, last, new = taken, 0, 0, []
+        for x in some:
+            while i < len(older) and older[i][2] <= x[1]:
+                i += 1
+            if x[1] >= last and (i == len(older) or x[2] <= older[i][1]):
+                new.append(x)
+                last = x[2]
+        taken = sorted(older + new, key=lambda x: x[1])
+    return taken
+
+
 def _word_spans(text: str) -> list[tuple[int, int]]:
     import re
 

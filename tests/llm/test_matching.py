@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -108,9 +109,30 @@ def test_errors_are_found_as_by_the_library_alone():
                 at = rng.randrange(len(letters))
                 letters[at : at + rng.randint(0, 1)] = rng.choice(["", "q", "zz"])
             text = f" some words {''.join(letters)} and more "
-            assert bool(direct.search(text)) == any(x[0] == n.label for x in s.matches(text) if x[4] > 0) or any(x[0] == n.label for x in s.matches(text)), text
-            if direct.search(text):
-                assert any(lo <= direct.search(text).start() and direct.search(text).end() <= hi for lo, hi in s.windows(text)[k])
+            m = direct.search(text)
+            assert bool(m) == any(x[0] == n.label for x in s.matches(text)), text
+            if m:
+                size = len(n.phrase) + 2 * n.errors
+                assert any(i == k and lo <= m.start() and m.end() <= lo + size for i, lo in s.windows(text))
+
+
+@pytest.mark.parametrize("text, least", [("permission is hereby granteed free of charg to any person ", 17_000), ("all rights reserved ", 50_000), ("licensed ", 0), ("all rights reservd ", 50_000), ("licensed under the apach ", 0)])
+def test_long_texts_that_repeat_themselves(text, least):
+    """A megabyte each; joined windows or rescans from the start would take hours."""
+    began = time.process_time()
+    found = licenses.Scanner().scan(text * (1_000_000 // len(text)))
+    assert len(found[7]) >= least and time.process_time() - began < 6
+
+
+def test_matches_of_a_notice_do_not_overlap():
+    rng = random.Random(8)
+    for _ in range(300):
+        found = sorted({(rng.randint(0, 3), s, s + rng.randint(5, 9)) for s in (rng.randint(0, 80) for _ in range(30))})
+        taken = []
+        for x in found:
+            if all(x[2] <= y[1] or y[2] <= x[1] for y in taken):
+                taken.append(x)
+        assert licenses._apart(found) == sorted(taken, key=lambda x: x[1])
 
 
 def test_edited_notice_before_an_exact_one():
