@@ -6,8 +6,10 @@ kind; it is fitted by its exact likelihood on a small labelled table and decoded
 numpy batches. Words without a digit, @, + or bracket, farther than `REACH` words from one that has,
 have only the shapes of plain words around them and are never labelled (fitting checks that), so
 only the stretches around such marked words are decoded. A labelled stretch becomes a span if it
-passes its kind's check and overlaps no base span: phones without a plus sign, addresses with the
-at sign or dots spelled in brackets, numbers of cards and hosts with other separators.
+passes its kind's check and overlaps no base span: phones without a plus sign or right before another
+number, addresses with the at sign or dots spelled in brackets, numbers of cards and hosts with other
+separators, and secrets (kind `secret`, after the four), which no base pattern looks for: long runs of
+letters and digits that the words before them call a token, key, password or secret.
 
 Defined cases: a null text is empty and has no spans; ties between kinds at one start come in the
 order email, ip, card, phone; repeated rows stay; further columns are ignored; an empty table gives
@@ -17,7 +19,10 @@ no rows. All patterns take time in proportion to the text, whatever it holds.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
+from functools import lru_cache
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +35,16 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+#: Kinds that the field knows, in the order of their spans.
+FIELD_KINDS = (*KINDS, "secret")
+#: Words that keep their letters in a shape.
+CUES = ("token", "secret", "password", "passwd", "key", "apikey", "api", "bearer", "auth", "credential")
+SECRET = re.compile(r"[A-Za-z0-9_+/-]{12,}")
+
 MARK = re.compile(r"[0-9@+\[(]")
 WORD = re.compile(r"\S+")
 REACH = 3
-TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+TAGS = ("O", *(f"{p}-{k}" for k in FIELD_KINDS for p in "BI"))
 SPANS = "array<struct<kind: string, start: int, end: int, base: boolean>>"
 
 
@@ -76,24 +87,39 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
+@lru_cache(maxsize=50_000)
 def shape(word: str) -> str:
-    """Digits as 9 (their number up to 4, then a class), letters as a, other marks as they are."""
+    """Digits as 9 (their number up to 4, then a class), letters as a, other marks as they are; the kind of a long mixed word."""
+    if word.lower() in CUES:
+        return word.lower()
     out = []
-    for run in re.findall(r"[0-9]+|[^\W\d_]+|[\W_]", word[:64]):
+    for run in re.findall(r"[0-9]+|[^\W\d_]+|[\W_]", word):
         if run[0] in "0123456789":
             n = len(run)
             out.append("9" * n if n <= 4 else "5-8" if n <= 8 else "9-11" if n <= 11 else "12-19" if n <= 19 else "20+")
         else:
             out.append(run if run.lower() in ("at", "dot") and run != word else "a" if run[0].isalpha() else run)
-    return "".join(out)
+    if len(out) <= 8:
+        return "".join(out)
+    held = set(out)
+    mixed = "a" in held and any(x[0].isdigit() for x in held) and held <= {"a", "_", "-", "+", "/"} | {x for x in held if x[0].isdigit()}
+    return f"{'mixed' if mixed else 'long'}{min(len(word) // 8, 4)}" if mixed or len(out) > 24 else "".join(out)
+
+
+@lru_cache(maxsize=50_000)
+def _shapes(word: str) -> tuple[str, str]:
+    fine = shape(word.strip(".,;:!?\"'#$%&*") or word)
+    return fine, re.sub(r"9+|5-8|9-11|12-19|20\+", "9", fine)
 
 
 def _features(words: list[str]) -> list[list[str]]:
     """Names of each word's features."""
-    plain = [shape(w.strip(".,;:!?\"'") or w) for w in words]
-    coarse = [re.sub(r"9+|5-8|9-11|12-19|20\+", "9", s) for s in plain]
+    plain, coarse = zip(*map(_shapes, words))
     at = lambda xs, i: xs[i] if 0 <= i < len(xs) else ""
-    return [["bias", f"0:{plain[i]}", f"0~{coarse[i]}", f"-1:{at(plain, i - 1)}", f"+1:{at(plain, i + 1)}", f"-1,0:{at(coarse, i - 1)},{coarse[i]}", f"0,+1:{coarse[i]},{at(coarse, i + 1)}"] for i in range(len(words))]
+    return [
+        ["bias", f"0:{plain[i]}", f"0~{coarse[i]}", f"-1:{at(plain, i - 1)}", f"-2:{at(coarse, i - 2)}", f"+1:{at(plain, i + 1)}", f"-1,0:{at(coarse, i - 1)},{coarse[i]}", f"-2,0:{at(coarse, i - 2)},{coarse[i]}", f"0,+1:{coarse[i]},{at(coarse, i + 1)}"]
+        for i in range(len(words))
+    ]
 
 
 class Field:
@@ -200,6 +226,8 @@ def labelled_rows(copies: int = 6, seed: int = 11) -> list[tuple[int, int, str,
     num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     name = lambda: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(2, 9)))
     part = lambda: str(rng.randint(1, 255))
+    key = lambda: "".join(rng.choice(("0123456789abcdef", "0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyzABCDEF_")[n % 3]) for _ in range(n)) if (n := rng.randint(20, 64)) else ""
+    cue = lambda: rng.choice((str.lower, str.title, str.upper))(rng.choice(CUES[:7]))
     layouts = [
         ("email", lambda: f"{name()}.{num(2)}@{name()}.{name()}.com"), ("email", lambda: f"{name()}@{name()}.org"),
         ("email", lambda: f"{name()} [at] {name()} [dot] com"), ("email", lambda: f"{name()} (at) {name()} (dot) org"),
@@ -210,19 +238,25 @@ def labelled_rows(copies: int = 6, seed: int = 11) -> list[tuple[int, int, str,
         ("phone", lambda: f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}"), ("phone", lambda: f"+{num(2)} {num(3)} {num(3)} {num(4)}"),
         ("phone", lambda: f"({num(3)}) {num(3)}-{num(4)}"), ("phone", lambda: f"{num(3)}-{num(3)}-{num(4)}"), ("phone", lambda: f"{num(3)}.{num(3)}.{num(4)}"),
         ("phone", lambda: f"({num(3)}){num(3)}-{num(4)}"),
+        ("secret", lambda: f'{cue()} = "{key()}"'), ("secret", lambda: f'{cue()} = "{key()}"'), ("secret", lambda: f"{cue()} = {key()}"), ("secret", lambda: f'{cue()}: "{key()}"'), ("secret", lambda: f"{cue()}: {key()}"), ("secret", lambda: f"bearer {key()}"),
     ]
     others = [
         lambda: num(rng.randint(1, 11)), lambda: f"{num(1)}.{num(1)}", lambda: f"{num(1)}.{num(2)}.{num(1)}", lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: f"{num(2)}:{num(2)}",
         lambda: f"({name()})", lambda: f"[{num(1)}]", lambda: f"({num(4)})", lambda: f"{num(2)}%", lambda: f"${num(3)}.{num(2)}", lambda: f"{name()}+{name()}",
         lambda: f"{name()}={num(5)}{name()}{num(9)}", lambda: f'"{num(7)}{name()}{num(2)}"', lambda: f"{num(3)}-{num(4)}", lambda: f"{num(3)} {num(4)}", lambda: f"@{name()}", lambda: "@", lambda: "+",
         lambda: f"{num(3)} {num(3)} {num(4)}", lambda: f"({num(1)})", lambda: f"{num(1)}[.]{num(1)}", lambda: f"{num(20)}", lambda: f"[at] {name()}", lambda: f"({name()}) {num(3)}-{num(4)}",
+        lambda: f"{name()} {key()}", lambda: f'{name()} "{key()}"', lambda: f'"{key()}"', lambda: key(), lambda: cue(), lambda: f"{cue()} {name()} {num(3)}", lambda: f"{cue()} = {num(2)}", lambda: f"{cue()}: {num(4)}", lambda: f"= {num(4)}", lambda: f"{name()} = {num(6)}",
     ]
     rows, sentence = [], 0
     for _ in range(copies):
         for kind, make in [*layouts, *((None, o) for o in others), *((None, name) for _ in range(12))]:
             words = [(rng.choice((name(), name().title(), name() + ",", name() + ".")), "O") for _ in range(rng.randint(0, 5))]
-            for i, piece in enumerate(make().split(" ")):
-                words.append((piece, "O" if kind is None else f"{'BI'[i > 0]}-{kind}"))
+            pieces = make().split(" ")
+            for i, piece in enumerate(pieces):
+                first = len(pieces) - 1 if kind == "secret" else 0  # the words that name a secret are no part of it
+                words.append((piece, "O" if kind is None or i < first else f"{'BI'[i > first]}-{kind}"))
+            if kind == "phone" and rng.random() < 0.3:  # another number right behind
+                words += rng.choice(([(f"{part()}.{part()}.{part()}.{part()}", "B-ip")], [(num(16), "B-card")], [(num(rng.randint(1, 5)), "O")]))
             if rng.random() < 0.25:
                 words[-1] = (words[-1][0] + rng.choice(".,"), words[-1][1])
             words += [(rng.choice((name(), name().title(), name() + ",")), "O") for _ in range(rng.randint(0, 5))]
@@ -255,6 +289,8 @@ def _passes(kind: str, text: str) -> bool:
     if kind == "ip":
         parts = re.split(r"\[\.\]|\(\.\)|\.", text)
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+    if kind == "secret":
+        return len(text) >= 12 and bool(digits) and any(c.isalpha() for c in text)
     if kind == "card":
         return bool(re.fullmatch(r"[0-9]+(?:[ ./-][0-9]+)*", text)) and 12 <= len(digits) <= 19 and luhn(digits)
     return bool(re.fullmatch(r"\+?[0-9 ().-]+", text)) and 9 <= len(digits) <= 15
@@ -280,8 +316,12 @@ def find(texts: Iterable[str], field: Field) -> list[list[tuple[int, int, str, b
                 sentences.append([text[s:e] for s, e in words[lo:hi]])
             if i is not None:
                 lo, hi = max(0, i - REACH), min(i + REACH + 1, len(words))
+    at, starts, reach = -1, [], [-1]
     for (r, words), tags in zip(where, field.decode(sentences)):
         text, taken = texts[r], out[r]
+        if r != at:  # base spans by start, and how far those before each one reach
+            at, base = r, [x for x in taken if x[3]]
+            starts, reach = [x[0] for x in base], list(accumulate((x[1] for x in base), max, initial=-1))
         i = 0
         while i < len(tags):
             tag = TAGS[tags[i]]
@@ -294,10 +334,12 @@ def find(texts: Iterable[str], field: Field) -> list[list[tuple[int, int, str, b
                     e -= 1
                 while s < e and text[s] in "\"'":
                     s += 1
-                if _passes(tag[2:], text[s:e]) and not any(a < e and s < b for a, b, _, base in taken if base):
+                if tag == "B-secret" or tag == "I-secret":
+                    s, e = max((m.span() for m in SECRET.finditer(text, s, e)), key=lambda x: (x[1] - x[0], -x[0]), default=(s, s))
+                if _passes(tag[2:], text[s:e]) and reach[bisect_left(starts, e)] <= s:
                     taken.append((s, e, tag[2:], False))
             i = j
-    return [sorted(x, key=lambda y: (y[0], KINDS.index(y[2]))) for x in out]
+    return [sorted(x, key=lambda y: (y[0], FIELD_KINDS.index(y[2]))) for x in out]
 
 
 def spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
