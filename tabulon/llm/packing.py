@@ -1,11 +1,13 @@
 """Harmonic packing of token documents into sequences of a fixed capacity.
 
-A length class is a reciprocal of the capacity: a piece of class k has capacity // k tokens and
-k such pieces fill one sequence. A document is cut into whole sequences (class 1) and a rest,
-and the rest greedily into the largest class that still fits, which leaves about three pieces.
-Every class fills its own bins, k pieces each, in every partition by itself; there is no shuffle.
-What is left in a partition's open bins at its end is laid end to end, cut at the capacity, and
-the last part is cut into powers of two, which need no padding.
+A length class is a reciprocal of the capacity: class k has the documents of more than capacity // (k + 1)
+and at most capacity // k tokens, and k of them, uncut, fill one sequence, up to what they leave of it.
+Every class fills its own bins, in every partition by itself; there is no shuffle. A document of more
+than the capacity is cut into whole sequences and a rest. Rests, and documents below the last class
+(less than capacity / MOST_CLASSES tokens), are spare: cut as needed, they fill what the bins leave. Only
+where bins wait for more than that, a document of another class becomes spare too, so few documents are
+cut that fit a sequence. What a partition has left at its end is laid end to end, cut at the capacity,
+and the last part is cut into powers of two, which need no padding.
 
 Defined cases: a null text is empty and has only the end id; repeated rows are packed as often as
 they occur; an empty table gives no rows; further columns are ignored. A sequence number is the
@@ -14,6 +16,7 @@ partition's number and a count, so a task that runs again gives the same numbers
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -22,51 +25,76 @@ from pyspark.sql import functions as F
 PIECES = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long, padded_to long"
 
 
-def classes(capacity: int) -> dict[int, int]:
-    """Piece length -> pieces in a bin."""
-    return {capacity // k: k for k in range(capacity, 0, -1)}
+MOST_CLASSES = 16
+#: Bins that wait for spare tokens, and sequences that their room or the spare tokens may come to, before either is used up.
+MOST_WAITING, MOST_HELD = 64, 4
+Piece = tuple[int, int, bytes, int]
 
 
-def cut(n: int, sizes: list[int], capacity: int) -> list[int]:
-    """Lengths of a document's pieces; sizes descend from the capacity to 1."""
-    out = [capacity] * (n // capacity)
-    n %= capacity
-    for size in sizes:
-        while n >= size:
-            out.append(size)
+def length_class(n: int, capacity: int) -> int:
+    """How many documents of this length fill one sequence."""
+    return capacity // n
+
+
+class _Spare:
+    """Pieces that may be cut, first in, first out."""
+
+    def __init__(self):
+        self.pieces: deque[Piece] = deque()
+        self.tokens = 0
+
+    def put(self, piece: Piece) -> None:
+        self.pieces.append(piece)
+        self.tokens += len(piece[2]) // 4
+
+    def take(self, n: int) -> list[Piece]:
+        out = []
+        self.tokens -= n
+        while n:
+            doc_id, at, ids, whole = self.pieces.popleft()
+            size = min(n, len(ids) // 4)
+            out.append((doc_id, at, ids[: 4 * size], whole))
+            if 4 * size < len(ids):
+                self.pieces.appendleft((doc_id, at + size, ids[4 * size :], whole))
             n -= size
-    return out
+        return out
 
 
-def fill(docs: Iterator[tuple[int, bytes]], capacity: int) -> Iterator[list[tuple[int, int, bytes, int]]]:
+def fill(docs: Iterator[tuple[int, bytes]], capacity: int) -> Iterator[list[Piece]]:
     """Sequences, each a list of (doc_id, start, ids, doc_tokens)."""
-    per_bin = classes(capacity)
-    sizes = sorted(per_bin, reverse=True)
-    bins: dict[int, list] = {size: [] for size in sizes}
+    bins: dict[int, list[Piece]] = {k: [] for k in range(1, MOST_CLASSES + 1)}
+    waiting: deque[tuple[list[Piece], int]] = deque()
+    room, spare = 0, _Spare()
     for doc_id, ids in docs:
-        n, at = len(ids) // 4, 0
-        for size in cut(n, sizes, capacity):
-            held = bins[size]
-            held.append((doc_id, at, ids[4 * at : 4 * (at + size)], n))
-            at += size
-            if len(held) == per_bin[size]:
-                yield held
-                bins[size] = []
-    left = [piece for size in sizes for piece in bins[size]]
-    total = sum(len(piece[2]) // 4 for piece in left)
-    rest = total % capacity
-    lengths = [capacity] * (total // capacity) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
-    pieces = iter(left)
-    piece = None
-    for length in lengths:
-        sequence = []
-        while length:
-            doc_id, at, ids, n = piece or next(pieces)
-            take = min(length, len(ids) // 4)
-            sequence.append((doc_id, at, ids[: 4 * take], n))
-            piece = (doc_id, at + take, ids[4 * take :], n) if len(ids) > 4 * take else None
-            length -= take
-        yield sequence
+        n = len(ids) // 4
+        rest = n % capacity
+        for at in range(0, n - rest, capacity):
+            yield [(doc_id, at, ids[4 * at : 4 * (at + capacity)], n)]
+        if not rest:
+            continue
+        piece, k = (doc_id, n - rest, ids[4 * (n - rest) :], n), length_class(rest, capacity)
+        if rest < n or k > MOST_CLASSES or room - spare.tokens > MOST_HELD * capacity or len(waiting) > MOST_WAITING:
+            spare.put(piece)
+        else:
+            held = bins[k]
+            held.append(piece)
+            if len(held) == k:
+                bins[k], left = [], capacity - sum(len(x[2]) // 4 for x in held)
+                waiting.append((held, left))
+                room += left
+        while waiting and waiting[0][1] <= spare.tokens:
+            held, left = waiting.popleft()
+            room -= left
+            yield held + spare.take(left)
+        while spare.tokens > MOST_HELD * capacity:
+            yield spare.take(capacity)
+    for piece in [x for held, _ in waiting for x in held] + [x for held in bins.values() for x in held]:
+        spare.put(piece)
+    while spare.tokens >= capacity:
+        yield spare.take(capacity)
+    for bit in reversed(range(spare.tokens.bit_length())):
+        if spare.tokens >> bit & 1:
+            yield spare.take(1 << bit)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

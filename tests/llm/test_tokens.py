@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -52,6 +53,21 @@ def test_packing(capacity):
     assert padding <= 2 / capacity * total
 
 
+def test_classes_hold_whole_documents():
+    rng = random.Random(7)
+    lengths = [min(20_000, int(rng.lognormvariate(6, 1.1)) + 1) for _ in range(4000)]
+    assert all(1024 // (k + 1) < n <= 1024 // k for n in range(1, 1025) for k in [packing.length_class(n, 1024)])
+    pieces, sequences, full = {}, 0, 0
+    for sequence in packing.fill(((i, bytes(4 * n)) for i, n in enumerate(lengths)), 1024):
+        sequences += 1
+        full += sum(len(x[2]) // 4 for x in sequence) == 1024
+        for doc, *_ in sequence:
+            pieces[doc] = pieces.get(doc, 0) + 1
+    fit = [i for i, n in enumerate(lengths) if n <= 1024]
+    assert sum(pieces[i] > 1 for i in fit) < 0.2 * len(fit)
+    assert sequences - full <= 10 and full >= 0.99 * sum(lengths) / 1024
+
+
 def test_packed_table(spark, odd, odd_rows):
     rows = packing.digests(packing.pack(odd, BYTES, 0)).collect()
     whole = dict(zip(range(len(odd_rows)), Encoder(BYTES).whole([r[1] or "" for r in odd_rows])))
@@ -85,6 +101,20 @@ def test_store_round_trip(spark, odd, odd_rows):
     assert len(hashes) == len(set(hashes))
 
 
+def test_documents_of_very_many_chunks(spark):
+    ids = np.arange(300_000, dtype="<u4") % 60_000
+    path = new_path(spark, "t")
+    ends = list(range(10, len(ids) + 1, 10))
+    payloads = [ids[e - 10 : e].astype("<u2").tobytes() for e in ends]
+    hashes = [chunk_store.hashlib.blake2b(p, digest_size=chunk_store.DIGEST).digest() for p in payloads]
+    spark.createDataFrame([(None, None, None, h, 10, p) for h, p in dict(zip(hashes, payloads)).items()], chunk_store.STAGED).write.parquet(f"{path}/chunks")
+    spark.createDataFrame([(0, 0, 7, 0, len(ids), hashes, ends)], "part long, place long, doc_id long, start long, n_tokens long, hashes array<binary>, ends array<long>").write.parquet(f"{path}/recipes")
+    chunk_store.roots(chunk_store.read_recipes(spark, path)).write.parquet(f"{path}/manifest")
+    began = time.time()
+    assert [r.ids_crc32 for r in chunk_store.digests(spark, path).collect()] == [zlib.crc32(ids.tobytes())]
+    assert time.time() - began < 30
+
+
 def test_damage_is_found(spark, odd):
     from pyspark.sql import functions as F
 
