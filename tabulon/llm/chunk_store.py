@@ -3,7 +3,7 @@
 Layout of a store at `path`:
   chunks/    hash, n, payload   each distinct chunk once; payload holds the ids little-endian, 2 or 4 bytes each
              (and, with no hash, the recipes in the order they were made)
-  recipes/   part, place, doc_id, start, n_tokens, hashes, lengths   documents in ascending doc_id order
+  recipes/   part, place, doc_id, start, n_tokens, hashes, ends      documents in ascending doc_id order
   manifest/  part, n_docs, n_tokens, root   a Merkle root over the recipes of each part
 A rolling hash over the last 16 ids cuts each document's ids where its low bits are zero, so equal
 passages give equal chunks wherever they stand. Writing: one pass encodes and cuts, a task sends
@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WINDOW, MEAN_BITS, LEAST, MOST = 16, 9, 64, 8192
+#: Chunks that an encoding task remembers, so as not to send them twice; what it forgets goes again and is dropped later.
+MOST_MET = 200_000
 DIGEST = 16
-STAGED = "doc_id long, hashes array<binary>, lengths array<int>, hash binary, n int, payload binary"
+STAGED = "doc_id long, hashes array<binary>, ends array<long>, hash binary, n int, payload binary"
 
 
 def _mixed(x):
@@ -75,8 +77,8 @@ def stage(docs: DataFrame, tokenizer_path: str, end_id: int | None, width: int,
 
         enc = encoder(tokenizer_path)
         end = b"" if end_id is None else end_id.to_bytes(4, "little")
-        types = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary()]
-        names = ["doc_id", "hashes", "lengths", "hash", "n", "payload"]
+        types = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary()]
+        names = ["doc_id", "hashes", "ends", "hash", "n", "payload"]
         met: set[bytes] = set()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
@@ -91,39 +93,39 @@ def stage(docs: DataFrame, tokenizer_path: str, end_id: int | None, width: int,
                 for doc_id, packed in zip(part.column(0).to_pylist(), enc.encode(["" if t is None else t for t in texts])):
                     ids = np.frombuffer(packed + end, dtype="<u4")
                     raw = ids.astype(f"<u{width}").tobytes()
-                    hashes, lengths, start = [], [], 0
-                    for stop in cut_points(ids):
+                    hashes, ends, start = [], cut_points(ids), 0
+                    for stop in ends:
                         payload = raw[start * width : stop * width]
                         digest = hashlib.blake2b(payload, digest_size=DIGEST).digest()
                         hashes.append(digest)
-                        lengths.append(stop - start)
                         if digest not in met:
+                            if len(met) >= MOST_MET:
+                                met.clear()
                             met.add(digest)
                             put(None, None, None, digest, stop - start, payload)
                         start = stop
-                    put(doc_id, hashes, lengths, None, None, None)
+                    put(doc_id, hashes, ends, None, None, None)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, STAGED)
 
 
 def _first_of_each(staged: DataFrame) -> DataFrame:
-    """Chunks dealt by hash, recipes by document; of equal chunks in a partition the first stays."""
+    """Chunks dealt and sorted by hash, recipes by document; of equal chunks the first stays."""
 
     def run(batches):
         import pyarrow as pa
 
-        met: set[bytes] = set()
+        last = None
         for batch in batches:
             keep = []
             for digest in batch.column(3).to_pylist():
-                keep.append(digest is None or digest not in met)
-                if digest is not None:
-                    met.add(digest)
+                keep.append(digest is None or digest != last)
+                last = digest
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep, pa.bool_())).columns, batch.schema.names)
 
     key = F.when(F.col("hash").isNull(), F.xxhash64("doc_id", "hashes")).otherwise(F.xxhash64("hash"))
-    return staged.repartition(key).mapInArrow(run, STAGED)
+    return staged.repartition(key).sortWithinPartitions("hash").mapInArrow(run, STAGED)
 
 
 def leaf(doc_id, hashes) -> bytes:
@@ -190,8 +192,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
     raw = spark.read.schema(STAGED).parquet(f"{path}/chunks")
     ordered = (
         raw.filter("hash IS NULL")
-        .select("doc_id", "hashes", "lengths", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens"))
-        .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("hashes"))
+        .select("doc_id", "hashes", "ends", F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0).cast("long")).alias("n_tokens"))
+        .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("hashes"), F.monotonically_increasing_id())
         .withColumn("part", F.spark_partition_id().cast("long"))
     )
     ordered.write.option("compression", "zstd").mode("overwrite").parquet(f"{path}/sorting")
@@ -208,7 +210,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
         (F.row_number().over(by) - 1).cast("long").alias("place"),
         "doc_id",
         (F.col("first") + F.sum("n_tokens").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")).alias("start"),
-        "n_tokens", "hashes", "lengths",
+        "n_tokens", "hashes", "ends",
     )
     recipes.sortWithinPartitions("part", "place").write.option("compression", "zstd").mode("overwrite").parquet(f"{path}/recipes")
     roots(read_recipes(spark, path)).write.mode("overwrite").parquet(f"{path}/manifest")
@@ -216,7 +218,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("part long, place long, doc_id long, start long, n_tokens long, hashes array<binary>, lengths array<int>").parquet(f"{path}/recipes")
+    return spark.read.schema("part long, place long, doc_id long, start long, n_tokens long, hashes array<binary>, ends array<long>").parquet(f"{path}/recipes")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -296,10 +298,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     shift.__annotations__ = {"series": pd.Series, "more": pd.Series, "return": pd.Series}
     move = F.pandas_udf(shift, "long")
     recipes = read_recipes(spark, path)
-    after = F.transform(
-        F.sequence(F.lit(1), F.size("hashes")),
-        lambda i: F.aggregate(F.slice("lengths", i + 1, F.size("hashes")), F.lit(0).cast("long"), lambda a, x: a + x),
-    )
+    after = F.transform("ends", lambda end: F.col("n_tokens") - end)
     uses = recipes.filter(F.size("hashes") > 0).select("part", "place", F.explode(F.arrays_zip(F.col("hashes").alias("hash"), after.alias("after"))).alias("use")).select("part", "place", F.col("use.hash").alias("hash"), F.col("use.after").alias("after"))
     sums = uses.join(chunk_sums(spark, path), "hash", "left").select("part", "place", move(F.coalesce("crc", F.raise_error(F.lit("a chunk is missing")).cast("long")), F.col("after") * 4).alias("crc"))
     whole = sums.groupBy("part", "place").agg(F.bit_xor("crc").alias("ids_crc32"))
