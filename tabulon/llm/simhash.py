@@ -216,12 +216,31 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle_words: int = 3, ti
 
 #: 64-bit words of the wide sketch and the rows of a tile; the first two words decide which pairs are compared by all.
 WIDE_WORDS, WIDE_TILE = 16, 16_384
-#: Sets whose sizes are within the similarity are in the same class or the next one.
-CLASS_RATIO = 1.25
+#: Two sets share a band if all its least hashes agree: of pairs of 0.8, three in a million share none.
+BANDS, BAND_ROWS = 24, 4
+
+
+def band_keys(hashes, counts):
+    """For each set of shingle hashes, BANDS keys of BAND_ROWS least hashes; sets without shingles share theirs."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    full = np.flatnonzero(counts)
+    keys = np.zeros((len(counts), BANDS), dtype=np.uint64)
+    if len(full):
+        low = (hashes >> np.uint64(32)).astype(np.uint32)
+        first = np.concatenate(([0], np.cumsum(counts[full])[:-1]))
+        for band in range(BANDS):
+            for _ in range(BAND_ROWS):
+                xor, times = rng.integers(0, 1 << 32, 2, dtype=np.uint32)
+                least = np.minimum.reduceat((low ^ xor) * (times | np.uint32(1)), first)
+                keys[full, band] = (keys[full, band] ^ least) * np.uint64(0x9E3779B97F4A7C15)
+                keys[full, band] ^= keys[full, band] >> np.uint64(29)
+    return keys * np.uint64(0xBF58476D1CE4E5B9) + np.arange(BANDS, dtype=np.uint64)
 
 
 def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """id0, h, n (distinct shingles) and 16 SimHash words over the set of a text's shingles; the first word is the fingerprint."""
+    """id0, h, n (distinct shingles), 16 SimHash words over the set of a text's shingles (the first is the fingerprint), and its band keys."""
 
     def run(batches):
         import numpy as np
@@ -242,9 +261,10 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
                     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
                     words.append(majority_bits(x ^ (x >> np.uint64(32)), counts))
                 wide = np.stack(words, axis=1).astype("<u8")
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array([row.tobytes() for row in wide], pa.binary())], ["id0", "h", "n", "wide"])
+                keys = pa.ListArray.from_arrays(np.arange(0, BANDS * len(counts) + 1, BANDS, dtype=np.int32), pa.array(band_keys(hashes, counts).view(np.int64).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array([row.tobytes() for row in wide], pa.binary()), keys], ["id0", "h", "n", "wide", "keys"])
 
-    return docs.mapInArrow(run, "id0 long, h long, n long, wide binary")
+    return docs.mapInArrow(run, "id0 long, h long, n long, wide binary, keys array<long>")
 
 
 def _radii(similarity: float, bits: int, deviations: float = 6.0):
@@ -297,26 +317,20 @@ def _forest(n: int, left, right, distance):
     return np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64)
 
 
-def _class_links(distinct: DataFrame, similarity: float, tile_rows: int) -> DataFrame:
-    """(a, b) candidates whose sketches are near: tiles of one size class, and of one and the next.
+def _band_links(distinct: DataFrame, similarity: float, tile_rows: int) -> DataFrame:
+    """(a, b) candidates whose sketches are near, among sets that share a band.
 
-    A tile gives a shortest spanning forest of its candidates, which is never more than its rows: what candidates join,
-    these join too.
+    A band's sets are a tile; those of a larger one are dealt in parts, and every two parts are a tile. A tile gives a
+    shortest spanning forest of its candidates, which is never more than its rows: what candidates join, these join too.
     """
-    spark = distinct.sparkSession
-    size = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(CLASS_RATIO))).cast("int")
-    classed = distinct.withColumn("c", size)
-    # one row for each class, so its size is that of the logarithm of the longest text
-    parts = {r.c: -(-r.n // tile_rows) for r in classed.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not parts:
-        return spark.createDataFrame([], "a long, b long")
-    known = F.create_map(*(F.lit(x) for c, n in parts.items() for x in (c, n)))
-    own = F.struct(F.col("c").alias("c"), F.pmod(F.xxhash64("node"), F.try_element_at(known, F.col("c"))).cast("int").alias("s"))
-    of = lambda c: F.transform(F.sequence(F.lit(0), F.coalesce(F.try_element_at(known, c), F.lit(0)) - 1), lambda s: F.struct(c.alias("c"), s.cast("int").alias("s")))
-    some = lambda c: F.when(F.try_element_at(known, c).isNotNull(), of(c)).otherwise(F.array().cast("array<struct<c: int, s: int>>"))
-    partners = F.concat(some(F.col("c") - 1), some(F.col("c")), some(F.col("c") + 1))
-    keys = F.transform(partners, lambda p: F.xxhash64(F.least(p, F.col("own")), F.greatest(p, F.col("own"))))
-    dealt = classed.withColumn("own", own).select(F.explode(keys).alias("key"), "node", "n", "wide")
+    every = distinct.select(F.explode("keys").alias("key"), "node")
+    shared = stored(every.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("parts"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key", "parts"), "shared")
+    members = stored(every.join(shared, "key").groupBy("node").agg(F.collect_list(F.struct("key", "parts")).alias("bands")), "members")
+    rows = distinct.join(members, "node").select(F.explode("bands").alias("band"), "node", "n", "wide").select("band.key", "band.parts", "node", "n", "wide")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda s: s != F.col("own"))
+    keys = F.when(F.col("parts") == 1, F.array("key")).otherwise(F.transform(others, lambda s: F.xxhash64("key", F.least(s, F.col("own")), F.greatest(s, F.col("own")))))
+    dealt = rows.withColumn("own", own).select(F.explode(keys).alias("key"), "node", "n", "wide")
     first_radius, too_far = _radii(similarity, 128), _radii(similarity, 64 * WIDE_WORDS)
 
     def compare(node, n, wide):
@@ -499,11 +513,12 @@ def _settled(groups: DataFrame, texts: DataFrame, similarity: float, shingle_wor
 def deduplicated(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, tile_rows: int = WIDE_TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns: of each group of near-duplicates the one with the smallest id.
 
-    A radius of 128 SimHash bits that finds 0.8-similar sets takes in unrelated ones too, so rows within it are compared again
+    Only sets that share a band of least hashes are compared, so the work grows with the documents and not with their square.
+    A radius of 128 SimHash bits that finds 0.8-similar sets takes in unrelated ones too, so pairs within it are compared again
     by 1024 bits of the same kind. Those near there are candidates only: no row goes without a link whose texts' sets were
     compared. A spanning forest of the candidates is compared first; where one of its links fails and leaves a group of
     candidates apart, all sets of that group are compared with each other. Links chain. The comparisons grow with the square
-    of the distinct texts in a size class, and of those in a group, in tiles of independent tasks. A row without an id takes
+    of the distinct texts of one band, and of a group, in tiles of independent tasks. A row without an id takes
     one from its text; rows of one id are told apart by the hash of their text, and of equal ones one stays.
     """
     own = docs.columns
@@ -513,9 +528,9 @@ def deduplicated(docs: DataFrame, similarity: float = 0.8, shingle_words: int =
     rows = docs.select(id0.alias("id0"), h.alias("h"), text.alias("text"))
     prints = stored(sketches(rows, shingle_words), "sketches")
     # a text's hash is its name; of equal sketches the row of the smallest id speaks for all
-    distinct = stored(prints.groupBy("wide", "n").agg(F.min(F.struct("id0", "h")).alias("first")).select("wide", "n", F.col("first.h").alias("node"), F.col("first.id0").alias("least")), "distinct")
+    distinct = stored(prints.groupBy("wide", "n", "keys").agg(F.min(F.struct("id0", "h")).alias("first")).select("wide", "n", "keys", F.col("first.h").alias("node"), F.col("first.id0").alias("least")), "distinct")
     texts = rows.join(distinct.select(F.col("least").alias("id0"), F.col("node").alias("h")), ["id0", "h"], "left_semi").select(F.col("h").alias("id0"), "text")
-    links = stored(_class_links(distinct, similarity, tile_rows), "links")
+    links = stored(_band_links(distinct, similarity, tile_rows), "links")
     tried = stored(_similar(links, texts, similarity, shingle_words), "tried")
     sound = tried.filter("similar").select("a", "b")
     names = components(sound, "near")

@@ -153,3 +153,25 @@ def test_texts_under_one_id_are_told_apart(spark):
     left = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     got = [tuple(r) for r in left.collect()]
     assert len(got) == 4 and set(got) == {(1, a), (1, b), (None, c), rows[7]}
+
+
+def test_bands_hold_pairs_of_that_similarity():
+    rng = np.random.default_rng(12)
+    missed = 0
+    for small, large, both in [(4, 5, 4), (20, 25, 20), (90, 90, 80), (180, 180, 160), (1000, 1250, 1000)]:
+        for _ in range(60):
+            h = rng.integers(0, 2**63, small + large - both, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            keys = simhash.band_keys(np.concatenate([h[:small], h[small - both :]]), np.array([small, large]))
+            missed += not (keys[0] == keys[1]).any()
+    assert missed == 0
+    apart = simhash.band_keys(rng.integers(0, 2**63, 2000, dtype=np.uint64), np.full(20, 100))
+    assert len(np.unique(apart)) == apart.size
+    empty = simhash.band_keys(np.zeros(0, dtype=np.uint64), np.zeros(3, dtype=np.int64))
+    assert (empty == empty[0]).all() and len(np.unique(empty[0])) == simhash.BANDS
+
+
+def test_survivors_of_real_documents_as_by_exact_sets(spark):
+    """Recall and precision over the whole table, against all pairs of sets."""
+    rows = sorted((r.doc_id, (r.text or "").encode().lower().decode()) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())
+    left = simhash.deduplicated(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert sorted(r.doc_id for r in left.collect()) == [rows[i][0] for i in exact_survivors([t for _, t in rows])]
