@@ -68,6 +68,11 @@ def pairs_of(n: Column) -> Column:
     return n * (n - 1) / 2
 
 
+def seeded_hash(key: Column, seed: int) -> Column:
+    """MD5 of the seed and the key, as hexadecimal digits: the same in every run and engine."""
+    return F.md5(F.concat_ws(":", F.lit(seed), key))
+
+
 def any_missing(*cols: str) -> Column:
     out = F.lit(False)
     for c in cols:

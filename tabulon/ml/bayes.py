@@ -64,12 +64,11 @@ class CategoricalNB:
     unseen: float
 
     def transform(self, df: DataFrame, key: str) -> DataFrame:
-        if self.table.count() > MOST_PARAMETERS:
-            raise ValueError(f"over {MOST_PARAMETERS} parameters to send out")
+        small = self.table.count() <= MOST_PARAMETERS  # else both sides are dealt by class, feature and value
         long = _long(df, [key], self.features)
         classes = F.explode(F.array(*(F.struct(F.lit(c).alias("class"), F.lit(p).alias("prior")) for c, p in self.priors.items())))
         each = long.select("*", classes.alias("c")).select(key, "feature", "value", "c.class", "c.prior")
-        met = each.join(F.broadcast(self.table), ["class", "feature", "value"], "left")
+        met = each.join(F.broadcast(self.table) if small else self.table, ["class", "feature", "value"], "left")
         score = met.groupBy(key, "class").agg((F.log(F.max("prior")) + F.sum(F.log(F.coalesce("p", F.lit(self.unseen))))).alias("score"))
         return _probabilities(score, key)
 

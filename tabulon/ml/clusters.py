@@ -62,9 +62,9 @@ def kmeans(df: DataFrame, features: Sequence[str], n_clusters: int, max_iter: in
     return model
 
 
-def best_k(df: DataFrame, key: str, features: Sequence[str], ks: Sequence[int], seed: int = 0) -> tuple[int, dict[int, float]]:
+def best_k(df: DataFrame, key: str, features: Sequence[str], ks: Sequence[int], seed: int = 0, max_iter: int = 300) -> tuple[int, dict[int, float]]:
     """The number of clusters with the best mean silhouette, and all of them."""
-    scores = {k: kmeans(df, features, k, seed=seed).score(df, key) for k in ks}
+    scores = {k: kmeans(df, features, k, max_iter, seed).score(df, key) for k in ks}
     return max(scores, key=lambda k: (scores[k], -k)), scores
 
 

@@ -99,39 +99,69 @@ def _standardised(df: DataFrame, features: Sequence[str], label: str, normalize:
     return Scaled(list(features), s.shift, safe).transform(df), s.shift, s.scale
 
 
-def _sgd_rows(df: DataFrame, features: Sequence[str], label: str, seed: int, most_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = df.dropna(subset=[*features, label]).select(F.xxhash64(*features, label, F.lit(seed)).alias("_h"), *(F.col(c).cast("double") for c in features), F.col(label).cast("double").alias("_y"))
-    held = np.array([r[1:] for r in rows.orderBy("_h").limit(most_rows).collect()])
-    return np.c_[np.ones(len(held)), held[:, :-1]], held[:, -1]
-
-
-def _sgd(df, features, label, alpha: float, n_iters: int, tol: float, seed: int, most_rows: int) -> np.ndarray:
-    """Step 1 / (i n + j + 100), rows in a new order each round; learns from at most `most_rows` rows, taken by hash."""
-    z, y = _sgd_rows(df, features, label, seed, most_rows)
-    rng, theta = np.random.default_rng(seed), np.zeros(z.shape[1])
-    for i in range(n_iters):
-        before = theta.copy()
-        for j, r in enumerate(rng.permutation(len(y))):
-            g = 2 * (z[r] @ theta - y[r]) * z[r] + 2 * alpha * np.r_[0, theta[1:]]
-            theta = theta - g / (i * len(y) + j + 100)
-        if np.linalg.norm(theta - before) <= tol:
-            break
+#: Rows that one model of the stochastic solver learns from, and its rounds before models are averaged.
+SGD_ROWS, SGD_ROUNDS = 50_000, 20
+
+
+def _sgd(df, features, label, alpha: float, n_iters: int, tol: float, seed: int) -> np.ndarray:
+    """Steps of 1 / (i n + j + 100) over all rows, in a new order each round.
+
+    Rows are dealt at random to parts of about SGD_ROWS. Each part takes SGD_ROUNDS rounds from the common weights, then
+    the weights are averaged by the parts' rows, until no part moves by more than `tol` in a round.
+    """
+    rows = df.dropna(subset=[*features, label]).select(*(F.col(c).cast("double") for c in features), F.col(label).cast("double").alias("_y"))
+    n = rows.count()
+    if not n:
+        raise ValueError("no complete rows to fit")
+    rows = rows.repartition(n // SGD_ROWS + 1, F.xxhash64(*rows.columns, F.monotonically_increasing_id())).persist()
+    theta = np.zeros(len(features) + 1)
+    try:
+        for first in range(0, n_iters, SGD_ROUNDS):
+            start, rounds = theta.tolist(), range(first, min(first + SGD_ROUNDS, n_iters))
+
+            def learn(batches, start=start, rounds=rounds):
+                import pyarrow as pa
+                from pyspark import TaskContext
+
+                held = [np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) for b in batches if b.num_rows]
+                if not held:
+                    return
+                held = np.concatenate(held)
+                held = held[np.lexsort(held.T)]
+                z, y, t, moved = np.c_[np.ones(len(held)), held[:, :-1]], held[:, -1], np.array(start), 0.0
+                for i in rounds:
+                    before = t.copy()
+                    rng = np.random.default_rng((seed, i, TaskContext.get().partitionId()))
+                    for j, r in enumerate(rng.permutation(len(y))):
+                        g = 2 * (z[r] @ t - y[r]) * z[r] + 2 * alpha * np.r_[0, t[1:]]
+                        t = t - g / (i * len(y) + j + 100)
+                    moved = float(np.linalg.norm(t - before))
+                    if moved <= tol:
+                        break
+                yield pa.RecordBatch.from_arrays([pa.array([len(y)]), pa.array([moved]), pa.array([t.tolist()], pa.list_(pa.float64()))], ["n", "moved", "theta"])
+
+            parts = rows.mapInArrow(learn, "n long, moved double, theta array<double>").collect()
+            theta = np.average([p.theta for p in parts], axis=0, weights=[p.n for p in parts])
+            if max(p.moved for p in parts) <= tol:
+                break
+    finally:
+        rows.unpersist()
     return theta
 
 
-def linear_regression(df: DataFrame, features: Sequence[str], label: str, normalize: bool = True, solver: str = "lsqr", gradient: str = "math", n_iters: int = 1000, learning_rate: float = 0.1, tol: float = 1e-3, seed: int = 0, sgd_rows: int = 10_000) -> LinearModel:
+def linear_regression(df: DataFrame, features: Sequence[str], label: str, normalize: bool = True, solver: str = "lsqr", gradient: str = "math", n_iters: int = 1000, learning_rate: float = 0.1, tol: float = 1e-3, seed: int = 0) -> LinearModel:
     """Solver lsqr (normal equations, descent where they are singular), gd or sgd; gradient math or debug (numeric)."""
-    return ridge(df, features, label, 0.0, normalize, solver, gradient, n_iters, learning_rate, tol, seed, sgd_rows)
+    return ridge(df, features, label, 0.0, normalize, solver, gradient, n_iters, learning_rate, tol, seed)
 
 
-def ridge(df: DataFrame, features: Sequence[str], label: str, alpha: float = 1.0, normalize: bool = True, solver: str = "lsqr", gradient: str = "math", n_iters: int = 1000, learning_rate: float = 0.1, tol: float = 1e-3, seed: int = 0, sgd_rows: int = 10_000) -> LinearModel:
+def ridge(df: DataFrame, features: Sequence[str], label: str, alpha: float = 1.0, normalize: bool = True, solver: str = "lsqr", gradient: str = "math", n_iters: int = 1000, learning_rate: float = 0.1, tol: float = 1e-3, seed: int = 0) -> LinearModel:
     """lsqr adds alpha to the whole diagonal, the intercept's too; gd math takes mean gradient + alpha theta, all of it;
     gd debug minimises MSE + alpha |theta without intercept|^2; sgd the same."""
     if solver not in ("lsqr", "gd", "sgd") or gradient not in ("math", "debug"):
         raise ValueError("solver is lsqr, gd or sgd; gradient is math or debug")
     z, shift, scale = _standardised(df, features, label, normalize)
     if solver == "sgd":
-        theta = _sgd(z, features, label, alpha, n_iters, tol, seed, sgd_rows)
+        theta = _sgd(z, features, label, alpha, n_iters, tol, seed)
         return LinearModel(list(features), shift, scale, theta.tolist())
     g = gram(z, features, label)
     p = len(g.zy)

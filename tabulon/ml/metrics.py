@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.storage import new_path, stored
+
 
 def mean_absolute_error(y: str, p: str) -> Column:
     return F.avg(F.abs(F.col(y) - F.col(p)))
@@ -61,16 +63,23 @@ def silhouette(df: DataFrame, key: str, cols: list[str], cluster: str) -> DataFr
     """key, silhouette: exact, by Euclidean distance; 0 for a cluster of one, NULL where there is only one cluster.
 
     Every row meets every other, so the work grows with the square of the rows. They go out in blocks of about BLOCK rows,
-    and each task adds up a block's distances by row and cluster before anything is moved.
+    and each task adds up a block's distances by row and cluster before anything is moved. Blocks run one after another and
+    each writes its sums to the shared folder, so no plan grows with their number.
     """
     a = df.select(F.col(key).alias("_k"), F.col(cluster).alias("_c"), *(F.col(c).alias(f"_a{i}") for i, c in enumerate(cols)))
     b = df.select(F.col(cluster).alias("_d"), *(F.col(c).alias(f"_b{i}") for i, c in enumerate(cols)))
     d = F.sqrt(sum((F.pow(F.col(f"_a{i}") - F.col(f"_b{i}"), F.lit(2.0)) for i in range(len(cols))), F.lit(0.0)))
-    parts, sums = df.count() // BLOCK + 1, None
+    parts, paths = df.count() // BLOCK + 1, []
+    if parts > 1:
+        a = stored(a.withColumn("_block", F.pmod(F.xxhash64("_k"), F.lit(parts))).sortWithinPartitions("_block"), "silhouette")
     for i in range(parts):
-        block = a if parts == 1 else a.filter(F.pmod(F.xxhash64("_k"), F.lit(parts)) == i)
-        met = b.crossJoin(F.broadcast(block)).groupBy("_k", "_c", "_d").agg(F.sum(d).alias("s"), F.count(F.lit(1)).alias("n"))
-        sums = met if sums is None else sums.unionByName(met)
+        block = a if parts == 1 else a.filter(F.col("_block") == i).drop("_block")
+        sums = b.crossJoin(F.broadcast(block)).groupBy("_k", "_c", "_d").agg(F.sum(d).alias("s"), F.count(F.lit(1)).alias("n"))
+        if parts > 1:
+            paths.append(new_path(df.sparkSession, "silhouette"))
+            stored(sums, "silhouette", paths[-1])
+    if paths:
+        sums = df.sparkSession.read.schema(sums.schema).parquet(*paths)
     own = F.max(F.when(F.col("_c") == F.col("_d"), F.struct((F.try_divide(F.col("s"), F.col("n") - 1)).alias("m"), F.col("n").alias("n"))))
     out = sums.groupBy("_k").agg(own.alias("own"), F.min(F.when(F.col("_c") != F.col("_d"), F.col("s") / F.col("n"))).alias("b"))
     m = F.col("own.m")

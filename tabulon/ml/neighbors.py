@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.scalars import norm_difference
+from tabulon.storage import new_path, stored
 
 #: Rows of the side that is sent to every task at once.
 BLOCK = 20_000
@@ -17,20 +18,26 @@ def neighbours(queries: DataFrame, train: DataFrame, key: str, features: Sequenc
     """key, rank, train_key, distance and the carried train columns of each query's k nearest rows, ties by the train key.
 
     Queries are taken in blocks of at most about BLOCK rows, each sent to the tasks that hold the train rows;
-    every task keeps only the k best of each query before anything is moved.
+    every task keeps only the k best of each query before anything is moved. Blocks run one after another and
+    each writes its rows to the shared folder, so no plan grows with their number.
     """
     t = train_key or key
     vector = F.array(*(F.col(c).cast("double") for c in features)) if len(features) > 1 else F.col(features[0]).cast("array<double>") if dict(train.dtypes)[features[0]].startswith("array") else F.array(F.col(features[0]).cast("double"))
     right = train.select(F.col(t).alias("_t"), vector.alias("_b"), *(F.col(c).alias(f"_{c}") for c in carry))
     left = queries.select(F.col(key).alias("_q"), vector.alias("_a"))
     parts = left.count() // BLOCK + 1
+    if parts > 1:
+        left = stored(left.withColumn("_block", F.pmod(F.xxhash64("_q"), F.lit(parts))).sortWithinPartitions("_block"), "queries")
     order = Window.partitionBy("_q").orderBy("distance", "_t")
-    out = None
+    paths = []
     for i in range(parts):
-        block = left if parts == 1 else left.filter(F.pmod(F.xxhash64("_q"), F.lit(parts)) == i)
+        block = left if parts == 1 else left.filter(F.col("_block") == i).drop("_block")
         met = right.crossJoin(F.broadcast(block)).select("_q", "_t", norm_difference(F.col("_a"), F.col("_b"), p).alias("distance"), *(f"_{c}" for c in carry))
         best = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
+        if parts > 1:
+            paths.append(new_path(train.sparkSession, "neighbours"))
+            stored(best, "neighbours", paths[-1])
+    out = train.sparkSession.read.schema(best.schema).parquet(*paths) if paths else best
     return out.select(F.col("_q").alias(key), "rank", F.col("_t").alias("neighbour"), "distance", *(F.col(f"_{c}").alias(c) for c in carry))
 
 

@@ -8,6 +8,7 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.functions.scalars import seeded_hash
 from tabulon.operators.relational import with_position
 
 
@@ -18,8 +19,8 @@ def train_test_split(df: DataFrame, key: str, train_size: float | None = None, t
     train_size = 1 - test_size if train_size is None else train_size
     if not 0 < train_size < 1 or (test_size is not None and abs(train_size + test_size - 1) > 1e-9):
         raise ValueError("the sizes are shares that add up to 1")
-    hashed = with_position(df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))), ["_h", key], "_p").persist()
-    k = int(hashed.count() * train_size)
+    hashed = with_position(df.withColumn("_h", seeded_hash(F.col(key), seed)), ["_h", key], "_p")
+    k = int(df.count() * train_size)
     return hashed.filter(F.col("_p") < k).drop("_h", "_p"), hashed.filter(F.col("_p") >= k).drop("_h", "_p")
 
 

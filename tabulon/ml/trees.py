@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.functions.scalars import seeded_hash
 from tabulon.ml.preprocess import Fitted
 
 MOST_CLASSES = 1000
@@ -229,7 +230,7 @@ def grow_id3(df: DataFrame, features: Sequence[str], label: str, max_depth: int
 
 def bootstrap_weight(key: Column, seed: int) -> Column:
     """How often a row is drawn: Poisson(1) from a hash of its key, so the same in every run."""
-    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    u = F.conv(F.substring(seeded_hash(key, seed), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     total, p, out = 0.0, 0.36787944117144233, None
     for k in range(8):
         total += p

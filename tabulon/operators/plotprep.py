@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.operators.relational import with_global
+from tabulon.operators.relational import quantiles_by, with_global
 
 
 def histogram(df: DataFrame, c: str, bins: int = 20) -> DataFrame:
@@ -19,8 +19,8 @@ def histogram(df: DataFrame, c: str, bins: int = 20) -> DataFrame:
 
 def box_stats(df: DataFrame, group: Sequence[str], c: str) -> DataFrame:
     """Exact quartiles and whiskers: the farthest values within 1.5 quartile distances."""
-    q = df.dropna(subset=[*group, c]).groupBy(*group).agg(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    met = df.join(F.broadcast(q) if not group else q, list(group))
+    q = quantiles_by(df.dropna(subset=[*group, c]), group, c, (0.25, 0.5, 0.75), "_q")
+    met = df.crossJoin(F.broadcast(q)) if not group else df.join(q, list(group))
     reach = (F.col("_q")[2] - F.col("_q")[0]) * 1.5
     inside = (F.col(c) >= F.col("_q")[0] - reach) & (F.col(c) <= F.col("_q")[2] + reach)
     first = lambda i: F.first(F.col("_q")[i])
@@ -34,7 +34,7 @@ def box_stats(df: DataFrame, group: Sequence[str], c: str) -> DataFrame:
 def letter_values(df: DataFrame, group: Sequence[str], c: str, depth: int = 4) -> DataFrame:
     """Quantiles 1/2, 1/4, 3/4, 1/8, 7/8, ... of each group."""
     shares = sorted({0.5} | {x for d in range(2, depth + 1) for x in (0.5**d, 1 - 0.5**d)})
-    rows = df.groupBy(*group).agg(F.percentile(c, F.array(*map(F.lit, shares))).alias("_q"))
+    rows = quantiles_by(df, group, c, shares, "_q")
     return rows.select(*group, F.posexplode("_q").alias("_i", "value")).select(*group, F.get(F.array(*map(F.lit, shares)), F.col("_i")).alias("share"), "value")
 
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.functions.scalars import seeded_hash
 from tabulon.storage import stored
 
 
@@ -67,7 +68,13 @@ def last_rows(df: DataFrame, groups: Sequence[str], order: str, n: int) -> DataF
 
 
 def permuted(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    """Rows in the order of a hash of the seed and the key."""
+    return df.orderBy(seeded_hash(F.col(key), seed), key)
+
+
+def permuted_position(df: DataFrame, key: str, seed: int = 0, name: str = "position") -> DataFrame:
+    """Each row's place in that order, from 0."""
+    return with_position(df.withColumn("_h", seeded_hash(F.col(key), seed)), ["_h", key], name).drop("_h")
 
 
 def value_counts(df: DataFrame, cols: Sequence[str], name: str = "n") -> DataFrame:
@@ -180,6 +187,46 @@ def exact_quantiles(df: DataFrame, c: str, shares: Sequence[float]) -> list[floa
     return out
 
 
+#: Cuts that the rows of each group are dealt out by.
+GROUP_CUTS = 255
+
+
+def quantiles_by(df: DataFrame, group: Sequence[str], c: str, shares: Sequence[float], name: str = "quantiles") -> DataFrame:
+    """The group's columns and an array of its exact quantiles, NULL values left out; NULL is a group of its own.
+
+    Where a group has more than DIRECT_ROWS rows, no task holds a group: a sketch proposes cuts, rows are counted between
+    cuts, and only the values between the cuts around each rank are put in order, each distinct one once.
+    """
+    x = df.select(*group, F.col(c).cast("double").alias("_x")).dropna(subset=["_x"])
+    if not group:
+        return df.sparkSession.createDataFrame([(exact_quantiles(df, c, shares),)], f"`{name}` array<double>")
+    most = x.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= DIRECT_ROWS:
+        return x.groupBy(*group).agg(F.percentile("_x", F.array(*(F.lit(float(s)) for s in shares))).alias(name))
+    key = [f"_g{i}" for i in range(len(group))]
+    x = x.select(*(F.col(g).alias(k) for g, k in zip(group, key)), "_x")
+
+    def met(a: DataFrame, b: DataFrame, more: Sequence[str] = (), how: str = "inner") -> DataFrame:
+        other = b.select(*(F.col(k).alias(f"_r{k}") for k in (*key, *more)), *(F.col(n) for n in b.columns if n not in (*key, *more)))
+        on = reduce(lambda p, q: p & q, (F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in (*key, *more)))
+        out = a.join(other, on, how)
+        return out.drop(*(f"_r{k}" for k in (*key, *more)))
+
+    cuts = stored(x.groupBy(*key).agg(F.percentile_approx("_x", [i / (GROUP_CUTS + 1) for i in range(1, GROUP_CUTS + 1)], 10_000).alias("_cuts"), F.count(F.lit(1)).alias("_n")), "cuts")
+    placed = stored(met(x, cuts).select(*key, "_x", F.size(F.filter("_cuts", lambda v: v < F.col("_x"))).alias("_b")), "placed")
+    counts = placed.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("_k"))
+    below = F.sum("_k").over(Window.partitionBy(*key).orderBy("_b")) - F.col("_k")
+    low = [F.floor(F.lit(float(s)) * (F.col("_n") - 1)) for s in shares]
+    ranks = cuts.select(*key, F.explode(F.array_distinct(F.flatten(F.array(*(F.array(r, F.least(r + 1, F.col("_n") - 1)) for r in low))))).alias("_rank"))
+    wanted = stored(met(counts.withColumn("_below", below), ranks).filter("_below <= _rank AND _rank < _below + _k").select(*key, "_b", "_below", "_rank"), "wanted")
+    values = met(placed, wanted.select(*key, "_b").distinct(), ["_b"], "left_semi").groupBy(*key, "_b", "_x").agg(F.count(F.lit(1)).alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(*key, "_b").orderBy("_x"))
+    found = met(values.withColumn("_upto", upto), wanted, ["_b"]).filter("_rank < _below + _upto AND _rank >= _below + _upto - _k")
+    by_rank = found.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_x"))).alias("_at"))
+    one = lambda s, r: F.try_element_at("_at", r) + (F.try_element_at("_at", F.least(r + 1, F.col("_n") - 1)) - F.try_element_at("_at", r)) * (F.lit(float(s)) * (F.col("_n") - 1) - r)
+    return met(by_rank, cuts).select(*(F.col(k).alias(g) for g, k in zip(group, key)), F.array(*(one(s, r) for s, r in zip(shares, low))).alias(name))
+
+
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """column, count, mean, std (sample), min, exact quartiles, max; two passes for all columns, more beyond DIRECT_ROWS."""
     plain = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}

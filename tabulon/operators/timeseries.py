@@ -31,6 +31,13 @@ def power_rules(target: str = "Patv", wind: str = "Wspd", pitch: Sequence[str] =
     return rules
 
 
+def sensor_rules(pitch: Sequence[str] = ("Pab1", "Pab2", "Pab3"), wind_dir: str = "Wdir", nacelle_dir: str = "Ndir") -> list[tuple[str, Column]]:
+    """Quality rules that empty the angles themselves; they come after those that empty the target by them."""
+    c = F.col
+    rules = [(wind_dir, (c(wind_dir) < -180) | (c(wind_dir) > 180)), (nacelle_dir, (c(nacelle_dir) < -720) | (c(nacelle_dir) > 720))]
+    return rules + [(p, c(p) > 89) for p in pitch]
+
+
 def cleaned(df: DataFrame, rules: Sequence[tuple[str, Column]], label: str | None = None, raw: str = "label_raw") -> DataFrame:
     """Rules applied in order; `label` is copied to `raw` after them, before anything is filled in."""
     out = null_where(df, rules)
@@ -164,11 +171,16 @@ def training_loss(truth: str, prediction: str, weights: Sequence[float] = (), al
 
 
 def unit_scores(df: DataFrame, unit: str, step: str, truth: str, prediction: str, mask: Column, last: int, scale: float = 1000.0) -> DataFrame:
-    """unit, mae, rmse over the last `last` unmasked rows, divided by `scale`; -1 where all predictions are zero."""
-    order = Window.partitionBy(unit).orderBy(F.col(step).desc())
-    kept = df.filter(~F.coalesce(mask, F.lit(False))).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= last)
-    error = F.col(truth) - F.col(prediction)
-    out = kept.groupBy(unit).agg(F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.bool_or(F.col(prediction) != 0).alias("_any"))
+    """unit, mae, rmse over the last `last` unmasked rows, divided by `scale`.
+
+    -1 unless predictions and truth both have a value other than zero among all of the unit's unmasked rows.
+    """
+    ok = ~F.coalesce(mask, F.lit(False))
+    order = Window.partitionBy(unit, "_ok").orderBy(F.col(step).desc())
+    ranked = df.withColumn("_ok", ok).withColumn("_r", F.row_number().over(order))
+    error = F.when(F.col("_ok") & (F.col("_r") <= last), F.col(truth) - F.col(prediction))
+    some = lambda c: F.coalesce(F.bool_or(F.col("_ok") & (F.col(c) != 0)), F.lit(False))
+    out = ranked.groupBy(unit).agg(F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), (some(truth) & some(prediction)).alias("_any"))
     return out.select(unit, *(F.when(F.col("_any"), F.col(c) / scale).otherwise(-1.0).alias(c) for c in ("mae", "rmse")))
 
 

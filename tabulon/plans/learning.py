@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.scalars import rounded
 from tabulon.ml import bayes, clusters, ensembles, linear, metrics, neighbors, preprocess, selection, trees
+from tabulon.plans import unrolled
 from tabulon.plans.registry import Tables, query, r6
 
 c = F.col
@@ -106,7 +107,7 @@ def silhouette(t: Tables) -> DataFrame:
     return metrics.silhouette(suppliers(t), "s_suppkey", ["a", "b"], "g").withColumn("silhouette", rounded(c("silhouette")))
 
 
-@query()
+@query("SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY md5('0:' || o_orderkey), o_orderkey) <= floor(count(*) OVER () * 0.75) THEN 'train' ELSE 'test' END AS side FROM orders")
 def split_exact(t: Tables) -> DataFrame:
     train, test = selection.train_test_split(t.orders.select("o_orderkey"), "o_orderkey", 0.75)
     return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
@@ -161,11 +162,31 @@ def ridge_one_feature(t: Tables) -> DataFrame:
     return linear.ridge(df, ["size"], "price", alpha=2.5).transform(df).select("p_partkey", rounded(c("prediction")).alias("prediction"))
 
 
-@query()
+_MOMENTS = f"""{PART}, zs AS (SELECT (size - avg(size) OVER ()) / stddev_pop(size) OVER () AS z1, (price - avg(price) OVER ()) / stddev_pop(price) OVER () AS z2, p_partkey::DOUBLE AS y FROM part0),
+s AS (SELECT count(*)::DOUBLE AS n, sum(y * y) AS yy, sum(y) AS zy0, sum(z1 * y) AS zy1, sum(z2 * y) AS zy2, count(*)::DOUBLE AS zz00, sum(z1) AS zz01, sum(z2) AS zz02, sum(z1 * z1) AS zz11, sum(z1 * z2) AS zz12, sum(z2 * z2) AS zz22 FROM zs)"""
+_WEIGHTS = ", ".join(f"floor({t} * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS {n}" for t, n in (("t0", "intercept"), ("t1", "b_size"), ("t2", "b_price")))
+
+
+def _weights(df: DataFrame, theta: list[float]) -> DataFrame:
+    """To three places: numeric gradients are no finer."""
+    out = df.sparkSession.createDataFrame([tuple(theta)], "intercept double, b_size double, b_price double")
+    return out.select(*(rounded(c(x), 3).alias(x) for x in out.columns))
+
+
+@query(f"WITH RECURSIVE {_MOMENTS}, {unrolled.descent('s', 2, 'lasso', alpha=1.0)} SELECT {_WEIGHTS} FROM d ORDER BY i DESC LIMIT 1")
 def lasso_gd(t: Tables) -> DataFrame:
-    df = part(t)
-    m = linear.lasso(df, ["size", "price"], "p_partkey", alpha=1.0)
-    return df.sparkSession.createDataFrame([tuple(m.theta)], "intercept double, b_size double, b_price double")
+    return _weights(t.part, linear.lasso(part(t), ["size", "price"], "p_partkey", alpha=1.0).theta)
+
+
+@query(f"WITH RECURSIVE {_MOMENTS}, {unrolled.descent('s', 2, 'plain')} SELECT {_WEIGHTS} FROM d ORDER BY i DESC LIMIT 1")
+def linear_gd(t: Tables) -> DataFrame:
+    return _weights(t.part, linear.linear_regression(part(t), ["size", "price"], "p_partkey", solver="gd").theta)
+
+
+@query(f"WITH RECURSIVE {_MOMENTS}, {unrolled.descent('s', 2, 'lasso')} SELECT {_WEIGHTS} FROM d ORDER BY i DESC LIMIT 1")
+def linear_gd_numeric(t: Tables) -> DataFrame:
+    """Descent along numeric gradients."""
+    return _weights(t.part, linear.linear_regression(part(t), ["size", "price"], "p_partkey", solver="gd", gradient="debug").theta)
 
 
 def _steps(n: int) -> str:
@@ -256,40 +277,73 @@ def _forest_rows(t: Tables) -> DataFrame:
     return part(t).withColumn("big", (c("size") * 7 + F.length("word") * 9 > 200).cast("int")).withColumn("y", c("size") * 2 + F.length("word"))
 
 
-@query()
+_ROWS = f"""{PART}, x AS (SELECT *, CASE WHEN size * 7 + length(word) * 9 > 200 THEN 1 ELSE 0 END AS big, size * 2 + length(word) AS target FROM part0)"""
+
+
+def _tree_sql(label: str, features: list[str], depth: int, kind: str, continuous: bool, out: str = "prediction") -> str:
+    made = unrolled.tree("rows0", "p_partkey", features, depth, kind, continuous)
+    return f"WITH {_ROWS}, rows0 AS (SELECT *, {label} AS y, 1.0::DOUBLE AS w FROM x), {made} SELECT p_partkey, {label} AS {'big' if kind == 'gini' else 'y'}, {out} AS prediction FROM p JOIN x USING (p_partkey)"
+
+
+def _forest_sql(label: str, features: list[str], n_trees: int, depth: int, kind: str) -> str:
+    """Each tree over its own draw, side by side."""
+    trees_ = []
+    for i in range(n_trees):
+        made = unrolled.tree("rows0", "p_partkey", features, depth, kind, True)
+        trees_.append(f"t{i} AS MATERIALIZED (WITH rows0 AS (SELECT *, {label} AS y, {unrolled.drawn('p_partkey', i)} AS w FROM x), {made} SELECT p_partkey, prediction FROM p)")
+    every = " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(n_trees))
+    out = r6("avg(prediction)") if kind == "sse" else "CASE WHEN 2 * sum(prediction) > count(*) THEN 1 ELSE 0 END"
+    return f"WITH {_ROWS}, {', '.join(trees_)} SELECT p_partkey, any_value({label}) AS {'big' if kind == 'gini' else 'y'}, {out} AS prediction FROM ({every}) JOIN x USING (p_partkey) GROUP BY p_partkey"
+
+
+@query(_tree_sql("big", ["size", "word"], 3, "gini", False))
 def tree_classify(t: Tables) -> DataFrame:
     df = _forest_rows(t)
     return trees.grow(df, ["size", "word"], "big", max_depth=3).transform(df).select("p_partkey", "big", "prediction")
 
 
-@query()
+@query(_tree_sql("big", ["size", "word"], 3, "gini", False))
+def tree_majority(t: Tables) -> DataFrame:
+    """Leaves that keep only their likeliest class."""
+    df = _forest_rows(t)
+    return trees.grow(df, ["size", "word"], "big", max_depth=3, leaf="majority").transform(df).select("p_partkey", "big", "prediction")
+
+
+@query(_tree_sql("target", ["size", "price"], 3, "sse", True, r6("prediction")))
 def tree_regress(t: Tables) -> DataFrame:
     df = _forest_rows(t)
-    return trees.grow(df, ["size", "price"], "y", "regress", max_depth=3).transform(df).select("p_partkey", "y", "prediction")
+    return trees.grow(df, ["size", "price"], "y", "regress", max_depth=3).transform(df).select("p_partkey", "y", rounded(c("prediction")).alias("prediction"))
 
 
-@query()
+@query(_tree_sql("target", ["size", "price"], 2, "sse", True, "floor(prediction)"))
+def tree_regress_integers(t: Tables) -> DataFrame:
+    """Leaves cut to integers."""
+    df = _forest_rows(t)
+    return trees.grow(df, ["size", "price"], "y", "regress", max_depth=2).transform(df, legacy_int=True).select("p_partkey", "y", c("prediction").cast("double").alias("prediction"))
+
+
+@query(f"WITH {_ROWS}, rows0 AS (SELECT *, big AS y FROM x), {unrolled.id3('rows0', 'p_partkey', ['p_type', 'word'], 2)} SELECT p_partkey, big, prediction FROM p JOIN x USING (p_partkey)")
 def tree_id3(t: Tables) -> DataFrame:
     df = _forest_rows(t)
     return trees.grow_id3(df, ["p_type", "word"], "big", max_depth=2).transform(df).select("p_partkey", "big", "prediction")
 
 
-@query()
+@query(_tree_sql("big", ["size", "price"], 3, "gini", True))
 def tree_continuous(t: Tables) -> DataFrame:
     df = _forest_rows(t)
     return trees.grow(df, ["size", "price"], "big", continuous=True, max_depth=3).transform(df).select("p_partkey", "big", "prediction")
 
 
-@query()
+@query(_forest_sql("big", ["size", "price"], 5, 2, "gini"))
 def forest_classify(t: Tables) -> DataFrame:
     df = _forest_rows(t)
     return trees.grow_forest(df, ["size", "price"], "big", "p_partkey", 5, continuous=True, max_depth=2).transform(df).select("p_partkey", "big", "prediction")
 
 
-@query()
+@query(_forest_sql("target", ["size", "price"], 5, 2, "sse"))
 def forest_regress(t: Tables) -> DataFrame:
     df = _forest_rows(t)
-    return trees.grow_forest(df, ["size", "price"], "y", "p_partkey", 5, "regress", max_depth=2).transform(df).select("p_partkey", "y", "prediction")
+    return trees.grow_forest(df, ["size", "price"], "y", "p_partkey", 5, "regress", max_depth=2).transform(df).select("p_partkey", "y", rounded(c("prediction")).alias("prediction"))
 
 
 def _assign(i: int) -> str:
@@ -304,17 +358,33 @@ def kmeans_two_rounds(t: Tables) -> DataFrame:
     return clusters.kmeans(df, ["a", "b"], 3, max_iter=2, init=init).transform(df).select("s_suppkey", "cluster")
 
 
-@query()
+def _starts(k: int, seed: int) -> list[list[float]]:
+    """Where k-means starts in the bounding box of two features."""
+    import numpy as np
+
+    return np.random.default_rng(seed).random((k, 2)).tolist()
+
+
+def _silhouette_of(name: str) -> str:
+    near = f"d{name} AS (SELECT x.k, x.j AS g, y.j AS h, sum(sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b))) AS s, count(*) AS n FROM {name}c x, {name}c y GROUP BY ALL)"
+    return f"{near}, e{name} AS (SELECT k, max(CASE WHEN g = h THEN s / nullif(n - 1, 0) END) AS a, max(CASE WHEN g = h THEN n END) AS n, min(CASE WHEN g <> h THEN s / n END) AS b FROM d{name} GROUP BY 1)"
+
+
+@query(f"WITH {_SUP}, {unrolled.kmeans('p', 'k', _starts(4, 3), 20)} SELECT k AS s_suppkey, CAST(j AS INTEGER) AS cluster FROM mc")
 def kmeans_full(t: Tables) -> DataFrame:
     df = suppliers(t)
     return clusters.kmeans(df, ["a", "b"], 4, max_iter=20, seed=3).transform(df).select("s_suppkey", "cluster")
 
 
-@query()
+_BEST = ", ".join(f"{unrolled.kmeans('p', 'k', _starts(k, 1), 25, f'm{k}_')}, {_silhouette_of(f'm{k}_')}" for k in (2, 3, 4))
+_EACH = " UNION ALL ".join(f"SELECT {k} AS k, avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM em{k}_" for k in (2, 3, 4))
+
+
+@query(f"WITH {_SUP}, {_BEST}, s AS ({_EACH}) SELECT CAST(k AS INTEGER) AS k, {r6('silhouette')} AS silhouette, silhouette = max(silhouette) OVER () AS best FROM s")
 def kmeans_best_k(t: Tables) -> DataFrame:
     df = suppliers(t)
-    best, scores = clusters.best_k(df, "s_suppkey", ["a", "b"], [2, 3, 4], seed=1)
-    return df.sparkSession.createDataFrame([(k, s, k == best) for k, s in scores.items()], "k int, silhouette double, best boolean")
+    best, scores = clusters.best_k(df, "s_suppkey", ["a", "b"], [2, 3, 4], seed=1, max_iter=25)
+    return df.sparkSession.createDataFrame([(k, s, k == best) for k, s in scores.items()], "k int, silhouette double, best boolean").withColumn("silhouette", rounded(c("silhouette")))
 
 
 @query(f"""WITH x AS (SELECT l_quantity q, l_discount * 100 d FROM lineitem), s AS (SELECT covar_pop(q, q) * count(*) a, covar_pop(q, d) * count(*) b, covar_pop(d, d) * count(*) e FROM x),

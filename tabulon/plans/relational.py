@@ -269,9 +269,9 @@ def membership_anti(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey").join(t.orders.filter("o_totalprice > 250000").select(c("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
-@query("SELECT p_brand, max_by(p_partkey, p_retailprice * 1000000 + p_partkey) AS dearest, min_by(p_partkey, p_retailprice * 1000000 + p_partkey) AS cheapest FROM part GROUP BY 1")
+@query("SELECT p_brand, first(p_partkey ORDER BY p_retailprice DESC, p_partkey DESC) AS dearest, first(p_partkey ORDER BY p_retailprice, p_partkey) AS cheapest FROM part GROUP BY 1")
 def extreme_rows(t: Tables) -> DataFrame:
-    order = c("p_retailprice") * 1000000 + c("p_partkey")  # of equal prices the later part
+    order = F.struct("p_retailprice", "p_partkey")  # of equal prices the later part is the dearer
     return t.part.groupBy("p_brand").agg(F.max_by("p_partkey", order).alias("dearest"), F.min_by("p_partkey", order).alias("cheapest"))
 
 
@@ -286,6 +286,6 @@ def radar_top10(t: Tables) -> DataFrame:
     return top.select("s_suppkey", rounded(F.bround(c("s_acctbal") / 20, 2)).alias("radar"))
 
 
-@query()
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY md5('5:' || o_orderkey), o_orderkey) - 1 AS position FROM orders")
 def permuted_rows(t: Tables) -> DataFrame:
-    return rel.permuted(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey", 5)
+    return rel.permuted_position(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey", 5)

@@ -157,8 +157,13 @@ def farm_score(t: Tables) -> DataFrame:
     return ts.farm_score(p, "user_id", "time", "v", "pred").select("time", rounded(c("score")).alias("score"))
 
 
-@query(f"""WITH {S}, {P}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC) AS r FROM p WHERE NOT coalesce(value > 60, false))
-SELECT user_id, {r6('CASE WHEN bool_or(pred <> 0) THEN avg(abs(value - pred)) / 1000 ELSE -1 END')} AS mae, {r6('CASE WHEN bool_or(pred <> 0) THEN sqrt(avg((value - pred) * (value - pred))) / 1000 ELSE -1 END')} AS rmse FROM k WHERE r <= 20 GROUP BY 1""")
+_SCORES = """k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC) AS r FROM p WHERE NOT coalesce(value > 60, false)),
+has AS (SELECT user_id, bool_or(pred <> 0) AND bool_or(value <> 0) AS ok FROM k GROUP BY 1),
+late AS (SELECT user_id, avg(abs(value - pred)) / 1000 AS mae, sqrt(avg((value - pred) * (value - pred))) / 1000 AS rmse FROM k WHERE r <= 20 GROUP BY 1),
+u AS (SELECT a.user_id, CASE WHEN ok THEN mae ELSE -1 END AS mae, CASE WHEN ok THEN rmse ELSE -1 END AS rmse FROM (SELECT DISTINCT user_id FROM p) a LEFT JOIN has USING (user_id) LEFT JOIN late USING (user_id))"""
+
+
+@query(f"WITH {S}, {P}, {_SCORES} SELECT user_id, {r6('mae')} AS mae, {r6('rmse')} AS rmse FROM u")
 def masked_unit_scores(t: Tables) -> DataFrame:
     out = ts.unit_scores(predicted(t), "user_id", "t", "value", "pred", c("value") > 60, 20)
     return out.select("user_id", rounded(c("mae")).alias("mae"), rounded(c("rmse")).alias("rmse"))
@@ -169,9 +174,7 @@ def zero_identical_guards(t: Tables) -> DataFrame:
     return ts.unit_checks(predicted(t), "user_id", "pred")
 
 
-@query(f"""WITH {S}, {P}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC) AS r FROM p WHERE NOT coalesce(value > 60, false)),
-u AS (SELECT user_id, avg(abs(value - pred)) / 1000 AS mae, sqrt(avg((value - pred) * (value - pred))) / 1000 AS rmse, bool_or(pred <> 0) AS ok FROM k WHERE r <= 20 GROUP BY 1)
-SELECT {r6('sum(mae)')} AS mae, {r6('sum(rmse)')} AS rmse, count(*) AS n_units FROM u WHERE ok""")
+@query(f"WITH {S}, {P}, {_SCORES} SELECT {r6('sum(mae)')} AS mae, {r6('sum(rmse)')} AS rmse, count(*) AS n_units FROM u WHERE mae <> -1")
 def farm_totals(t: Tables) -> DataFrame:
     out = ts.farm_totals(ts.unit_scores(predicted(t), "user_id", "t", "value", "pred", c("value") > 60, 20))
     return out.select(rounded(c("mae")).alias("mae"), rounded(c("rmse")).alias("rmse"), "n_units")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import zipfile
 from collections.abc import Sequence
 
@@ -101,17 +100,16 @@ def parse_fields(html: str | None, fields: dict[str, str]) -> dict[str, str | No
     return out
 
 
-def read_zipped_csv(spark: SparkSession, path: str, schema: T.StructType | str, number: int = 0, to: str | None = None) -> DataFrame:
-    """The n-th CSV file, by name, of a zip file on the driver's disk; `to`: a folder that executors can see."""
-    import tempfile
-
+def read_zipped_csv(spark: SparkSession, path: str, schema: T.StructType | str, number: int = 0, to: str = "") -> DataFrame:
+    """The n-th CSV file, by name, of a zip file on the driver's disk, unpacked to `to`, a folder that executors can see too."""
+    if not to:
+        raise ValueError("name a folder that the driver and all executors share")
     with zipfile.ZipFile(path) as z:
         names = sorted(n for n in z.namelist() if n.endswith(".csv"))
         if not 0 <= number < len(names):
             raise ValueError(f"{path} has {len(names)} CSV files")
-        folder = to or tempfile.mkdtemp(prefix="tabulon-zip-")
-        z.extract(names[number], folder)
-    return read_csv(spark, f"file://{folder}/{names[number]}", schema)
+        z.extract(names[number], to)
+    return read_csv(spark, f"file://{to}/{names[number]}", schema)
 
 
 def unit_series(df: DataFrame, unit: str, order: Sequence[str], cols: Sequence[str], which=None) -> DataFrame:
@@ -142,7 +140,3 @@ def load_fitted(path: str):
 
     with open(path, encoding="utf-8") as f:
         return preprocess.Fitted.from_json(f.read())
-
-
-def settings_json(**values) -> str:
-    return json.dumps(values, sort_keys=True)

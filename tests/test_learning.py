@@ -93,6 +93,18 @@ def test_linear_and_ridge(spark):
     assert linear.linear_regression(same, ["x", "z"], "y").score(same, "y") == pytest.approx(1, abs=1e-3)
 
 
+def test_stochastic_descent_uses_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(linear, "SGD_ROWS", 300)
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (1200, 2))
+    y = 3 + x @ [2.0, -1.0] + rng.normal(0, 0.1, 1200)
+    df = spark.createDataFrame([(float(a), float(b), float(v)) for (a, b), v in zip(x, y)], "a double, b double, y double")
+    got = linear.linear_regression(df, ["a", "b"], "y", solver="sgd", n_iters=60)
+    exact = linear.linear_regression(df, ["a", "b"], "y")
+    assert got.theta == pytest.approx(exact.theta, abs=0.1)
+    assert linear.linear_regression(df, ["a", "b"], "y", solver="sgd", n_iters=60).theta == got.theta
+
+
 def test_predictions_take_the_training_scale(spark):
     df = line(spark, 6)
     m = linear.linear_regression(df, ["x"], "y")

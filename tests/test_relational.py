@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,9 +73,11 @@ def test_csv(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.write(tmp_path / "a.csv", "b.csv")
         z.writestr("a.csv", "TurbID,x,y\n9,9,9\n")
-    assert len(values(files.read_zipped_csv(spark, str(tmp_path / "z.zip"), df.schema, 1))) == 2
+    assert len(values(files.read_zipped_csv(spark, str(tmp_path / "z.zip"), df.schema, 1, str(tmp_path / "out")))) == 2
     with pytest.raises(ValueError):
-        files.read_zipped_csv(spark, str(tmp_path / "z.zip"), df.schema, 2)
+        files.read_zipped_csv(spark, str(tmp_path / "z.zip"), df.schema, 2, str(tmp_path / "out"))
+    with pytest.raises(ValueError, match="share"):
+        files.read_zipped_csv(spark, str(tmp_path / "z.zip"), df.schema, 1)
 
 
 def test_paged_json(spark, tmp_path):
@@ -139,3 +142,27 @@ def test_quantiles_by_narrowing(spark, monkeypatch, distinct):
     monkeypatch.setattr(rel, "DIRECT_ROWS", 10)
     monkeypatch.setattr(rel, "BRACKET_ROWS", 60)
     assert rel.exact_quantiles(df, "x", shares) == pytest.approx(np.quantile(x, shares)) and direct == pytest.approx(np.quantile(x, shares))
+
+
+def test_quantiles_of_groups_by_cuts(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(None if g == 3 else g, float(x)) for g in range(4) for x in (rng.integers(0, 9, 500) if g == 1 else rng.normal(0, 1, 1 if g == 2 else 3000))] + [(5, None)]
+    df = spark.createDataFrame(rows, "g int, x double").repartition(3)
+    shares = [0, 0.013, 0.25, 0.5, 0.999, 1]
+    want = {g: np.quantile([x for k, x in rows if k == g], shares) for g in (0, 1, 2, None)}
+    for most in (1_000_000, 100):
+        monkeypatch.setattr(rel, "DIRECT_ROWS", most)
+        got = {r.g: r.q for r in rel.quantiles_by(df, ["g"], "x", shares, "q").collect()}
+        assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+    assert rel.quantiles_by(df, [], "x", [0.5], "q").first().q == pytest.approx([np.median([x for _, x in rows if x is not None])])
+
+
+def test_dearest_of_equal_prices(spark):
+    """Keys beyond a million, which a sum of price and key would misorder."""
+    from tabulon.plans.relational import extreme_rows
+
+    class Tables:
+        part = spark.createDataFrame([("b", 3_000_001, 10.0), ("b", 12, 10.5), ("b", 9_999_999, 10.0), ("c", 1, None)], "p_brand string, p_partkey long, p_retailprice double")
+
+    got = {r.p_brand: (r.dearest, r.cheapest) for r in extreme_rows(Tables).collect()}
+    assert got["b"] == (12, 3_000_001)

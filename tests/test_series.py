@@ -95,6 +95,24 @@ def test_guards(spark):
     assert zero[0].mae == -1 and zero[2].mae == pytest.approx(6 / 1000)
 
 
+def test_unit_scores_look_at_all_unmasked_rows(spark):
+    rows = [(1, t, 0.0, 2.0, False) for t in range(4)]  # truth all zero
+    rows += [(2, t, 5.0 * (t < 2), 1.0 * (t < 2), False) for t in range(4)]  # zeros in the last rows only
+    rows += [(3, t, 1.0, 1.0 * (t == 0), t == 0) for t in range(4)]  # predictions zero but for a masked one
+    rows += [(4, t, 1.0, 2.0, True) for t in range(4)] + [(5, t, 4.0, 1.0, None) for t in range(4)]
+    df = spark.createDataFrame(rows, "u int, t int, y double, p double, m boolean")
+    got = {r.u: (r.mae, r.rmse) for r in ts.unit_scores(df, "u", "t", "y", "p", F.col("m"), 2).collect()}
+    assert got == {1: (-1, -1), 2: (0, 0), 3: (-1, -1), 4: (-1, -1), 5: (0.003, 0.003)}
+    totals = ts.farm_totals(ts.unit_scores(df, "u", "t", "y", "p", F.col("m"), 2)).first()
+    assert (totals.n_units, totals.mae) == (2, 0.003)
+
+
+def test_sensor_rules_empty_the_angles(spark):
+    df = spark.createDataFrame([(1.0, 200.0, 0.0, 95.0, 1.0, 2.0, 9.0), (1.0, 20.0, -800.0, 5.0, 1.0, 99.0, 9.0)], "Patv double, Wdir double, Ndir double, Pab1 double, Pab2 double, Pab3 double, Wspd double")
+    a, b = ts.cleaned(df, ts.power_rules() + ts.sensor_rules()).orderBy("Pab1").collect()
+    assert [a.Patv, a.Wdir, a.Ndir, a.Pab1, b.Ndir, b.Pab3, b.Wdir] == [None, None, 0, None, None, None, 20]
+
+
 def test_trend(spark):
     fine, trend = frame(spark, range(12)), spark.createDataFrame([(0, 0, 10.0), (0, 1, 20.0)], "u int, t long, v double")
     fused = column(ts.trend_fused(fine, trend, "u", "t", "v", first=3))
