@@ -10,7 +10,9 @@ places whose bound reaches the threshold are aligned; the bound never hides a ma
 
 The benchmark's n-grams are sent out only up to MOST_WORDS benchmark words; a larger benchmark is taken
 in slices of that size, each with its own pass. No pass shuffles documents. Alignments in which no N words
-of the item stand in a row unchanged have no seed.
+of the item stand in a row unchanged have no seed. With N = 3 such an alignment has an edit for every two
+words, so it scores half the item's words and one at most: from there on every match is found, and below
+it all but those.
 
 Defined cases: null texts are empty; items or documents without words never match; an item of fewer
 words than an n-gram is one seed; items with equal texts are all reported; repeated documents are
@@ -190,6 +192,9 @@ def matches(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, id_
 
 def without_leaks(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents that hold no item, with all their columns."""
+    from tabulon.llm.common import stored
+
+    held = None
     for part in _slices(bench, item_id_col, item_text_col):
         sent = docs.sparkSession.sparkContext.broadcast(part)
 
@@ -200,7 +205,9 @@ def without_leaks(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOL
                 clean = [not sent.value.matches(t, threshold) for t in batch.column(text_col).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        # written between slices, so that none runs the alignments of those before it again
+        docs = docs.mapInArrow(run, docs.schema) if held is None else stored(held, "clean").mapInArrow(run, docs.schema)
+        held = docs
     return docs
 
 

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, most_rows: int) -> DataFrame:
     """text and y of the labelled rows where `train` (a condition on doc_id) holds, about `most_rows` at most.
 
-    Which rows is a matter of a hash of the id alone, so it is the same in every run. Null ids and null labels don't count.
+    Which rows is a matter of a hash of the id alone, so it is the same in every run. Null ids and null labels don't count;
+    of texts under one id the first in order is learned from, so repeated ids don't make the sample larger.
     """
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y")).filter(train)
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y")).filter(train).distinct()
     n = known.count()
     if n > most_rows:  # twice as many or more in the sample is beyond any chance
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most_rows / n * (1 << 30)))
     # a few thousand ids, as counted, go to the documents; the documents stay where they are
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    return met.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def fitted(sample: DataFrame, features, fit):

@@ -56,6 +56,8 @@ def test_slices_of_a_large_benchmark(spark, monkeypatch):
     monkeypatch.setattr(d, "MOST_WORDS", 30)
     got = d.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(i, i) for i in range(40)} <= {(r.doc_id, r.item_id) for r in got if r.score == 1}
+    more = docs.unionByName(spark.createDataFrame([(99, "nothing of the kind stands here")], "doc_id long, text string"))
+    assert [r.doc_id for r in d.without_leaks(more, spark.createDataFrame(items, "item_id long, text string")).collect()] == [99]
 
 
 def test_edited_and_partial_copies_in_many_documents(spark):
@@ -74,6 +76,36 @@ def test_edited_and_partial_copies_in_many_documents(spark):
     assert {r.doc_id for r in d.without_leaks(docs, bench).collect()} == {3 * i + 2 for i in range(300)}
 
 
+def test_matches_as_by_all_alignments(spark):
+    """Every item against every document by plain alignment: edits of all kinds, from verbatim to unrelated."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    items = [[rng.choice(words) for _ in range(rng.randint(8, 30))] for _ in range(12)]
+    rows = []
+    for i in range(120):
+        copy = list(rng.choice(items))
+        for _ in range(rng.randint(0, len(copy))):
+            at = rng.randrange(len(copy))
+            copy[at : at + rng.randint(0, 1)] = rng.choice([[], [rng.choice(words)], ["extra", "words"]])
+            copy = copy or ["one"]
+        rows.append((i, " ".join([rng.choice(words) for _ in range(rng.randint(0, 15))] + copy + [rng.choice(words) for _ in range(rng.randint(0, 15))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in d.matches(docs, bench).collect()}
+    seen = {w: n for n, w in enumerate(sorted({w for _, t in rows for w in t.split()} | set(words)))}
+    want, without_seed = {}, 0
+    for i, t in rows:
+        numbers = np.array([seen[w] for w in t.split()])
+        for k, item in enumerate(items):
+            score, m = plain_alignment(np.array([seen[w] for w in item]), numbers), len(item)
+            if score >= max(d.THRESHOLD * m, min(m, d.LEAST_WORDS)):
+                want[i, k] = score / m
+                if score <= m / 2 + 1 and (i, k) not in got:
+                    without_seed += 1
+    assert got.items() <= want.items() and len(want) > 40
+    assert len(want) - len(got) == without_seed <= 0.05 * len(want)
+
+
 def test_bound_hides_no_match():
     rng = np.random.default_rng(4)
     held = d.Benchmark([(0, " ".join(f"w{i}" for i in range(6)))])
