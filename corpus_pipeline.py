@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
 return the columns of documents; the last returns the packed pieces with their token ids.
+
+Defined cases, for all stages: further columns are kept as they are, whatever their names; a null id is a
+row like any other; rows with equal id and text are one from the near-duplicate stage on; an empty table
+gives an empty one; ties go to the smallest id, then to the smallest hash of the text. Texts are whole at
+every stage. Each function's own words say what becomes of null and empty texts.
 """
 
 from __future__ import annotations
@@ -13,27 +18,30 @@ from tabulon.llm.common import stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go; those without words, so null and empty texts too, are among them."""
     return quality_rules.accepted(docs, "clean", 1)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates stays, the smallest id: five-word shingles, similarity 0.8 or more.
+
+    Null and empty texts are equal to each other: one of them stays. Very long texts are sets of shingles like any other.
+    """
     return simhash.deduplicated(docs, similarity=0.8, shingle_words=5)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none, and null or empty items are in no document."""
     return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by the name of its kind; n_chars is counted anew."""
+    """Personal data and secrets are replaced by the name of their kind; n_chars is counted anew. A null text stays null."""
     return pii.redacted(docs, pii.fit(pii.labelled_table(spark)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens: one row for each piece of a document."""
+    """Sequences of at most 1024 tokens: one row for each piece of a document. A null or empty text is one piece, its end id."""
     import public_tokenizers
 
     return packing.digests(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0), with_ids=True)
