@@ -1,12 +1,16 @@
-"""Learners of pyspark.ml where their results need only be as good, not the same."""
+"""Boosting over the trees of this package, and learners of pyspark.ml where their results need only be as good, not the same."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.ml.trees import Tree, grow
+
 
 def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
@@ -59,3 +63,69 @@ def scored_by(df: DataFrame, predict, cols: Sequence[str], keep: Sequence[str] =
             yield pdf[list(keep)].assign(**{name: predict(pdf[list(cols)].to_numpy(dtype=float))})
 
     return df.select(*dict.fromkeys([*keep, *cols])).mapInPandas(run, schema)
+
+
+@dataclass(frozen=True)
+class Boosted:
+    """start + rate x the sum of regression trees, or the sign of a weighted vote of trees for two classes."""
+
+    trees: list[Tree]
+    weights: list[float]
+    start: float = 0.0
+    classes: tuple = ()
+
+    def transform(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        names = [f"_t{i}" for i in range(len(self.trees))]
+        out = df
+        for n, t in zip(names, self.trees):
+            out = t.transform(out, n)
+        if self.classes:
+            votes = sum((F.when(F.col(n) == F.lit(self.classes[1]), w).otherwise(-w) for n, w in zip(names, self.weights)), F.lit(0.0))
+            result = F.when(votes > 0, F.lit(self.classes[1])).otherwise(F.lit(self.classes[0]))
+        else:
+            result = sum((F.col(n) * F.lit(w) for n, w in zip(names, self.weights)), F.lit(self.start))
+        return out.withColumn(name, result).drop(*names)
+
+
+def gradient_boosting(df: DataFrame, features: Sequence[str], label: str, rounds: int = 20, rate: float = 0.1, max_depth: int = 3) -> Boosted:
+    """Each tree learns what those before it leave of the label; a tree's levels are a job each."""
+    held = df.dropna(subset=[*features, label])
+    start = held.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    if start is None:
+        raise ValueError("nothing to fit")
+    model = Boosted([], [], start)
+    for _ in range(rounds):
+        left = model.transform(held, "_p").withColumn("_rest", F.col(label) - F.col("_p"))
+        model = Boosted([*model.trees, grow(left, features, "_rest", "regress", max_depth=max_depth)], [*model.weights, rate], start)
+    return model
+
+
+def adaboost(df: DataFrame, features: Sequence[str], label: str, rounds: int = 20, max_depth: int = 1, continuous: bool = True) -> Boosted:
+    """Two classes; a tree's vote is the log odds of its weighted error, and rows that it misses weigh as much more.
+
+    It stops at a tree without errors, which decides alone, and at one no better than chance, which has no vote.
+    """
+    held = df.dropna(subset=[*features, label])
+    classes = tuple(r[0] for r in held.select(label).distinct().orderBy(label).limit(3).collect())
+    if len(classes) != 2:
+        raise ValueError("there are two classes")
+    n, trees, votes, weight = held.count(), [], [], F.lit(1.0)
+    for _ in range(rounds):
+        tree = grow(held.withColumn("_w", weight), features, label, continuous=continuous, max_depth=max_depth, weight="_w")
+        placed = tree.transform(held.withColumn("_w", weight), "_p")
+        wrong = F.col("_p") != F.col(label)
+        error = placed.agg(F.sum(F.when(wrong, F.col("_w")).otherwise(0.0)) / F.sum("_w")).first()[0]
+        if error <= 0:
+            return Boosted([tree], [1.0], classes=classes)
+        if error >= 0.5:
+            break
+        vote = math.log((1 - error) / error)
+        trees.append(tree)
+        votes.append(vote)
+        # the weights of the next round have mean 1 again
+        total = 1 - error + error * math.exp(vote)
+        held = tree.transform(held, "_p").withColumn(f"_m{len(trees)}", F.col("_p") != F.col(label)).drop("_p")
+        weight = weight * F.when(F.col(f"_m{len(trees)}"), math.exp(vote)).otherwise(1.0) / F.lit(total)
+    if not trees:
+        raise ValueError("no tree is better than chance")
+    return Boosted(trees, votes, classes=classes)

@@ -280,6 +280,11 @@ def unpivoted(df: DataFrame, keys: Sequence[str], cols: Sequence[str], name: str
     return df.select(*keys, F.explode(rows).alias("_r")).select(*keys, f"_r.{name}", f"_r.{value}")
 
 
+def transposed(df: DataFrame, key: str, keys: Sequence, cols: Sequence[str], name: str = "name") -> DataFrame:
+    """A row for each of `cols` and a column for each of the told `keys`, which name the rows of df; one value a cell."""
+    return pivoted(unpivoted(df.select(key, *cols), [key], cols, name), name, key, keys, F.first("value", ignorenulls=True))
+
+
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     return value_counts(df, [a, b])
 

@@ -358,6 +358,46 @@ def kmeans_two_rounds(t: Tables) -> DataFrame:
     return clusters.kmeans(df, ["a", "b"], 3, max_iter=2, init=init).transform(df).select("s_suppkey", "cluster")
 
 
+def _boosted_sql(rounds: int, rate: float, depth: int) -> str:
+    """Trees over what those before them leave."""
+    made = ["b0 AS MATERIALIZED (SELECT p_partkey, size, price, target, avg(target) OVER () AS f FROM x)"]
+    for i in range(rounds):
+        grown = unrolled.tree("rows0", "p_partkey", ["size", "price"], depth, "sse", True)
+        made.append(f"t{i} AS MATERIALIZED (WITH rows0 AS (SELECT *, target - f AS y, 1.0::DOUBLE AS w FROM b{i}), {grown} SELECT p_partkey, prediction FROM p)")
+        made.append(f"b{i + 1} AS MATERIALIZED (SELECT b.* EXCLUDE (f), f + {rate}::DOUBLE * prediction AS f FROM b{i} b JOIN t{i} USING (p_partkey))")
+    return f"WITH {_ROWS}, {', '.join(made)} SELECT p_partkey, {r6('f')} AS prediction FROM b{rounds}"
+
+
+def _adaboost_sql(rounds: int) -> str:
+    made = ["b0 AS MATERIALIZED (SELECT p_partkey, size, price, big, 1.0::DOUBLE AS w, 0.0::DOUBLE AS votes FROM x)"]
+    for i in range(rounds):
+        grown = unrolled.tree("rows0", "p_partkey", ["size", "price"], 1, "gini", True)
+        made.append(f"t{i} AS MATERIALIZED (WITH rows0 AS (SELECT *, big AS y FROM b{i}), {grown} SELECT p_partkey, prediction FROM p)")
+        made.append(f"e{i} AS MATERIALIZED (SELECT sum(CASE WHEN prediction <> big THEN w ELSE 0 END) / sum(w) AS e FROM b{i} JOIN t{i} USING (p_partkey))")
+        made.append(f"b{i + 1} AS MATERIALIZED (SELECT b.* EXCLUDE (w, votes), w * CASE WHEN prediction <> big THEN (1 - e) / e ELSE 1 END / (2 * (1 - e)) AS w, votes + ln((1 - e) / e) * (2 * prediction - 1) AS votes FROM b{i} b JOIN t{i} USING (p_partkey), e{i})")
+    return f"WITH {_ROWS}, {', '.join(made)} SELECT p_partkey, big, CASE WHEN votes > 0 THEN 1 ELSE 0 END AS prediction FROM b{rounds}"
+
+
+@query(_boosted_sql(4, 0.5, 2))
+def gradient_boosting(t: Tables) -> DataFrame:
+    df = _forest_rows(t)
+    return ensembles.gradient_boosting(df, ["size", "price"], "y", 4, 0.5, 2).transform(df).select("p_partkey", rounded(c("prediction")).alias("prediction"))
+
+
+@query(_adaboost_sql(4))
+def adaboost_stumps(t: Tables) -> DataFrame:
+    df = _forest_rows(t)
+    return ensembles.adaboost(df, ["size", "price"], "big", 4).transform(df).select("p_partkey", "big", "prediction")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {r6('(l_extendedprice - (SELECT avg(o_totalprice) FROM orders)) / (SELECT stddev_pop(o_totalprice) FROM orders)')} AS price FROM lineitem")
+def scaler_on_another_table(t: Tables) -> DataFrame:
+    """Fitted on one table, carried as JSON, used on another."""
+    s = preprocess.standard_scaler(t.orders.select(c("o_totalprice").alias("price")), ["price"])
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", c("l_extendedprice").alias("price"))
+    return preprocess.Fitted.from_json(s.to_json()).transform(rows).withColumn("price", rounded(c("price")))
+
+
 def _starts(k: int, seed: int) -> list[list[float]]:
     """Where k-means starts in the bounding box of two features."""
     import numpy as np

@@ -11,6 +11,7 @@ from tabulon.operators import plotprep
 from tabulon.operators import relational as rel
 from tabulon.plans.registry import Tables, query, r6
 from tabulon.sources import files
+from tabulon.storage import new_path
 
 c = F.col
 
@@ -289,3 +290,26 @@ def radar_top10(t: Tables) -> DataFrame:
 @query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY md5('5:' || o_orderkey), o_orderkey) - 1 AS position FROM orders")
 def permuted_rows(t: Tables) -> DataFrame:
     return rel.permuted_position(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey", 5)
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def csv_round_trip(t: Tables) -> DataFrame:
+    """Written as CSV to the shared folder and read again with its schema."""
+    df, path = t.customer.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), new_path(t.spark, "csv")
+    files.write_csv(df, path)
+    return files.read_csv(t.spark, path, df.schema)
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def paged_json(t: Tables) -> DataFrame:
+    """Pages of records, a file each, read as rows."""
+    pages, path = t.supplier.groupBy((c("s_suppkey") % 7).alias("page")).agg(F.collect_list(F.struct("s_suppkey", "s_name", "s_acctbal")).alias("result")), new_path(t.spark, "pages")
+    pages.write.partitionBy("page").json(path)
+    return files.read_paged_json(t.spark, path, "s_suppkey bigint, s_name string, s_acctbal double")
+
+
+@query("""WITH s AS (SELECT c_mktsegment AS k, count(*)::DOUBLE AS n, floor(sum(c_acctbal) * 100 + 0.5) / 100 AS total FROM customer GROUP BY 1), l AS (SELECT k, 'n' AS name, n AS value FROM s UNION ALL SELECT k, 'total', total FROM s)
+SELECT name, max(value) FILTER (k = 'AUTOMOBILE') AS "AUTOMOBILE", max(value) FILTER (k = 'BUILDING') AS "BUILDING", max(value) FILTER (k = 'MACHINERY') AS "MACHINERY" FROM l GROUP BY 1""")
+def transposed_summary(t: Tables) -> DataFrame:
+    s = t.customer.groupBy(c("c_mktsegment").alias("k")).agg(F.count(F.lit(1)).cast("double").alias("n"), rounded(F.sum("c_acctbal"), 2).alias("total"))
+    return rel.transposed(s, "k", ["AUTOMOBILE", "BUILDING", "MACHINERY"], ["n", "total"])
