@@ -190,23 +190,25 @@ def fit_field(sentences: list[tuple[list[str], list[str]]], steps: int = 150, ra
     one = np.eye(k)[gold] * on[:, :, None]
     pairs = np.einsum("nta,ntb->ab", one[:, :-1], one[:, 1:])
 
-    def logsum(x, axis):
-        m = x.max(axis=axis, keepdims=True)
-        return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
-
+    places = at.reshape(-1)  # padding stands at feature 0, where its share is 0
+    order = np.argsort(places, kind="stable")
+    firsts = np.flatnonzero(np.concatenate(([True], np.diff(places[order]) > 0)))
+    named, rows = places[order][firsts], order // width
     for _ in range(steps):
         e = w[at].sum(axis=2)
-        fwd, bwd = np.zeros((n, top, k)), np.zeros((n, top, k))
-        fwd[:, 0] = e[:, 0]
-        for t in range(1, top):
-            fwd[:, t] = np.where(on[:, t, None], logsum(fwd[:, t - 1, :, None] + moves, 1) + e[:, t], fwd[:, t - 1])
+        eb, m = np.exp(e - e.max(axis=2, keepdims=True)), np.exp(moves - moves.max())
+        fwd, bwd, scale = np.zeros((n, top, k)), np.ones((n, top, k)), np.ones((n, top, 1))
+        for t in range(top):
+            a = (fwd[:, t - 1] @ m if t else 1.0) * eb[:, t]
+            scale[:, t] = a.sum(axis=1, keepdims=True)
+            fwd[:, t] = np.where(on[:, t, None], a / scale[:, t], fwd[:, t - 1])
         for t in range(top - 2, -1, -1):
-            bwd[:, t] = np.where(on[:, t + 1, None], logsum(moves + (e[:, t + 1] + bwd[:, t + 1])[:, None, :], 2), 0)
-        total = logsum(fwd[:, -1], 1)
-        p = np.exp(fwd + bwd - total[:, None, None]) * on[:, :, None]
-        through = np.exp(fwd[:, :-1, :, None] + moves + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - total[:, None, None, None]) * on[:, 1:, None, None]
-        gw, gm = l2 * w, l2 * moves + through.sum(axis=(0, 1)) - pairs
-        np.add.at(gw, at.reshape(-1), np.repeat((p - one).reshape(-1, k), width, axis=0))
+            bwd[:, t] = np.where(on[:, t + 1, None], (eb[:, t + 1] * bwd[:, t + 1] / scale[:, t + 1]) @ m.T, 1.0)
+        p = fwd * bwd * on[:, :, None]
+        after = eb[:, 1:] * bwd[:, 1:] / scale[:, 1:] * on[:, 1:, None]
+        through = m * (fwd[:, :-1].reshape(-1, k).T @ after.reshape(-1, k))
+        gw, gm = l2 * w, l2 * moves + through - pairs
+        gw[named] += np.add.reduceat((p - one).reshape(-1, k)[rows], firsts, axis=0)
         seen_w += gw * gw
         seen_m += gm * gm
         w -= rate * gw / np.sqrt(seen_w)
