@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,16 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame], path: str | None = None) -> DataFrame:
+    """make()'s rows as one table in the shared folder; the tables that it made on the way are deleted."""
+    path = path or new_path(spark, name)
+    before = len(_made)
+    out = stored(make(), name, path)
+    while len(_made) > before:
+        drop_path(spark, _made.pop())
+    return out
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
