@@ -326,8 +326,11 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 def op10(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from tabulon.llm.common import new_path, table
+    from tabulon.llm.common import new_path, settled, table
 
-    path = new_path(spark, "ids")
-    write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    return digests(spark, path)
+    def read_back():
+        path = new_path(spark, "ids")
+        write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+        return digests(spark, path)
+
+    return settled(spark, "op10", read_back)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.storage import drop_path, folder_names, new_path, shared_dir, stored
+from tabulon.storage import drop_path, folder_names, new_path, settled, shared_dir, stored
 
-__all__ = ["crc_bucket", "drop_path", "folder_names", "new_path", "shared_dir", "stored", "table"]
+__all__ = ["crc_bucket", "drop_path", "folder_names", "new_path", "settled", "shared_dir", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -444,7 +444,10 @@ def _cut(keyed: DataFrame, by_doc: DataFrame, length: int) -> DataFrame:
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    from tabulon.llm.common import table
+    from tabulon.llm.common import settled, table
 
-    found = remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    def digests():
+        found = remove_repeats(table(spark, sf_dir, "documents"))
+        return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+    return settled(spark, "op4", digests)

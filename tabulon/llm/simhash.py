@@ -552,7 +552,7 @@ def deduplicated(docs: DataFrame, similarity: float = 0.8, shingle_words: int =
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    from tabulon.llm.common import table
+    from tabulon.llm.common import settled, table
 
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = settled(spark, "op8", lambda: near_duplicates(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
