@@ -53,6 +53,29 @@ def kde_grid(df: DataFrame, c: str, low: float, high: float, points: int, width:
     return df.select(F.col(c).cast("double").alias(c)).dropna().select(c, grid.alias("x")).groupBy("x").agg(density.alias("density"))
 
 
+def cluster_order(distance: Sequence[Sequence[float]]) -> list[int]:
+    """The order of a clustered heat map: groups with the smallest mean distance join, the one with the earlier member first.
+
+    The matrix is that of a table's columns, never of its rows; of equal distances the earliest pair joins.
+    """
+    groups = [[i] for i in range(len(distance))]
+    mean = lambda a, b: round(sum(distance[i][j] for i in a for j in b) / (len(a) * len(b)), 12)
+    while len(groups) > 1:
+        _, i, j = min((mean(a, b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        groups[i] += groups.pop(j)
+    return groups[0] if groups else []
+
+
+def clustered_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """a, b, corr, and the places of both columns in the order that puts alike columns beside each other; one aggregate."""
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    row = df.agg(*(F.corr(a, b) for a, b in pairs)).first() if pairs else ()
+    held = {p: v for (a, b), v in zip(pairs, row) for p in ((a, b), (b, a))} | {(c, c): 1.0 for c in cols}
+    order = cluster_order([[1 - (held[a, b] or 0.0) for b in cols] for a in cols])
+    place = {cols[k]: i for i, k in enumerate(order)}
+    return df.sparkSession.createDataFrame([(a, b, held[a, b], place[a], place[b]) for a in cols for b in cols], "a string, b string, corr double, place_a int, place_b int")
+
+
 def regression_line(df: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*group).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 

@@ -130,6 +130,15 @@ def blobs(spark: SparkSession, n: int, centers: Sequence[Sequence[float]], sd: f
     return df
 
 
+def linear_points(spark: SparkSession, n: int, weights: Sequence[float], intercept: float = 0.0, noise: float = 0.0, seed: int = 0) -> DataFrame:
+    """id, x0, x1, ..., y: normal features, and their weighted sum with normal noise."""
+    df = spark.range(n)
+    for j in range(len(weights)):
+        df = df.withColumn(f"x{j}", F.randn(seed + j))
+    exact = sum((F.col(f"x{j}") * w for j, w in enumerate(weights)), F.lit(float(intercept)))
+    return df.withColumn("y", exact + F.randn(seed + len(weights)) * noise)
+
+
 def save_fitted(model, path: str) -> None:
     with open(path, "w", encoding="utf-8") as f:
         f.write(model.to_json())

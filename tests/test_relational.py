@@ -166,3 +166,22 @@ def test_dearest_of_equal_prices(spark):
 
     got = {r.p_brand: (r.dearest, r.cheapest) for r in extreme_rows(Tables).collect()}
     assert got["b"] == (12, 3_000_001)
+
+
+def test_order_of_a_clustered_heat_map(spark):
+    assert plotprep.cluster_order([]) == [] and plotprep.cluster_order([[0]]) == [0]
+    d = [[0, 9, 1, 9, 4], [9, 0, 9, 2, 9], [1, 9, 0, 9, 4], [9, 2, 9, 0, 9], [4, 9, 4, 9, 0]]
+    assert plotprep.cluster_order(d) == [0, 2, 4, 1, 3]
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (300, 2))
+    df = spark.createDataFrame([(float(a), float(b), float(a * 2 + 0.01 * b), float(-b)) for a, b in x], "p double, q double, r double, s double")
+    rows = plotprep.clustered_correlations(df, ["p", "q", "r", "s"]).collect()
+    places = {r.a: r.place_a for r in rows}
+    assert abs(places["p"] - places["r"]) == 1 and len(rows) == 16 and {r.corr for r in rows if r.a == r.b} == {1.0}
+
+
+def test_linear_points(spark):
+    from tabulon.ml.linear import linear_regression
+
+    df = files.linear_points(spark, 500, [2.0, -1.0], 0.5, seed=3)
+    assert linear_regression(df, ["x0", "x1"], "y", normalize=False).theta == pytest.approx([0.5, 2, -1])
