@@ -175,8 +175,8 @@ def anchors(keyed: DataFrame, length: int, anchor: int) -> DataFrame:
 class Family:
     """Suffix arrays of batches, as levels `level-<first batch>-<last batch>` in a folder that all executors see.
 
-    Beside them lie `places-<batch>`: every anchor of a batch with its document, its (h, context) and its windows.
-    A level that a wider one covers is a leftover of a stopped merge and counts no more.
+    Beside them lie `places-<first batch>`: every anchor of one call's batches with its document, its (h, context) and its
+    windows. A level that a wider one covers is a leftover of a stopped merge and counts no more.
     """
 
     def __init__(self, spark: SparkSession, path: str, length: int = LENGTH, anchor: int = ANCHOR):
@@ -217,16 +217,18 @@ class Family:
             for old in (a, b):
                 drop_path(self.spark, self._at(old))
 
-    def add(self, keyed: DataFrame) -> None:
-        """A batch of documents (doc0, th, text) as a new level."""
-        from tabulon.llm.common import stored
-
-        self.merge()
-        k = self.batches
-        places = stored(anchors(keyed.select("doc0", "th", "text"), self.length, self.anchor), "places", f"{self.path}/places-{k}")
+    def add(self, keyed: DataFrame, batches: int = 1) -> None:
+        """Documents (doc0, th, text), read once, as so many batches, each a new level; equal texts are in one batch."""
+        first = self.batches
+        found = anchors(keyed.select("doc0", "th", "text"), self.length, self.anchor).withColumn("batch", F.pmod("th", F.lit(batches)).cast("int"))
+        path = f"{self.path}/places-{first}"
+        found.write.mode("overwrite").option("compression", "zstd").partitionBy("batch").parquet(path)
         one = F.struct("doc0", "th", "a", "s1", "s2").alias("one")
-        self._write(places.select("h", "context", F.lit(1).cast("long").alias("n"), one), (k, k))
-        self.spans.append((k, k))
+        for k in range(batches):
+            self.merge()
+            places = self.spark.read.schema(f"{PLACES}, batch int").parquet(path).filter(F.col("batch") == k)
+            self._write(places.select("h", "context", F.lit(1).cast("long").alias("n"), one), (first + k, first + k))
+            self.spans.append((first + k, first + k))
 
     def suffixes(self) -> DataFrame:
         """The rows of all levels; an (h, context) stands once in each level that has it."""
@@ -236,7 +238,13 @@ class Family:
         return out
 
     def places(self) -> DataFrame:
-        return self.spark.read.schema(PLACES).parquet(*(f"{self.path}/places-{k}" for k in range(self.batches)))
+        from tabulon.llm.common import folder_names
+
+        out = self.spark.createDataFrame([], PLACES)
+        for name in folder_names(self.spark, self.path):
+            if name.startswith("places-") and int(name.split("-")[1]) < self.batches:
+                out = out.unionByName(self.spark.read.schema(f"{PLACES}, batch int").parquet(f"{self.path}/{name}").drop("batch"))
+        return out
 
     def met(self) -> DataFrame:
         """h, k (contexts, once for each level) of the suffixes that meet others, found in a merge-scan of the levels."""
@@ -407,8 +415,7 @@ def remove_repeats(
     spark = docs.sparkSession
     keyed = keyed_texts(docs, id_col, text_col)
     family = Family(spark, new_path(spark, "family"), length, anchor)
-    for k in range(batches):
-        family.add(keyed.filter(F.pmod("th", F.lit(batches)) == k))
+    family.add(keyed, batches)
     found = repeated_runs(family, keyed, hot_contexts, crowd)
     by_doc = stored(found.groupBy("doc0", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("found")), "found")
     drop_path(spark, family.path)
