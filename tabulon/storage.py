@@ -77,7 +77,7 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
 @contextmanager
 def short_lived_shuffles(spark: SparkSession):
     """Inside, shuffle files of a query go when it ends."""
-    before = spark.conf.get(CLEANUP)
+    before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
         yield
