@@ -13,6 +13,7 @@ out and never learned from; further columns are never read; an empty table gives
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,19 +32,54 @@ WORDS = re.compile(r"\w+")
 MOST_WORDS = 300_000
 
 
-def _grams(word: str):
+def _marked(word: str) -> bytes:
+    try:  # one byte a character where that is possible
+        return f"<{word}>".encode("latin-1")
+    except UnicodeEncodeError:
+        return f"<{word}>".encode("utf-8", "surrogatepass")
+
+
+@cache
+def _crc_table():
+    """What a byte does to a CRC-32."""
+    import numpy as np
+
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = (t >> np.uint32(1)) ^ (np.uint32(0xEDB88320) * (t & np.uint32(1)))
+    return t
+
+
+def _grams(words: list[str], used=None) -> list:
+    """Each word's n-gram numbers, each once; the checksums of all words' n-grams are made together, a byte at a time."""
     import zlib
 
     import numpy as np
 
-    marked = f"<{word}>"
-    try:  # one byte a character where that is possible
-        marked = marked.encode("latin-1")
-    except UnicodeEncodeError:
-        marked = marked.encode("utf-8", "surrogatepass")
-    grams = {marked, *[marked[i : i + n] for n in LENGTHS for i in range(len(marked) - n + 1)]}
-    h = np.fromiter(map(zlib.crc32, grams), np.uint32, len(grams))
-    return (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+    marked = [_marked(w) for w in words]
+    sizes = np.array([len(m) for m in marked])
+    data = np.frombuffer(b"".join(marked), np.uint8)
+    owner = np.repeat(np.arange(len(marked)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))
+    number = lambda h: (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+    found, of = [number(np.array([zlib.crc32(m) for m in marked], dtype=np.uint32))], [np.arange(len(marked))]
+    table, crc = _crc_table(), np.full(len(data), 0xFFFFFFFF, dtype=np.uint32)
+    for n in range(1, max(LENGTHS) + 1):
+        end = len(data) - n + 1
+        if end <= 0:
+            break
+        crc = table[(crc[:end] ^ data[n - 1 :]) & np.uint32(255)] ^ (crc[:end] >> np.uint32(8))
+        if n in LENGTHS:
+            inside = left[:end] >= n
+            found.append(number(~crc[inside]))
+            of.append(owner[:end][inside])
+    number_, word = np.concatenate(found), np.concatenate(of)
+    if used is not None:
+        on = used[number_]
+        number_, word = number_[on], word[on]
+    key = np.unique(word.astype(np.int64) << np.int64(32) | number_)
+    cuts = np.searchsorted(key, np.arange(1, len(marked), dtype=np.int64) << np.int64(32))
+    return np.split((key & np.int64(0xFFFFFFFF)).astype(np.uint32), cuts)
 
 
 #: Odd factors that name the features of n-grams in two and in three words.
@@ -62,21 +98,31 @@ class Grams:
             mask = np.uint32((1 << BITS) - 1)
             self.used = used | used[(at * np.uint32(_STEP[2])) & mask] | used[(at * np.uint32(_STEP[3])) & mask]
 
+    def words(self, text: str) -> set[str]:
+        return set(WORDS.findall(text.lower()))
+
+    def learn(self, words: set[str]) -> None:
+        """Makes the n-grams of all new words at once; a word without any that counts is known as None."""
+        if len(self.known) + len(words) > MOST_WORDS:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        for lo in range(0, len(new), 20_000):
+            some = new[lo : lo + 20_000]
+            self.known.update((w, g if len(g) else None) for w, g in zip(some, _grams(some, self.used)))
+
+    def many(self, texts: list[str]) -> list:
+        """Each text's features; words that are new in any of them are learned together."""
+        of = [self.words(t) for t in texts]
+        self.learn(set().union(*of))
+        return [self.numbers(words) for words in of]
+
     def __call__(self, text: str):
+        return self.many([text])[0]
+
+    def numbers(self, words: set[str]):
         import numpy as np
 
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        parts = []
-        for w in set(WORDS.findall(text.lower())):
-            g = self.known.get(w)
-            if g is None:
-                g = _grams(w)
-                if self.used is not None:
-                    g = g[self.used[g]]
-                self.known[w] = g
-            if len(g):
-                parts.append(g)
+        parts = [g for g in map(self.known.get, words) if g is not None]
         if not parts:
             return np.zeros(0, np.uint32)
         seen = np.concatenate(parts)
@@ -164,8 +210,10 @@ def score(docs: DataFrame, model: dict, threshold: float, id_col: str = "doc_id"
         model = sent.value
         grams = Grams(model["r"] != 0)
         for batch in batches:
-            p = [probability(grams(t or ""), model) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array([int(x >= threshold) for x in p], pa.int32())], ["doc_id", "score", "predicted"])
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                p = [probability(at, model) for at in grams.many([t or "" for t in part.column(1).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64()), pa.array([int(x >= threshold) for x in p], pa.int32())], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
 
