@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 MOST_ROWS = 8000
 BITS = 18
 WORDS = re.compile(r"\w+|[^\w\s]+")
-_known: dict[str, tuple[int, int]] = {}
+MOST_WORDS = 400_000
 
 
 def _hashes(word: str) -> tuple[int, int]:
@@ -35,23 +35,44 @@ def _hashes(word: str) -> tuple[int, int]:
     return xxhash.xxh64_intdigest(word.lower(), 1), xxhash.xxh64_intdigest(shape, 2)
 
 
+class _Words:
+    """The hashes of words met so far, numbered, so that a text's are looked up as one array."""
+
+    def __init__(self):
+        self.numbers, self.hashes = {}, None
+
+    def __call__(self, words: list[str]):
+        import numpy as np
+
+        try:
+            at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            new = [w for w in set(words) if w not in self.numbers]
+            if len(self.numbers) + len(new) > MOST_WORDS:
+                self.numbers, new = {}, list(set(words))
+            n = len(self.numbers)
+            if self.hashes is None or n + len(new) > self.hashes.shape[1]:
+                larger = np.zeros((2, 2 * (n + len(new))), dtype=np.uint64)
+                if n:
+                    larger[:, :n] = self.hashes[:, :n]
+                self.hashes = larger
+            self.hashes[:, n : n + len(new)] = np.array([_hashes(w) for w in new], dtype=np.uint64).T
+            self.numbers.update(zip(new, range(n, n + len(new))))
+            at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        return self.hashes[0, at], self.hashes[1, at]
+
+
+_words = _Words()
+
+
 def features(text: str):
     """(indices, values) of a text: ascending indices below 2^BITS; index 0 is the intercept."""
     import numpy as np
 
-    if len(_known) > 400_000:
-        _known.clear()
     words = WORDS.findall(text)
-    pairs = []
-    for w in words:
-        p = _known.get(w)
-        if p is None:
-            p = _known[w] = _hashes(w)
-        pairs.append(p)
     at, times = np.zeros(1, np.int64), np.ones(1)
-    if pairs:
-        h, s = np.array(pairs, dtype=np.uint64).T
-        s = s.copy()
+    if words:
+        h, s = _words(words)
         s[1:][h[1:] == h[:-1]] = np.uint64(0xABCDEF)
         a, b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
         two = s[:-1] * a + s[1:] * b
