@@ -30,10 +30,11 @@ def rows(spark: SparkSession, data: Sequence[Sequence], schema: T.StructType | s
     return spark.createDataFrame(list(data), schema)
 
 
-def html_fields(df: DataFrame, html: str, fields: dict[str, str], required: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+def html_fields(df: DataFrame, html: str, fields: dict[str, str], required: Sequence[str] = (), keep: Sequence[str] = (), references: Sequence[str] | None = None) -> DataFrame:
     """The text of the first element that each field asks for ('tag', 'tag.class' or 'tag@attribute'), NULL where there is none.
 
-    Rows without a required field go. Parsed by the standard library's parser, so broken markup is no error.
+    Rows without a required field go. Parsed by the standard library's parser, so broken markup is no error. Character
+    references are decoded as HTML has it; with `references` (names like "amp") only those, closed by a semicolon and in text.
     """
     names = list(fields)
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(n, T.StringType()) for n in names])
@@ -41,7 +42,7 @@ def html_fields(df: DataFrame, html: str, fields: dict[str, str], required: Sequ
     def run(batches):
         for pdf in batches:
             out = pdf[list(keep)].copy()
-            found = [parse_fields(x, fields) for x in pdf["_html"]]
+            found = [parse_fields(x, fields, references) for x in pdf["_html"]]
             for n in names:
                 out[n] = [f[n] for f in found]
             yield out
@@ -50,13 +51,19 @@ def html_fields(df: DataFrame, html: str, fields: dict[str, str], required: Sequ
     return parsed.dropna(subset=list(required)) if required else parsed
 
 
-def parse_fields(html: str | None, fields: dict[str, str]) -> dict[str, str | None]:
+def parse_fields(html: str | None, fields: dict[str, str], references: Sequence[str] | None = None) -> dict[str, str | None]:
+    import re
+    from html import unescape
     from html.parser import HTMLParser
 
     wants = {n: (w.split("@")[0].split(".")[0], w.split(".")[1] if "." in w else None, w.split("@")[1] if "@" in w else None) for n, w in fields.items()}
     out: dict[str, str | None] = dict.fromkeys(fields)
     empty = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
+    # with told references every ampersand is masked from the parser, which gives markup's text as written
+    masked = references is not None
+    known = re.compile(f"&({'|'.join(map(re.escape, references))});") if references else None
+
     class Reader(HTMLParser):
         def __init__(self):
             super().__init__(convert_charrefs=True)
@@ -76,6 +83,10 @@ def parse_fields(html: str | None, fields: dict[str, str]) -> dict[str, str | No
                 self.open.append((tag, mine, []))
 
         def handle_data(self, data):
+            if masked and self.cdata_elem in self.CDATA_CONTENT_ELEMENTS:  # scripts and styles have no references
+                data = data.replace("&amp;", "&")
+            elif known:
+                data = known.sub(lambda m: unescape(m.group()), data)
             for _, mine, text in self.open:
                 if mine:
                     text.append(data)
@@ -95,7 +106,7 @@ def parse_fields(html: str | None, fields: dict[str, str]) -> dict[str, str | No
                     out[n] = "".join(text).strip()
 
     reader = Reader()
-    reader.feed(html or "")
+    reader.feed((html or "").replace("&", "&amp;") if masked else html or "")
     reader.close()
     return out
 

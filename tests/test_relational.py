@@ -93,6 +93,29 @@ def test_html(spark):
     assert values(files.html_fields(df, "html", {"job": "p.job"}, ["job"], ["i"])) == [(1, "A & B")]
 
 
+def test_html_references():
+    page = """<title> a&amp;&amp;amp;&amp &quot;b&lt;</title><a href="/u?a&amp;b">l</a><script>x &amp; y &lt;</script>"""
+    wants = {"title": "title", "link": "a@href", "script": "script"}
+    assert files.parse_fields(page, wants) == {"title": 'a&&amp;& "b<', "link": "/u?a&b", "script": "x &amp; y &lt;"}
+    assert files.parse_fields(page, wants, ["lt", "amp"]) == {"title": "a&&amp;&amp &quot;b<", "link": "/u?a&amp;b", "script": "x &amp; y &lt;"}
+    assert files.parse_fields(page, wants, []) == {"title": "a&amp;&amp;amp;&amp &quot;b&lt;", "link": "/u?a&amp;b", "script": "x &amp; y &lt;"}
+
+
+def test_html_fields_query_on_odd_pages(spark, tmp_path):
+    """As its SQL has it: references cut short or unknown to it stay, absent attributes are empty."""
+    import duckdb
+
+    from tabulon import catalog
+
+    pages = ["<html lang=\"en\"><title>a&amp;&amp</title><a href=\"/x&amp;y\">x</a></html>", "<title> token = &quot;7 &lt;b&gt; &amp;lt; &#65;</title>", "<html lang=\"de\"><p>none</p>", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLE_SQL["html_fields"]).fetchall()
+    got = catalog.QUERIES["html_fields"](spark, str(tmp_path)).select("page_id", "title", "lang", "link").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 2
+
+
 def test_generated_and_saved(spark, tmp_path):
     from tabulon.ml.preprocess import standard_scaler
 
