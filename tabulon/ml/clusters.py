@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.scalars import dot
 from tabulon.ml.linear import gram
-from tabulon.ml.metrics import silhouette
+from tabulon.ml.metrics import mean_silhouettes
 from tabulon.ml.preprocess import Fitted
 
 
@@ -30,7 +30,7 @@ class KMeans(Fitted):
         return df.withColumn(name, self.nearest())
 
     def score(self, df: DataFrame, key: str) -> float:
-        return silhouette(self.transform(df, "_cluster"), key, self.features, "_cluster").agg(F.avg("silhouette")).first()[0]
+        return mean_silhouettes(self.transform(df, "_cluster"), self.features, ["_cluster"])[0]
 
 
 def kmeans(df: DataFrame, features: Sequence[str], n_clusters: int, max_iter: int = 300, seed: int = 0, init: Sequence[Sequence[float]] | None = None) -> KMeans:
@@ -64,7 +64,10 @@ def kmeans(df: DataFrame, features: Sequence[str], n_clusters: int, max_iter: in
 
 def best_k(df: DataFrame, key: str, features: Sequence[str], ks: Sequence[int], seed: int = 0, max_iter: int = 300) -> tuple[int, dict[int, float]]:
     """The number of clusters with the best mean silhouette, and all of them."""
-    scores = {k: kmeans(df, features, k, max_iter, seed).score(df, key) for k in ks}
+    labelled = df.select(key, *features)
+    for k in ks:
+        labelled = kmeans(df, features, k, max_iter, seed).transform(labelled, f"_cluster{k}")
+    scores = dict(zip(ks, mean_silhouettes(labelled, features, [f"_cluster{k}" for k in ks])))
     return max(scores, key=lambda k: (scores[k], -k)), scores
 
 

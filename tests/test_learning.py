@@ -73,6 +73,44 @@ def test_silhouette(spark, monkeypatch):
     assert metrics.silhouette(df, "k", ["x", "y"], "c").agg(F.avg("silhouette")).first()[0] == pytest.approx(0.801961, abs=1e-6)
 
 
+def test_silhouettes_of_copies_and_odd_rows(spark, monkeypatch):
+    """Against a plain version: copies, missing coordinates and labels, a cluster of one; in one block and in several."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.repeat(rng.random((30, 2)), 3, axis=0), rng.random((40, 2))])
+    c = [rng.integers(0, k, len(x)) for k in (2, 4)]
+    c[1][-1] = 9
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+
+    def plain(labels):
+        out = []
+        for i, own in enumerate(labels):
+            mean = {g: d[i, labels == g].sum() / ((labels == g).sum() - (g == own) or 1) for g in set(labels.tolist())}
+            b = min(v for g, v in mean.items() if g != own)
+            out.append(0.0 if (labels == own).sum() == 1 else (b - mean[own]) / max(b, mean[own]))
+        return out
+
+    rows = [(i, *map(float, p), int(a), int(b)) for i, (p, a, b) in enumerate(zip(x, *c))]
+    df = one(spark, rows + [(1000, 0.5, 0.5, None, None)], "k int, x double, y double, c0 int, c1 int")
+    odd = df.unionAll(one(spark, [(1001, None, 0.5, 77, 77)], "k int, x double, y double, c0 int, c1 int"))
+    for block in (20_000, 17):
+        monkeypatch.setattr(metrics, "BLOCK", block)
+        for i in range(2):
+            got = {r.k: r.silhouette for r in metrics.silhouette(odd, "k", ["x", "y"], f"c{i}").collect()}
+            assert got.pop(1000) is None and got.pop(1001) == 0
+            assert got == pytest.approx(dict(enumerate(plain(c[i]))))
+        assert metrics.mean_silhouettes(df, ["x", "y"], ["c0", "c1"]) == pytest.approx([np.mean(plain(v)) for v in c])
+
+
+def test_silhouettes_meet_distinct_points_once(spark, monkeypatch):
+    """Sixty copies of each point and three labellings cost the distances of the distinct points, once."""
+    met = []
+    made = metrics._distance_sums
+    monkeypatch.setattr(metrics, "_distance_sums", lambda block, *a: met.append(block.num_rows) or made(block, *a))
+    df = spark.range(6000).selectExpr("id AS k", "DOUBLE(id % 100) AS x", "DOUBLE(id % 100 % 13) AS y")
+    best, scores = clusters.best_k(df, "k", ["x", "y"], [2, 3, 4], max_iter=3)
+    assert met == [100] and set(scores) == {2, 3, 4} and scores[best] == max(scores.values())
+
+
 def line(spark, n=4):
     return one(spark, [(i, float(i), 2.0 * i + 1) for i in range(1, n + 1)], "k int, x double, y double")
 
