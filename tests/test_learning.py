@@ -198,6 +198,31 @@ def test_neighbours(spark, monkeypatch):
         neighbors.knn_classify(test, train.limit(2), "k", ["a"], "y", 5)
 
 
+def test_neighbours_meet_in_tiles(spark, monkeypatch):
+    """Ties, many copies, near copies far from the origin, gaps and text keys, in small tiles, against a plain version; no join of rows."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.integers(0, 4, (300, 3)).astype(float), np.full((80, 3), 1.0), 1e6 + rng.random((60, 3)) * 1e-4])
+    keys = [f"{i:04d}" for i in rng.permutation(len(x))]
+    rows = [(a, v.tolist(), int(a) % 7) for a, v in zip(keys, x)] + [("9998", [0.0, None, 0.0], 1), ("9999", None, 1)]
+    df = one(spark, rows, "k string, v array<double>, y int")
+    monkeypatch.setattr(neighbors, "TILE", (16, 50))
+    monkeypatch.setattr(neighbors, "BATCH", 130)
+    for p in (2, 3):
+        plan = neighbors.neighbours(df, df, "k", ["v"], 4, p, ["y"])
+        assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in plan._jdf.queryExecution().executedPlan().toString()
+        got = {(r.k, r["rank"]): r for r in plan.collect()}
+        assert len(got) == 4 * len(rows)
+        for a, v in zip(keys, x):
+            d = np.zeros(len(x))
+            for i in range(3):
+                d = d + np.abs(x[:, i] - v[i]) ** p
+            d = np.sqrt(d) if p == 2 else d ** (1 / p)
+            want = sorted(zip(d, keys))[:4]
+            assert [(got[a, j].neighbour, got[a, j].y) for j in range(1, 5)] == [(b, int(b) % 7) for _, b in want]
+            assert [got[a, j].distance for j in range(1, 5)] == pytest.approx([e for e, _ in want], rel=1e-12)
+        assert [got["9999", j].neighbour for j in range(1, 5)] == sorted(keys)[:4] and got["9998", 1].distance is None
+
+
 def test_split_qualities(spark):
     df = one(spark, [("a", 1), ("a", 1), ("b", 0), ("c", 0)], "x string, y int")
     t = trees.grow(df, ["x"], "y", max_depth=1)
