@@ -223,6 +223,25 @@ def test_neighbours_meet_in_tiles(spark, monkeypatch):
         assert [got["9999", j].neighbour for j in range(1, 5)] == sorted(keys)[:4] and got["9998", 1].distance is None
 
 
+def test_regression_over_neighbours_in_blocks(spark, monkeypatch):
+    """Weighted means from several blocks of queries, copies among the train rows; no join of rows in any block."""
+    rng = np.random.default_rng(9)
+    x, y = np.repeat(rng.random((40, 5)), 4, axis=0), rng.integers(0, 10, 160)
+    q = rng.random((50, 5))
+    train = one(spark, [(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))], "k long, v array<double>, y int")
+    test = one(spark, [(1000 + i, v.tolist()) for i, v in enumerate(q)], "k long, v array<double>")
+    plans = []
+    kept = neighbors.stored
+    monkeypatch.setattr(neighbors, "stored", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, *a))
+    monkeypatch.setattr(neighbors, "BLOCK", 20)
+    got = {r.k: r.prediction for r in neighbors.knn_regress(test, train, "k", ["v"], "y", 6, "distance").collect()}
+    for i, v in enumerate(q):
+        d = np.sqrt(((x - v) ** 2).sum(axis=1))
+        near = np.argsort(d, kind="stable")[:6]
+        assert got[1000 + i] == pytest.approx((y[near] / d[near]).sum() / (1 / d[near]).sum())
+    assert len(got) == 50 and len(plans) > 2 and not any("Join" in p or "Cartesian" in p for p in plans)
+
+
 def test_split_qualities(spark):
     df = one(spark, [("a", 1), ("a", 1), ("b", 0), ("c", 0)], "x string, y int")
     t = trees.grow(df, ["x"], "y", max_depth=1)
