@@ -179,6 +179,43 @@ def test_categorical_nb(spark):
     assert {r.k: r.prediction for r in out} == {1: 0, 2: 0} and sum(r.probability for r in out) == pytest.approx(2)
 
 
+@pytest.fixture(scope="module")
+def exact_descent():
+    """Descent along forward differences of MSE + alpha |weights| or alpha |weights|^2, with 80 digits."""
+    from decimal import Decimal, localcontext
+
+    def fit(z, y, alpha, squared, n_iters):
+        with localcontext() as held:
+            held.prec = 80
+            z, y = [[Decimal(1), *map(Decimal, r)] for r in z.tolist()], [Decimal(v) for v in y.tolist()]
+            step, alpha, n = Decimal("0.0001"), Decimal(alpha), len(y)
+
+            def cost(t):
+                return sum((sum(a * b for a, b in zip(r, t)) - v) ** 2 for r, v in zip(z, y)) / n + alpha * sum(w * w if squared else abs(w) for w in t[1:])
+
+            t = [Decimal(1)] * len(z[0])
+            for _ in range(n_iters):
+                base = cost(t)
+                g = [(cost([w + step * (i == k) for i, w in enumerate(t)]) - base) / step for k in range(len(t))]
+                if sum(x * x for x in g).sqrt() <= Decimal("0.001"):
+                    break
+                t = [w - x / 10 for w, x in zip(t, g)]
+            return [float(w) for w in t]
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 2))
+    y = 1e6 + 3e5 * rng.normal(size=40) + 100 * x[:, 0] - 40 * x[:, 1]
+    return fit, x, (x - x.mean(axis=0)) / x.std(axis=0), y
+
+
+def test_lasso_descent_of_large_labels(spark, exact_descent):
+    """Where losses are 1e12 their differences are no rounding noise."""
+    fit, x, z, y = exact_descent
+    df = one(spark, [(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, y double")
+    m = linear.lasso(df, ["a", "b"], "y", alpha=3.0)
+    assert m.theta == pytest.approx(fit(z, y, 3.0, False, 1000), rel=0, abs=1e-5)
+
+
 def test_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(2)
     p, label = rng.random((80, 3)), rng.integers(0, 3, 80)
