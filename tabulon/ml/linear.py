@@ -56,11 +56,11 @@ def descend(gradient: Callable, start: np.ndarray, rate: float, n_iters: int, to
     return theta
 
 
-def forward_difference(g: Gram, penalty: Callable, step: float = 1e-4) -> Callable:
-    """Numeric gradient of the mean squared error plus a sum of penalty(weight) over all weights but the intercept."""
+def forward_difference(g: Gram, penalty: Callable[[np.ndarray, float], np.ndarray], step: float = 1e-4) -> Callable:
+    """Numeric gradient of the mean squared error and a penalty on all weights but the intercept; penalty(weights, step) is its gain."""
 
     def gradient(theta):
-        more = penalty(theta + step) - penalty(theta)
+        more = penalty(theta, step)
         more[0] = 0.0
         return (g.rises(theta, step) + more) / step
 
@@ -176,7 +176,7 @@ def ridge(df: DataFrame, features: Sequence[str], label: str, alpha: float = 1.0
             theta = np.linalg.solve(whole, g.zy)
     if theta is None:
         plain = lambda t: (g.zz @ t - g.zy) / g.n + alpha * t
-        numeric = forward_difference(g, lambda t: alpha * t * t)
+        numeric = forward_difference(g, lambda t, step: alpha * step * (2 * t + step))
         theta = descend(plain if gradient == "math" else numeric, np.ones(p), learning_rate, n_iters, tol)
     return LinearModel(list(features), shift, scale, theta.tolist())
 
@@ -187,7 +187,7 @@ def lasso(df: DataFrame, features: Sequence[str], label: str, alpha: float = 1.0
         raise NotImplementedError("the lasso is fitted by gd")
     z, shift, scale = _standardised(df, features, label, normalize)
     g = gram(z, features, label)
-    theta = descend(forward_difference(g, lambda t: alpha * np.abs(t)), np.ones(len(g.zy)), learning_rate, n_iters, tol)
+    theta = descend(forward_difference(g, lambda t, step: alpha * (np.abs(t + step) - np.abs(t))), np.ones(len(g.zy)), learning_rate, n_iters, tol)
     return LinearModel(list(features), shift, scale, theta.tolist())
 
 

@@ -216,6 +216,15 @@ def test_lasso_descent_of_large_labels(spark, exact_descent):
     assert m.theta == pytest.approx(fit(z, y, 3.0, False, 1000), rel=0, abs=1e-5)
 
 
+def test_numeric_descent_of_large_labels(spark, exact_descent):
+    fit, x, z, y = exact_descent
+    df = one(spark, [(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, y double")
+    m = linear.linear_regression(df, ["a", "b"], "y", solver="gd", gradient="debug")
+    assert m.theta == pytest.approx(fit(z, y, 0.0, False, 1000), rel=0, abs=1e-5)
+    m = linear.ridge(df, ["a", "b"], "y", 0.5, solver="gd", gradient="debug")
+    assert m.theta == pytest.approx(fit(z, y, 0.5, True, 1000), rel=0, abs=1e-5)
+
+
 def test_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(2)
     p, label = rng.random((80, 3)), rng.integers(0, 3, 80)
