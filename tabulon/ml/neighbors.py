@@ -15,6 +15,8 @@ from tabulon.storage import new_path, stored
 BLOCK, BATCH, TILE = 20_000, 8_192, (1_024, 2_048)
 #: Stands for a distance to or from a vector with a gap.
 FAR = 1e300
+#: Products are taken in single precision where their rounding is at most this part of the k-th squared distance.
+FINE = 0.01
 
 
 def _vectors(column, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,6 +49,10 @@ def _rank(order: np.ndarray, group: np.ndarray) -> np.ndarray:
     return np.arange(len(g)) - np.repeat(first, np.diff(np.r_[first, len(g)]))
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a @ b
+
+
 class _Nearest:
     """The k nearest of all train rows met so far, for each query of a block; ties go to the smallest train key."""
 
@@ -87,30 +93,48 @@ class _Nearest:
         self.held = rows.take(pa.array(used))
 
     def _tiles(self, b, whole, first, by_key) -> None:
-        k, p, turned = self.k, self.p, np.ascontiguousarray(b.T)
+        p, turned = self.p, np.ascontiguousarray(b.T)
         norm = (b * b).sum(axis=1)
         # products of matrices only choose whom to measure; their rounding is allowed for
-        slack = 16 * (b.shape[1] + 8) * 2.0**-53 * (self.norm + norm.max(initial=0)) if p == 2 else np.zeros(len(self.q))
-        right = np.c_[b, np.where(whole, norm, FAR)].T
+        size = 16 * (b.shape[1] + 8) * (self.norm + norm.max(initial=0)) if p == 2 else np.zeros(len(self.q))
+        slack, slack32 = size * 2.0**-53, size * 2.0**-24 + 1e-30
+        left, right = np.c_[-2 * self.q, np.ones(len(self.q))], np.c_[b, np.where(whole, norm, FAR)].T
+        single = p == 2 and self.norm.max(initial=0) + norm.max(initial=0) < 1e30
+        if single:
+            left32, right32 = left.astype(np.float32), np.c_[b, np.where(whole, norm, 3e38)].T.astype(np.float32)
         for y in range(0, len(self.q), TILE[0]):
-            mine = slice(y, min(y + TILE[0], len(self.q)))
-            left = np.c_[-2 * self.q[mine], np.ones(mine.stop - y)]
+            mine = np.arange(y, min(y + TILE[0], len(self.q)))
             for x in range(0, len(b), TILE[1]):
-                cols = slice(x, min(x + TILE[1], len(b)))
-                if p == 2:
-                    score, shift = left @ right[:, cols], self.norm[mine]
-                else:
-                    score = _sum_of_powers(self.turned[:, mine, None], turned[:, None, cols], p) + np.zeros((mine.stop - y, cols.stop - x))
-                    score[:, ~whole[cols]], shift = FAR, 0.0
-                score[~self.whole[mine]] = FAR
-                limit = self.distance[mine, -1] ** p * (1 + 1e-9) + slack[mine] - shift
-                loose = np.isinf(limit)
-                if loose.any() and cols.stop - x >= k:
-                    kth = np.partition(score[loose], k - 1, axis=1)[:, k - 1]
-                    limit[loose] = kth + np.abs(kth) * 1e-9 + 2 * slack[mine][loose]
-                i, j = np.divmod(np.flatnonzero(score <= limit[:, None]), cols.stop - x)
-                if len(i):
-                    self._take(i + y, j + x, turned, whole, first, by_key)
+                cols, rest, pairs = slice(x, min(x + TILE[1], len(b))), mine, []
+                if single:
+                    rows = mine[self.whole[mine] & (slack32[mine] <= FINE * self.distance[mine, -1] ** 2)]
+                    score = _product(left32[rows], right32[:, cols])
+                    limit = self._limits(score, rows, slack32)
+                    fine = slack32[rows] <= FINE * (limit + self.norm[rows])
+                    score, limit = (score, limit) if fine.all() else (score[fine], limit[fine])
+                    pairs.append((rows[fine], score, np.nextafter(limit.astype(np.float32), np.float32(np.inf))))
+                    rest = np.setdiff1d(mine, rows[fine], assume_unique=True)
+                if len(rest):
+                    if p == 2:
+                        score = _product(left[rest], right[:, cols])
+                    else:
+                        score = _sum_of_powers(self.turned[:, rest, None], turned[:, None, cols], p) + np.zeros((len(rest), cols.stop - x))
+                        score[:, ~whole[cols]] = FAR
+                    score[~self.whole[rest]] = FAR
+                    pairs.append((rest, score, self._limits(score, rest, slack)))
+                for rows, score, limit in pairs:
+                    i, j = np.divmod(np.flatnonzero(score <= limit[:, None]), cols.stop - x)
+                    if len(i):
+                        self._take(rows[i], j + x, turned, whole, first, by_key)
+
+    def _limits(self, score, rows, slack):
+        """The largest score of each of the rows that may belong to one of its k nearest."""
+        limit = self.distance[rows, -1] ** self.p * (1 + 1e-9) + slack[rows] - (self.norm[rows] if self.p == 2 else 0.0)
+        loose = np.isinf(limit)
+        if loose.any() and score.shape[1] >= self.k:
+            kth = np.partition(score[loose], self.k - 1, axis=1)[:, self.k - 1].astype(np.float64)
+            limit[loose] = kth + np.abs(kth) * 1e-9 + 2 * slack[rows][loose]
+        return limit
 
     def _take(self, i, j, turned, whole, first, by_key) -> None:
         k, p = self.k, self.p
@@ -166,7 +190,7 @@ def neighbours(queries: DataFrame, train: DataFrame, key: str, features: Sequenc
     parts = left.count() // BLOCK + 1
     if parts > 1:
         left = stored(left.withColumn("_block", F.pmod(F.xxhash64("_q"), F.lit(parts))).sortWithinPartitions("_block"), "queries")
-    right = right.repartition(2 * spark.sparkContext.defaultParallelism)
+    right = right.repartition(spark.sparkContext.defaultParallelism)
     kinds = T.StructType([left.schema["_q"], T.StructField("distance", T.DoubleType()), *(f for f in right.schema if f.name != "_b")])
     order = Window.partitionBy("_q").orderBy(F.col("distance").asc_nulls_last(), "_t")
     paths = []

@@ -288,6 +288,37 @@ def test_regression_over_neighbours_in_blocks(spark, monkeypatch):
     assert len(got) == 50 and len(plans) > 2 and not any("Join" in p or "Cartesian" in p for p in plans)
 
 
+@pytest.mark.parametrize(("spread", "centre", "kinds"), [(1.0, 0.0, {"float32"}), (1e-4, 1e6, {"float32", "float64"}), (0.0, 1.0, {"float32", "float64"}), (1e18, 0.0, {"float64"})])
+def test_regression_chooses_neighbours_in_single_precision_where_that_is_safe(monkeypatch, spread, centre, kinds):
+    """What stands far from the origin, or as near as its rounding, is chosen in double precision; results are those of a plain version."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    b, q = centre + spread * rng.normal(size=(400, 16)), centre + spread * rng.normal(size=(60, 16))
+    b[7], b[390] = np.nan, q[5]
+    if not spread:
+        b[:200] += rng.normal(size=(200, 16))
+    if kinds == {"float32"}:
+        b[390] += 0.1
+    made, product = [], neighbors._product
+    monkeypatch.setattr(neighbors, "TILE", (16, 50))
+    monkeypatch.setattr(neighbors, "_product", lambda x, y: made.extend([x.dtype.name] * min(len(x), 1)) or product(x, y))
+    found = neighbors._Nearest(q, np.ones(len(q), bool), 5, 2)
+    keys = rng.permutation(len(b))
+    for at in (slice(0, 130), slice(130, 300), slice(300, 400)):
+        rows = [None if np.isnan(v).any() else v.tolist() for v in b[at]]
+        found.meet(pa.table({"_t": keys[at], "_b": pa.array(rows, pa.list_(pa.float64())), "_0": keys[at] % 9}))
+    for i, v in enumerate(q):
+        d = np.zeros(len(b))
+        for x in (b - v).T:
+            d = d + x * x
+        d = np.sqrt(np.where(np.isnan(d), np.inf, d))
+        want = np.lexsort((keys, d))[:5]
+        assert found.held["_t"].to_numpy()[found.at[i]].tolist() == keys[want].tolist()
+        assert found.distance[i].tolist() == d[want].tolist()
+    assert set(made) == kinds
+
+
 def test_split_qualities(spark):
     df = one(spark, [("a", 1), ("a", 1), ("b", 0), ("c", 0)], "x string, y int")
     t = trees.grow(df, ["x"], "y", max_depth=1)
