@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 WINDOW, MEAN_BITS, LEAST, MOST = 16, 9, 64, 8192
 #: Chunks that an encoding task remembers, so as not to send them twice; what it forgets goes again and is dropped later.
 MOST_MET = 200_000
+#: Documents, and bytes of text, that an encoding task has in hand at once; a longer text comes alone.
+SLICE_DOCS, SLICE_BYTES = 500, 1 << 22
 DIGEST = 16
 STAGED = "doc_id long, hashes array<binary>, ends array<long>, hash binary, n int, payload binary"
 
@@ -66,6 +68,20 @@ def cut_points(ids) -> list[int]:
     return ends
 
 
+def slices_of(batch):
+    """Slices of a batch of documents (texts in column 1), in order, bounded in number and bytes."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    until, lo = np.cumsum(sizes), 0
+    while lo < batch.num_rows:
+        room = until[lo] - sizes[lo] + SLICE_BYTES
+        hi = min(max(int(np.searchsorted(until, room, "right")), lo + 1), lo + SLICE_DOCS)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def stage(docs: DataFrame, tokenizer_path: str, end_id: int | None, width: int, id_col: str, text_col: str) -> DataFrame:
     """Two kinds of rows: a document's recipe (hash null), and a chunk that this task met first here."""
 
@@ -81,8 +97,7 @@ def stage(docs: DataFrame, tokenizer_path: str, end_id: int | None, width: int,
         names = ["doc_id", "hashes", "ends", "hash", "n", "payload"]
         met: set[bytes] = set()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in slices_of(batch):
                 cols: list[list] = [[] for _ in names]
 
                 def put(*row):

@@ -101,6 +101,20 @@ def test_store_round_trip(spark, odd, odd_rows):
     assert len(hashes) == len(set(hashes))
 
 
+def test_long_documents_are_encoded_few_at_once():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    sizes = [rng.choice([0, 9, 3_000, 900_000, 5_000_000]) for _ in range(60)] + [7] * 1200
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array([None if n == 9 else "x" * n for n in sizes], pa.string())], ["doc_id", "text"])
+    parts = list(chunk_store.slices_of(batch))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(sizes)))
+    for part in parts:
+        held = sum(len(t or "") for t in part.column(1).to_pylist())
+        assert 0 < part.num_rows <= 500 and (held <= 1 << 22 or part.num_rows == 1)
+    assert len(parts) < 60 and list(chunk_store.slices_of(batch.slice(0, 0))) == []
+
+
 def test_documents_of_very_many_chunks(spark):
     ids = np.arange(300_000, dtype="<u4") % 60_000
     path = new_path(spark, "t")
