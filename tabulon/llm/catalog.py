@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.llm import chunk_store, decontamination, licenses, packing, pii, quality_classifier, quality_rules, repeats, simhash, toxicity
+from tabulon.llm import centroids, chunk_store, decontamination, licenses, packing, pieces, pii, quality_classifier, quality_rules, repeats, simhash, spelling, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1,
@@ -15,8 +15,12 @@ QUERIES = {
     "op8_simhash": simhash.op8,
     "op9_license_notices": licenses.op9,
     "op10_chunk_store": chunk_store.op10,
+    "op11_sentence_pieces": pieces.op11,
+    "op12_spelling_variants": spelling.op12,
+    "op13_centroid_clusters": centroids.op13,
 }
 
 ORACLE_SQL = {
     "op7_quality_rules": quality_rules.OP7_SQL,
+    "op13_centroid_clusters": centroids.OP13_SQL,
 }

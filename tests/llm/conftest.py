@@ -28,5 +28,9 @@ def folder(spark, odd, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("tables"))
     odd.write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(0, 1, 0), (3, 0, 1), (5, 1, 0), (6, None, None), (None, 1, 1), (8, 0, 0), (9, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    width = 64
+    vectors = [(i if i % 7 else None, [float((i * j) % 11 - 5) / 3 for j in range(width)], i) for i in range(40)]
+    vectors += [vectors[3], (3, [1e30] * width, 0), (90, None, 0), (91, [1.0] * 63, 0), (92, [1.0] * 63 + [float("nan")], 0), (93, [1.0] * 63 + [None], 0), (94, [1.0] * 63 + [float("inf")], 0), (95, [], 0)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, cluster int").write.parquet(f"{at}/embeddings.parquet")
     spark.createDataFrame([(1, "same text here same text"), (2, None), (3, ""), (None, "one")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     return at

@@ -4,7 +4,7 @@ import pytest
 
 from tabulon.llm import catalog
 
-PER_DOCUMENT = ["op1_quality_classifier", "op3_personal_data", "op4_repeated_strings", "op5_toxicity", "op7_quality_rules", "op8_simhash", "op9_license_notices", "op10_chunk_store"]
+PER_DOCUMENT = ["op1_quality_classifier", "op3_personal_data", "op4_repeated_strings", "op5_toxicity", "op7_quality_rules", "op8_simhash", "op9_license_notices", "op10_chunk_store", "op11_sentence_pieces"]
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
@@ -20,6 +20,7 @@ def test_no_rows(spark, tmp_path, none, name):
     none.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 0
 
 
