@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+from tabulon.storage import CLEANUP
+
 
 def get_spark(app: str = "tabulon", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; `conf` keys use __ for dots."""
@@ -17,6 +19,7 @@ def get_spark(app: str = "tabulon", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        CLEANUP: "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | {k.replace("__", "."): v for k, v in conf.items()}
