@@ -3,10 +3,12 @@
 A tokenizer that splits a text into words first and then encodes each word by itself gives a
 text's ids as the concatenation of its words' ids. For the two splitting rules below (that of
 byte-level BPE, and that of lower-cased BPE with word ends) the words of texts over a plain Latin
-alphabet are found here by byte classes, in numpy, many texts at once. A word is known by a 64-bit
-hash; each new word is encoded once by the library, and ids are gathered from a table. Any other
-text, and any other tokenizer file, goes to the library whole. Both ways give the same ids; the
-tests compare them.
+alphabet are found here by byte classes, in numpy, many texts at once. Each new word is encoded once
+by the library, and ids are gathered from a table. A hash only says where in the table a word may
+be: a word is taken for a known one if its length and all its bytes are equal. Words of more than
+LONGEST bytes, and those whose place another word of equal hash has, are encoded anew in each slice.
+Any other text, and any other tokenizer file, goes to the library whole. Both ways give the same
+ids; the tests compare them.
 """
 
 from __future__ import annotations
@@ -20,10 +22,18 @@ import re
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 PLAIN = re.compile(f"[^\t\n\r\x20-\x7e{LETTERS}]")
 LETTER, DIGIT, OTHER, SPACE = range(4)
+#: Bytes of a word that the table may keep.
+LONGEST = 256
 
 _encoders: dict[str, "Encoder"] = {}
 
 
+def _masks():
+    import numpy as np
+
+    return np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 def _classes():
     import numpy as np
 
@@ -34,24 +44,61 @@ def _classes():
     return out
 
 
+class Words:
+    """Words as stretches of bytes in one buffer: their first 16 bytes as numbers, and a hash of all of them."""
+
+    def __init__(self, data, starts, sizes):
+        import numpy as np
+
+        self.masks = _masks()
+        padded = np.zeros(len(data) + 16, np.uint8)
+        padded[: len(data)] = data
+        #: eight bytes from each place on
+        self.eights = np.ndarray(len(data) + 9, "<u8", padded, 0, (1,))
+        self.starts, self.sizes, self.last = starts, sizes, len(data) + 8
+        self.low, self.high = self.block(np.arange(len(starts)), 0), self.block(np.arange(len(starts)), 1)
+        h = _mixed(_mixed(self.low + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ self.high)
+        k, rest = 2, np.flatnonzero(sizes > 16)
+        while len(rest):
+            h[rest] = _mixed(h[rest] ^ self.block(rest, k))
+            k += 1
+            rest = rest[sizes[rest] > 8 * k]
+        self.hashes = h | np.uint64(1)
+
+    def block(self, which, k: int):
+        """The k-th eight bytes of some words, zero beyond their ends."""
+        import numpy as np
+
+        left = np.clip(self.sizes[which] - 8 * k, 0, 8)
+        return self.eights[np.minimum(self.starts[which] + 8 * k, self.last)] & self.masks[left]
+
+
+def _mixed(x):
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
 class WordTable:
-    """64-bit hash -> ids, in flat arrays with open addressing; emptied when two thirds full."""
+    """Words -> ids, in flat arrays with open addressing; emptied when two thirds full."""
 
     def __init__(self, bits: int = 21):
         import numpy as np
 
         self.bits = bits
-        self.keys = np.zeros(1 << bits, dtype=np.uint64)
-        self.start = np.zeros(1 << bits, dtype=np.int32)
-        self.length = np.zeros(1 << bits, dtype=np.int32)
+        self.keys, self.low, self.high = (np.zeros(1 << bits, dtype=np.uint64) for _ in range(3))
+        self.start, self.length, self.at, self.size = (np.zeros(1 << bits, dtype=np.int32) for _ in range(4))
         self.ids = np.zeros(1 << 16, dtype="<u4")
-        self.used = self.words = 0
+        self.text = np.zeros(1 << 16, np.uint8)
+        self.used = self.words = self.written = 0
 
-    def find(self, keys):
-        """Slot of each key, or -1."""
+    def find(self, words: Words):
+        """Slot of each word, or -1: of equal hash, length and bytes."""
         import numpy as np
 
-        mask = np.uint64((1 << self.bits) - 1)
+        keys, mask = words.hashes, np.uint64((1 << self.bits) - 1)
         at = keys >> np.uint64(64 - self.bits)
         held = self.keys[at]
         out = np.where(held == keys, at.view(np.int64), -1)
@@ -62,6 +109,32 @@ class WordTable:
             hit = held == keys[open_]
             out[open_[hit]] = at[open_[hit]].view(np.int64)
             open_ = open_[~hit & (held != 0)]
+        same = (out >= 0) & (self.size[out] == words.sizes) & (self.low[out] == words.low) & (self.high[out] == words.high)
+        k, rest = 2, np.flatnonzero(same & (words.sizes > 16))
+        if len(rest):
+            known = Words.__new__(Words)
+            known.eights, known.last = np.ndarray(len(self.text) - 7, "<u8", self.text, 0, (1,)), len(self.text) - 8
+            known.masks, known.starts, known.sizes = words.masks, self.at[out].astype(np.int64), words.sizes
+        while len(rest):
+            equal = known.block(rest, k) == words.block(rest, k)
+            same[rest[~equal]] = False
+            k += 1
+            rest = rest[equal]
+            rest = rest[words.sizes[rest] > 8 * k]
+        return np.where(same, out, -1)
+
+    def has(self, keys):
+        """Whether some word of the table has the hash."""
+        import numpy as np
+
+        mask, at = np.uint64((1 << self.bits) - 1), keys >> np.uint64(64 - self.bits)
+        out = self.keys[at] == keys
+        open_ = np.flatnonzero(~out & (self.keys[at] != 0))
+        while len(open_):
+            at[open_] = (at[open_] + np.uint64(1)) & mask
+            held = self.keys[at[open_]]
+            out[open_] = held == keys[open_]
+            open_ = open_[(held != keys[open_]) & (held != 0)]
         return out
 
     def room_for(self, n: int) -> bool:
@@ -69,12 +142,13 @@ class WordTable:
 
     def clear(self) -> None:
         self.keys[:] = 0
-        self.used = self.words = 0
+        self.used = self.words = self.written = 0
 
-    def add(self, keys, ids: list) -> None:
-        """New, distinct keys with their ids."""
+    def add(self, words: Words, which, data, ids: list) -> None:
+        """Some of the words, of distinct hashes that the table has not, with their ids."""
         import numpy as np
 
+        keys, sizes = words.hashes[which], words.sizes[which]
         lengths = np.fromiter(map(len, ids), np.int32, len(ids))
         total = int(lengths.sum())
         while self.used + total > len(self.ids):
@@ -83,6 +157,14 @@ class WordTable:
         starts = (self.used + np.cumsum(lengths) - lengths).astype(np.int32)
         self.used += total
         self.words += len(ids)
+        places, long = np.zeros(len(ids), np.int32), np.flatnonzero(sizes > 16)
+        for i in long.tolist():  # the bytes of long words are kept; short ones are their two numbers
+            first, n = int(words.starts[which[i]]), int(sizes[i])
+            while self.written + n + 16 > len(self.text):
+                self.text = np.concatenate((self.text, np.zeros_like(self.text)))
+            self.text[self.written : self.written + n] = data[first : first + n]
+            places[i] = self.written
+            self.written += n
         mask = np.uint64((1 << self.bits) - 1)
         at, left = keys >> np.uint64(64 - self.bits), np.arange(len(keys))
         while len(left):
@@ -91,6 +173,8 @@ class WordTable:
             placed = self.keys[at[left]] == keys[left]
             done = left[placed]
             self.start[at[done]], self.length[at[done]] = starts[done], lengths[done]
+            self.low[at[done]], self.high[at[done]] = words.low[which[done]], words.high[which[done]]
+            self.size[at[done]], self.at[at[done]] = sizes[done], places[done]
             left = left[~placed]
             at[left] = (at[left] + np.uint64(1)) & mask
 
@@ -112,9 +196,7 @@ class Encoder:
         if self.splits:
             import numpy as np
 
-            from tabulon.llm.repeats import Rolling
-
-            self.table, self.rolling, self.kinds = WordTable(), Rolling(5), _classes()
+            self.table, self.kinds = WordTable(), _classes()
             self.tails = [(t, np.frombuffer(t.encode(), np.uint8)) for t in ("s", "t", "m", "d", "re", "ve", "ll")]
 
     @staticmethod
@@ -172,6 +254,9 @@ class Encoder:
                 start[inside] = True
         return start
 
+    def _library(self, words: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
     def _slice(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
@@ -192,22 +277,37 @@ class Encoder:
             start, stop = start[words], stop[words]
         if not len(start):
             return [b""] * len(texts)
-        keys = self.rolling.between(data, start, stop)
-        slots = self.table.find(keys)
-        lost = np.flatnonzero(slots < 0)
+        words = Words(data, start, np.minimum(stop - start, LONGEST + 1))
+        short = words.sizes <= LONGEST
+        slots = np.where(short, self.table.find(words), -1)
+        raw = data.tobytes()
+        lost = np.flatnonzero((slots < 0) & short)
         if len(lost):
-            _, one = np.unique(keys[lost], return_index=True)
+            # at a hash that the table or an earlier word has with other bytes nothing is added
+            _, one = np.unique(words.hashes[lost], return_index=True)
             new = lost[one]
             if not self.table.room_for(len(new)):
                 self.table.clear()
-                _, new = np.unique(keys, return_index=True)
-            raw = data.tobytes()
-            found = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(start[new].tolist(), stop[new].tolist())], add_special_tokens=False)
-            self.table.add(keys[new], [e.ids for e in found])
-            slots = self.table.find(keys)
-        lengths, offsets = self.table.length[slots], self.table.start[slots]
+                _, one = np.unique(words.hashes[short], return_index=True)
+                new = np.flatnonzero(short)[one]
+            new = new[~self.table.has(words.hashes[new])]
+            self.table.add(words, new, data, self._library([raw[a:b] for a, b in zip(start[new].tolist(), stop[new].tolist())]))
+            slots = np.where(short, self.table.find(words), -1)
+        lengths, offsets, ids = self.table.length[slots].astype(np.int64), self.table.start[slots].astype(np.int64), self.table.ids
+        odd = np.flatnonzero(slots < 0).tolist()
+        if odd:
+            own = list(dict.fromkeys(raw[start[i] : stop[i]] for i in odd))
+            found = dict(zip(own, self._library(own)))
+            place, extra = {}, []
+            for word, x in found.items():
+                place[word] = self.table.used + len(extra)
+                extra += x
+            for i in odd:
+                word = raw[start[i] : stop[i]]
+                offsets[i], lengths[i] = place[word], len(found[word])
+            ids = np.concatenate((ids[: self.table.used], np.array(extra, "<u4")))
         until = np.cumsum(lengths)
-        ids = self.table.ids[np.repeat(offsets - (until - lengths), lengths) + np.arange(int(until[-1]))]
+        ids = ids[np.repeat(offsets - (until - lengths), lengths) + np.arange(int(until[-1]))]
         at = np.append(0, until)[np.searchsorted(start, np.append(begins, len(data)))].tolist()
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip(at, at[1:])]

@@ -1,6 +1,6 @@
 """SimHash near-duplicates: fingerprints, exact links in tiles, components.
 
-Equal fingerprints are one row with their smallest document id. Each goes to as many blocks as
+Equal fingerprints are one row. Each goes to as many blocks as
 the radius plus one: cut into that many bit ranges, two fingerprints within the radius agree in
 at least one. A block is a tile: its fingerprints, sorted by population count, are compared by
 exclusive-or and bit count; pairs of runs whose counts differ beyond the radius are skipped. A
@@ -10,8 +10,9 @@ A tile gives no pairs but each row's smallest linked member there; components jo
 
 Defined cases: a null text is empty; no words give fingerprint 0, which links like any other;
 fewer words than a shingle give the whole sequence; repeated rows and repeated ids share a
-fingerprint; null ids count as larger than any id and get the component of their fingerprint;
-further columns are ignored; an empty table gives no rows.
+fingerprint, and an id that stands over unlinked texts joins none of them; a row without an id gets the
+component of its fingerprint, which is null where no row of the component has an id; further columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -206,10 +207,11 @@ def links(distinct: DataFrame, radius: int, tile_rows: int = TILE_ROWS) -> DataF
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle_words: int = 3, tile_rows: int = TILE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: documents whose fingerprints are joined by steps of at most `radius` bits."""
     prints = stored(fingerprints(docs, shingle_words, id_col, text_col), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit((1 << 63) - 1)).alias("node"))
-    names = components(links(distinct, radius, tile_rows), "simhash")
-    named = distinct.join(names, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    names = components(links(distinct.select("fp", F.col("fp").alias("node")), radius, tile_rows), "simhash")
+    rooted = distinct.join(names, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 # Near-duplicates by similarity of shingle sets.

@@ -41,6 +41,31 @@ def test_fingerprints_and_components(spark):
     assert got.loc[ids].component_id.tolist() == plain_components(fp, ids, 2)
 
 
+def sketched(spark, monkeypatch, rows):
+    """Components of rows (id, fingerprint)."""
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: spark.createDataFrame(rows, "doc_id long, fp long"))
+    return sorted(((r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(None).collect()), key=repr)
+
+
+def test_rows_without_ids(spark, monkeypatch):
+    """Fingerprints that only rows without ids have, and an id over unlinked texts, join nothing."""
+    b, c, near_c = 0x7FFF0000FFFF0000, 0b111, 0b100
+    assert sketched(spark, monkeypatch, [(None, b), (None, near_c), (3, c)]) == sorted([(None, b, None), (None, near_c, 3), (3, c, 3)], key=repr)
+    assert sketched(spark, monkeypatch, [(7, b), (7, near_c), (3, c)]) == sorted([(7, b, 7), (7, near_c, 3), (3, c, 3)], key=repr)
+
+
+def test_null_and_repeated_ids_as_by_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    fp = rng.integers(0, 2**63, 30, dtype=np.uint64)[rng.integers(0, 30, 400)] ^ (np.uint64(1) << rng.integers(0, 63, 400).astype(np.uint64))
+    ids = [None if x < 40 else int(x) for x in rng.integers(0, 90, 400)]
+    of = plain_components(fp, range(400), 2)
+    least = {}
+    for i, root in zip(ids, of):
+        least[root] = min((x for x in (least.get(root), i) if x is not None), default=None)
+    rows = list(zip(ids, fp.view(np.int64).tolist()))
+    assert sketched(spark, monkeypatch, rows) == sorted([(i, f, least[root]) for (i, f), root in zip(rows, of)], key=repr)
+
+
 @pytest.mark.parametrize("radius, tile_rows", [(2, 8), (2, 4096), (5, 40)])
 def test_tiles(spark, radius, tile_rows):
     rng = np.random.default_rng(1)

@@ -33,6 +33,28 @@ def test_word_table_when_full():
     assert e.encode(texts(seed=2)) == e.whole(texts(seed=2))
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_words_of_equal_sums(path):
+    """Thue-Morse words over two letters, and with the letters swapped: one polynomial hash modulo 2^64 from 1024 letters on."""
+    swap, some = str.maketrans("ab", "ba"), ["a"]
+    for _ in range(13):
+        some.append(some[-1] + some[-1].translate(swap))
+    some = [t for s in some[3:] for t in (s, s.translate(swap))]
+    some += ["q" * n + end for n in (7, 8, 15, 16, 17, 31, 32, 33, 255, 256, 257, 300) for end in ("", "z", " z")]
+    e = Encoder(path)
+    assert e.encode(some) == e.whole(some) and e.encode(some[::-1]) == e.whole(some[::-1])
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_words_of_equal_hashes(path, monkeypatch):
+    """With four hashes in all, words are still told apart."""
+    from tabulon.llm import encoding
+
+    monkeypatch.setattr(encoding, "_mixed", lambda x: (x & np.uint64(6)) << np.uint64(60))
+    e = Encoder(path)
+    assert e.encode(texts(300, 5)) == e.whole(texts(300, 5)) and e.encode(texts(300, 6)) == e.whole(texts(300, 6))
+
+
 @pytest.mark.parametrize("capacity", [16, 64, 1024])
 def test_packing(capacity):
     rng = random.Random(capacity)
