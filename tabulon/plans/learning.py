@@ -453,11 +453,19 @@ def perceptron_direction(t: Tables) -> DataFrame:
     return ensembles.direction_classifier(flat, [f"x{i}" for i in range(5)], "up", (8,), 20)(flat).select("user_id", "start", "up", "prediction")
 
 
-@query()
+_AHEAD = ", ".join(f"lead(value, {i}) OVER o AS {f'x{i}' if i < 6 else f'y{i - 6}'}" for i in range(9))
+_WINDOWS = f"""steps AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value FROM events),
+windows AS MATERIALIZED (SELECT user_id, t AS start, user_id || ':' || t AS id, 1.0::DOUBLE AS w, * EXCLUDE (user_id, t, value) FROM (SELECT user_id, t, value, {_AHEAD} FROM steps WINDOW o AS (PARTITION BY user_id ORDER BY t)) WHERE y2 IS NOT NULL)"""
+
+
+@query(f"""WITH {_WINDOWS}, {unrolled.tree("windows", "id", [f"x{i}" for i in range(6)], 2, "sse", True, ["y0", "y1", "y2"])}
+SELECT user_id, start, CAST(h AS INTEGER) AS horizon, {r6("prediction[h + 1]")} AS prediction FROM p JOIN windows USING (id), range(3) r(h)""")
 def horizon_forecast(t: Tables) -> DataFrame:
+    """All steps ahead from one tree, whose leaves are vectors."""
     from tabulon.operators.timeseries import sliding_windows
     from tabulon.plans.series import series
 
-    train = sliding_windows(series(t), "user_id", "t", ["value"], 6, 2, "value")
-    last = train.groupBy("user_id").agg(F.max_by("x", "start").alias("x"))
-    return ensembles.horizon_forecast(train, last, "user_id", "x", "y", 2, "forest", 3, 5)
+    windows = sliding_windows(series(t), "user_id", "t", ["value"], 6, 3, "value")
+    model = ensembles.multi_output_trees(windows, "x", "y", 6, 3, max_depth=2)
+    ahead = ensembles.forecast_windows(model, windows.select("user_id", "start", "x"), "x")
+    return ahead.select("user_id", "start", F.posexplode("prediction").alias("horizon", "prediction")).withColumn("prediction", rounded(c("prediction")))

@@ -21,7 +21,8 @@ def _split(level: int, features: Sequence[str], sums: Sequence[str], kind: str,
 
     def impurity(s: Sequence[str], n: str) -> str:
         if kind == "sse":
-            return f"greatest({s[1]} - {s[0]} * {s[0]} / {n}, 0)"
+            squares = " + ".join(f"{x} * {x}" for x in s[:-1])
+            return f"greatest({s[-1]} - ({squares}) / {n}, 0)"
         return f"({n} - " + " - ".join(f"{x} * {x} / {n}" for x in s) + ")"
 
     a, b, t = [f"l_{x}" for x in sums], [f"(t_{x} - l_{x})" for x in sums], [f"t_{x}" for x in sums]
@@ -33,13 +34,19 @@ def _split(level: int, features: Sequence[str], sums: Sequence[str], kind: str,
     return made
 
 
-def tree(rows: str, key: str, features: Sequence[str], depth: int, kind: str, continuous: bool) -> str:
+def tree(rows: str, key: str, features: Sequence[str], depth: int, kind: str, continuous: bool, outputs: Sequence[str] = ()) -> str:
     """Tables that end in `p` (key, prediction): a tree over `rows` (key, y, w, features), a row weighing w.
 
-    kind "gini": y is 0 or 1, the likelier class, of equals 0; "sse": the mean of y.
+    kind "gini": y is 0 or 1, the likelier class, of equals 0; "sse": the mean of y, or of each of the `outputs` as a list.
     """
     sums = ["s0", "s1"]
-    if kind == "sse":
+    if outputs:
+        sums = [f"s{i}" for i in range(len(outputs) + 1)]
+        means = [f"(SELECT sum(w * {y}) / sum(w) FROM {rows})" for y in outputs]
+        off = [f"({y} - {m})" for y, m in zip(outputs, means)]
+        start = ", ".join(f"w * {o} AS s{i}" for i, o in enumerate(off)) + ", w * (" + " + ".join(f"{o} * {o}" for o in off) + f") AS s{len(off)}"
+        out = "[" + ", ".join(f"sum(s{i}) / sum(w) + {m}" for i, m in enumerate(means)) + "]"
+    elif kind == "sse":
         mean = f"(SELECT sum(w * y) / sum(w) FROM {rows})"
         start = f"w * (y - {mean}) AS s0, w * (y - {mean}) * (y - {mean}) AS s1"
         out = f"sum(s0) / sum(w) + {mean}"
