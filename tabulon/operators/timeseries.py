@@ -1,6 +1,7 @@
 """Series of units (turbines, users, symbols): cleaning, filling, windows, neighbours and scores.
 
-A series has a unit column and an order column. Every window is partitioned by unit.
+A series has a unit column and an order column. Positions (`step`) count a unit's rows from 0, as with_step
+gives them. Scans go by ranges of positions (tabulon.operators.scan), so a long unit is spread over tasks.
 """
 
 from __future__ import annotations
@@ -11,13 +12,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.scalars import strict_avg
+from tabulon.operators import scan
 from tabulon.operators.relational import null_where
 from tabulon.storage import stored
 
 
-def with_step(df: DataFrame, unit: str, order: Sequence[str], name: str = "t") -> DataFrame:
-    """Position of each row in its unit's series, from 0."""
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(unit).orderBy(*order)) - 1).cast("long"))
+def with_step(df: DataFrame, unit: str, order: Sequence[str], name: str = "t", span: float | None = None) -> DataFrame:
+    """Position of each row in its unit's series, from 0.
+
+    With `span`, a length of the first order column (numbers; seconds for times) that holds some tens of thousands of a unit's
+    rows, a long unit is ranked in ranges of that length; without it a unit is sorted in one task.
+    """
+    if span is None:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(unit).orderBy(*order)) - 1).cast("long"))
+    first = F.col(order[0]).cast("timestamp") if dict(df.dtypes)[order[0]].startswith(("timestamp", "date")) else F.col(order[0])
+    return scan.numbered(df, unit, order, F.floor(first.cast("double") / F.lit(float(span))), name)
 
 
 def power_rules(target: str = "Patv", wind: str = "Wspd", pitch: Sequence[str] = ("Pab1", "Pab2", "Pab3"), wind_dir: str = "Wdir", nacelle_dir: str = "Ndir", negative: bool = True) -> list[tuple[str, Column]]:
@@ -46,22 +55,19 @@ def cleaned(df: DataFrame, rules: Sequence[tuple[str, Column]], label: str | Non
 
 def interpolated(df: DataFrame, unit: str, step: str, cols: Sequence[str]) -> DataFrame:
     """Linear in the row position; leading gaps stay, trailing gaps take the last value."""
-    back = Window.partitionBy(unit).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(unit).orderBy(step).rowsBetween(0, Window.unboundedFollowing)
-    for c in cols:
-        at = F.when(F.col(c).isNotNull(), F.struct(F.col(step).alias("p"), F.col(c).alias("v")))
-        df = df.withColumn("_last", F.last(at, ignorenulls=True).over(back)).withColumn("_next", F.first(at, ignorenulls=True).over(ahead))
-        lv, lp, nv, np = F.col("_last.v"), F.col("_last.p"), F.col("_next.v"), F.col("_next.p")
-        filled = F.when(F.col(c).isNotNull(), F.col(c)).when(lv.isNull(), None).when(nv.isNull(), lv).otherwise(lv + (nv - lv) * (F.col(step) - lp) / (np - lp))
-        df = df.withColumn(c, filled).drop("_last", "_next")
-    return df
+
+    def value(i: int, c: str) -> Column:
+        lv, lp, nv, np = F.col(f"_last{i}.v"), F.col(f"_last{i}.p"), F.col(f"_next{i}.v"), F.col(f"_next{i}.p")
+        return F.when(F.col(c).isNotNull(), F.col(c)).when(lv.isNull(), None).when(nv.isNull(), lv).otherwise(lv + (nv - lv) * (F.col(step) - lp) / (np - lp))
+
+    found = scan.nearest_known(df, unit, step, cols)
+    return found.withColumns({c: value(i, c) for i, c in enumerate(cols)}).select(*df.columns)
 
 
 def filled(df: DataFrame, unit: str, step: str, cols: Sequence[str]) -> DataFrame:
     """Forward, then backward."""
-    back = Window.partitionBy(unit).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(unit).orderBy(step).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead)) for c in cols})
+    found = scan.nearest_known(df, unit, step, cols)
+    return found.withColumns({c: F.coalesce(f"_last{i}.v", f"_next{i}.v") for i, c in enumerate(cols)}).select(*df.columns)
 
 
 def block_means(df: DataFrame, unit: str, step: str, cols: Sequence[str], size: int = 6, strict: bool = True) -> DataFrame:
@@ -72,8 +78,9 @@ def block_means(df: DataFrame, unit: str, step: str, cols: Sequence[str], size:
 
 def moving_mean(df: DataFrame, unit: str, step: str, c: str, steps: int = 2, name: str = "smooth") -> DataFrame:
     """Mean of a row and the next steps - 1; rows without a full window go."""
-    w = Window.partitionBy(unit).orderBy(step).rowsBetween(0, steps - 1)
-    return df.withColumn(name, F.avg(c).over(w)).withColumn("_n", F.count(F.lit(1)).over(w)).filter(F.col("_n") == steps).drop("_n")
+    w = scan.inside(step).rowsBetween(0, steps - 1)
+    rows = scan.with_rows_ahead(df, unit, step, steps - 1)
+    return rows.withColumn(name, F.avg(c).over(w)).withColumn("_n", F.count(F.lit(1)).over(w)).filter(F.col("_own") & (F.col("_n") == steps)).drop("_n", "_own", scan.AT)
 
 
 def sliding_windows(df: DataFrame, unit: str, step: str, cols: Sequence[str], inputs: int, outputs: int = 0, target: str | None = None, stride: int = 1, offset: int = 0, drop_last: bool = False, complete: bool = False) -> DataFrame:
@@ -83,14 +90,13 @@ def sliding_windows(df: DataFrame, unit: str, step: str, cols: Sequence[str], in
     the last start out; complete leaves out windows with a missing value.
     """
     total = inputs + outputs
-    order = Window.partitionBy(unit).orderBy(step)
+    order = scan.inside(step)
     seen = order.rowsBetween(0, inputs - 1)
     # a NULL inside a struct is collected, a bare one would be skipped
-    out = df.withColumn("_x", F.collect_list(F.struct(*cols)).over(seen)).withColumn("_n", F.count(F.lit(1)).over(order.rowsBetween(0, total - 1)))
+    out = scan.with_rows_ahead(df, unit, step, total).withColumn("_x", F.collect_list(F.struct(*cols)).over(seen)).withColumn("_n", F.count(F.lit(1)).over(order.rowsBetween(0, total - 1 + int(drop_last))))
     if outputs:
         out = out.withColumn("_y", F.collect_list(F.struct(F.col(target).alias("v"))).over(order.rowsBetween(inputs, total - 1)))
-    out = out.withColumn("_left", F.count(F.lit(1)).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    out = out.filter((F.col("_n") == total) & (F.col("_left") >= total + int(drop_last)) & (F.pmod(F.col(step) - offset, F.lit(stride)) == 0) & (F.col(step) >= offset))
+    out = out.filter(F.col("_own") & (F.col("_n") == total + int(drop_last)) & (F.pmod(F.col(step) - offset, F.lit(stride)) == 0) & (F.col(step) >= offset))
     if complete:
         gap = lambda rows, c: F.exists(rows, lambda r: r[c].isNull())
         for b in [gap("_x", c) for c in cols] + ([gap("_y", "v")] if outputs else []):

@@ -121,7 +121,7 @@ def decoder_seed(t: Tables) -> DataFrame:
 @query(f"WITH {S} SELECT user_id, t, coalesce(v, 0) AS v, v AS raw_v FROM s")
 def unit_series(t: Tables) -> DataFrame:
     e = rel.null_where(t.events.withColumn("v", c("value")), [("v", c("v") > 60)])
-    return files.unit_series(e, "user_id", ["ts", "event_id"], ["v"])
+    return files.unit_series(e, "user_id", ["ts", "event_id"], ["v"], span=7 * 86_400)
 
 
 _X = "x AS (SELECT s_suppkey, (s_acctbal - min(s_acctbal) OVER ()) / (max(s_acctbal) OVER () - min(s_acctbal) OVER ()) AS a, (s_nationkey - min(s_nationkey) OVER ())::DOUBLE / (max(s_nationkey) OVER () - min(s_nationkey) OVER ()) AS b FROM supplier)"

@@ -123,12 +123,12 @@ def read_zipped_csv(spark: SparkSession, path: str, schema: T.StructType | str,
     return read_csv(spark, f"file://{to}/{names[number]}", schema)
 
 
-def unit_series(df: DataFrame, unit: str, order: Sequence[str], cols: Sequence[str], which=None) -> DataFrame:
-    """unit, t and the columns of one unit or all, with missing values as 0 (raw_* keeps them)."""
+def unit_series(df: DataFrame, unit: str, order: Sequence[str], cols: Sequence[str], which=None, span: float | None = None) -> DataFrame:
+    """unit, t and the columns of one unit or all, with missing values as 0 (raw_* keeps them); `span` is that of with_step."""
     from tabulon.operators.timeseries import with_step
 
     held = df if which is None else df.filter(F.col(unit) == which)
-    stepped = with_step(held, unit, order)
+    stepped = with_step(held, unit, order, span=span)
     return stepped.select(unit, "t", *(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(0.0)).alias(c) for c in cols), *(F.col(c).alias(f"raw_{c}") for c in cols))
 
 
