@@ -24,18 +24,22 @@ equal bytes are counted before they are moved. Where a group still has more than
 bodies, its windows are counted by fingerprint as rows. No step holds more than these bounds in a task.
 
 Defined cases: a null text is empty; texts shorter than `length` are kept whole; repeated rows
-repeat each other; overlapping matches count as one run; null ids are carried; further columns are
+repeat each other, and of any number of rows with one id and text one speaks for all; a text of one short
+period has one row of anchors for each stretch; overlapping matches count as one run; null ids are carried; further columns are
 ignored; an empty table gives no rows. Texts of any length are read in pieces of PIECE windows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LENGTH, ANCHOR = 400, 100
+#: Shorter repeated strings that the query tells of (some 40 words), and their anchors.
+SHORTER, SHORTER_ANCHOR = 250, 60
 HOT_CONTEXTS, CROWD = 500, 20_000
 BUCKET = 25
 PIECE = 1 << 22
@@ -43,7 +47,9 @@ MOST_WINDOWS = 1 << 19
 #: Batches that a table is taken in; equal texts are in one batch.
 BATCHES = 4
 NO_ID = -(1 << 63)
-PLACES = "doc0 long, th long, h long, context long, a int, s1 int, s2 int"
+PLACES = "doc0 long, th long, h long, context long, a int, s1 int, s2 int, times int, step int"
+#: Rows of places that a task passes on at once.
+PLACES_AT_ONCE = 20_000
 ROUTED = "route long, h long, context long, s1 int, n long, body binary, hot boolean"
 RUNS = "h long, context long, lo int, hi int"
 WINDOWS = "f1 long, f2 long, n long, h long, context long, at int"
@@ -87,14 +93,37 @@ class Rolling:
         return (sums[at + width] - sums[at]) * down[at]
 
 
-    def between(self, data, starts, stops):
-        """Mixed hashes of the stretches [starts, stops); never 0."""
+class Modular:
+    """The same over sums modulo a prime, which shares no structure with sums modulo 2^64: texts that one takes for equal the other tells apart."""
+
+    PRIME = (1 << 31) - 1
+
+    def __init__(self, seed: int):
+        import numpy as np
+
+        rng = np.random.default_rng(seed)
+        self.values = rng.integers(1, self.PRIME, 256, dtype=np.uint64)
+        self.base = int(rng.integers(1 << 20, self.PRIME))
+        self.inverse = pow(self.base, -1, self.PRIME)
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def _powers(self, n: int):
+        import numpy as np
+
+        while n > len(self.up):  # the next as many powers are those so far times the first beyond them
+            size, p = len(self.up), np.uint64(self.PRIME)
+            self.up = np.concatenate((self.up, self.up * np.uint64(pow(self.base, size, self.PRIME)) % p))
+            self.down = np.concatenate((self.down, self.down * np.uint64(pow(self.inverse, size, self.PRIME)) % p))
+        return self.up[:n], self.down[:n]
+
+    def all(self, data, width: int, at):
+        """Hashes of the strings of `width` bytes at the places `at`."""
         import numpy as np
 
         up, down = self._powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.values[data] * up[:-1], out=sums[1:])
-        return _mixed((sums[stops] - sums[starts]) * down[starts]) | np.uint64(1)
+        sums, p = np.zeros(len(data) + 1, dtype=np.uint64), np.uint64(self.PRIME)
+        np.cumsum(self.values[data] * up[:-1] % p, out=sums[1:])
+        return (sums[at + width] - sums[at]) % p * down[at] % p
 
 
 def _mixed(x):
@@ -129,11 +158,10 @@ def _heads(data, at):
     return out
 
 
-def anchors_of(data: bytes, rolling: Rolling, length: int = LENGTH, anchor: int = ANCHOR) -> list[tuple[int, int, int, int]]:
+def anchors_of(data: bytes, rolling: Rolling, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[int, int, int, int]]:
     """(h, place, first window, last window) of each anchor; windows are counted by their first byte, h is a signed 64-bit number."""
     import numpy as np
 
-    out = []
     low = np.uint64((1 << 24) - 1)
     for lo in range(0, len(data) - length + 1, PIECE):
         part = np.frombuffer(data, np.uint8)[lo : lo + PIECE + length - 1]
@@ -145,29 +173,59 @@ def anchors_of(data: bytes, rolling: Rolling, length: int = LENGTH, anchor: int
         last = np.concatenate((cuts, [len(place)])) - 1
         places = place[first]
         order = (_heads(part, places) << np.uint64(32)) | (h[places] >> np.uint64(32))
-        out += zip((order ^ np.uint64(1 << 63)).view(np.int64).tolist(), (places + lo).tolist(), (first + lo).tolist(), (last + lo).tolist())
-    return out
+        columns = ((order ^ np.uint64(1 << 63)).view(np.int64), places + lo, first + lo, last + lo)
+        for at in range(0, len(places), PLACES_AT_ONCE):
+            yield from zip(*(c[at : at + PLACES_AT_ONCE].tolist() for c in columns))
 
 
 def _short(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
+def merged_anchors(text: bytes, found: list, length: int):
+    """(h, context, place, first window, last window, times, step): anchors one after another with equal bytes around them are one.
+
+    A text of period p has an anchor every p bytes; those come as one row with their number and p.
+    """
+    held = None  # [h, context bytes' end points, times, step]
+    for h, a, s1, s2 in found:
+        if held and h == held[0] and s1 - a == held[2] - held[1] and s2 - a == held[3] - held[1]:
+            step = a - held[6]
+            if held[5] in (0, step) and text[s1 : s2 + length] == text[held[2] : held[3] + length]:
+                held[4] += 1
+                held[5], held[6] = step, a
+                continue
+        if held:
+            yield held[0], _short(text[held[2] : held[3] + length]), *held[1:6]
+        held = [h, a, s1, s2, 1, 0, a]
+    if held:
+        yield held[0], _short(text[held[2] : held[3] + length]), *held[1:6]
+
+
 def anchors(keyed: DataFrame, length: int, anchor: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
         rolling = Rolling(1)
-        names = ["doc0", "th", "h", "context", "a", "s1", "s2"]
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 3
+        names = ["doc0", "th", "h", "context", "a", "s1", "s2", "times", "step"]
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 5
+        cols: list[list] = [[] for _ in names]
+
+        def rows():
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+            cols[:] = [[] for _ in names]
+            return out
+
         for batch in batches:
-            cols: list[list] = [[] for _ in names]
-            for doc, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
-                for h, a, s1, s2 in anchors_of(text, rolling, length, anchor) if len(text) >= length else ():
-                    for col, v in zip(cols, (doc, th, h, _short(text[s1 : s2 + length]), a, s1, s2)):
+            for doc, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
+                text = text.as_py()
+                for row in merged_anchors(text, anchors_of(text, rolling, length, anchor), length) if len(text) >= length else ():
+                    for col, v in zip(cols, (doc, th, *row)):
                         col.append(v)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+                    if len(cols[0]) >= PLACES_AT_ONCE:
+                        yield rows()
+        if cols[0]:
+            yield rows()
 
     return keyed.mapInArrow(run, PLACES)
 
@@ -227,7 +285,7 @@ class Family:
         for k in range(batches):
             self.merge()
             places = self.spark.read.schema(f"{PLACES}, batch int").parquet(path).filter(F.col("batch") == k)
-            self._write(places.select("h", "context", F.lit(1).cast("long").alias("n"), one), (first + k, first + k))
+            self._write(places.select("h", "context", F.col("times").cast("long").alias("n"), one), (first + k, first + k))
             self.spans.append((first + k, first + k))
 
     def suffixes(self) -> DataFrame:
@@ -284,7 +342,7 @@ def _resolve(routed: DataFrame, length: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        hashes = Rolling(2), Rolling(3)
+        hashes = Rolling(2), Modular(3)
         held, windows, last = [], 0, None
 
         def done():
@@ -313,7 +371,7 @@ def _counted(crowded: DataFrame, length: int, kept) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        hashes = Rolling(2), Rolling(3)
+        hashes = Rolling(2), Modular(3)
         names, kinds = ["f1", "f2", "n", "h", "context", "at"], [pa.int64()] * 5 + [pa.int32()]
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
@@ -338,6 +396,7 @@ def _bodies(keyed: DataFrame, needed: DataFrame, length: int, hot_contexts: int)
         import pyarrow as pa
 
         names, kinds = ["route", "h", "context", "s1", "n", "body", "hot"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.bool_()]
+        met = set()  # equal rows lie in one task, and one of them speaks for all
         for batch in batches:
             cols: list[list] = [[] for _ in names]
 
@@ -345,14 +404,18 @@ def _bodies(keyed: DataFrame, needed: DataFrame, length: int, hot_contexts: int)
                 for col, v in zip(cols, row):
                     col.append(v)
 
-            for text, wanted in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
-                for x in wanted:
+            for text, wanted, *key in zip(batch.column(0).cast(pa.binary()), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if tuple(key) in met:
+                    continue
+                met.add(tuple(key))
+                text = text.as_py()
+                for x in wanted.as_py():
                     h, context, n, a, s1, s2 = x["h"], x["context"], x["n"], x["a"], x["s1"], x["s2"]
                     if x["k"] <= hot_contexts:
                         put(h, h, context, s1 - a, n, text[s1 : s2 + length], False)
                         continue
                     for q in range((a - s2) // BUCKET, (a - s1) // BUCKET + 1):
-                        shared = text[a - BUCKET * q : a - BUCKET * (q + 1) + 1 + length]
+                        shared = text[a - BUCKET * q : max(a - BUCKET * (q + 1) + 1 + length, 0)]
                         first, last = max(s1, a - BUCKET * (q + 1) + 1), min(s2, a - BUCKET * q)
                         put(_short(q.to_bytes(4, "little") + shared), h, context, first - a, n, text[first : last + length], True)
                 if len(cols[0]) > 5000:
@@ -363,7 +426,7 @@ def _bodies(keyed: DataFrame, needed: DataFrame, length: int, hot_contexts: int)
 
     by_doc = needed.groupBy("doc0", "th").agg(F.collect_list(F.struct("h", "context", "n", "k", "a", "s1", "s2")).alias("wanted"))
     one = keyed.select("doc0", "th", "text").join(by_doc.hint("shuffle_hash"), ["doc0", "th"])
-    return one.select("text", "wanted").mapInArrow(run, ROUTED)
+    return one.select("text", "wanted", "doc0", "th").mapInArrow(run, ROUTED)
 
 
 def repeated_runs(family: Family, keyed: DataFrame, hot_contexts: int = HOT_CONTEXTS, crowd: int = CROWD) -> DataFrame:
@@ -394,7 +457,9 @@ def repeated_runs(family: Family, keyed: DataFrame, hot_contexts: int = HOT_CONT
     edges = kept(_resolve(rest, length), "edges")
     single = kept(_counted(bodies.filter("crowded"), length, kept), "single")
     runs = stored(whole.unionByName(told).unionByName(edges).unionByName(single), "runs", f"{family.path}/runs")
-    found = family.places().join(runs, ["h", "context"]).select("doc0", "th", (F.col("a") + F.col("lo")).alias("lo"), (F.col("a") + F.col("hi")).alias("hi"))
+    # a row of several anchors stands for runs that overlap: a step is no longer than the strings
+    until = F.col("a") + (F.col("times") - 1) * F.col("step") + F.col("hi")
+    found = family.places().join(runs, ["h", "context"]).select("doc0", "th", (F.col("a") + F.col("lo")).alias("lo"), until.cast("int").alias("hi"))
     for path in made.values():
         drop_path(spark, path)
     return found
@@ -406,55 +471,114 @@ def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc0"), F.xxhash64("text").alias("th"), "text")
 
 
+def _listed(found: DataFrame, name: str) -> DataFrame:
+    """doc0, th and the runs of each distinct text, once each however many rows have it."""
+    return found.groupBy("doc0", "th").agg(F.collect_set(F.struct("lo", "hi")).alias(name))
+
+
+def _stretches(keyed: DataFrame, by_doc: DataFrame, inner: int, length: int) -> DataFrame:
+    """doc0, th, text, of, own, start: stretches of at least `length` bytes covered by repeated strings of `inner` bytes, as documents of their own."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = pa.schema([("doc0", pa.int64()), ("th", pa.int64()), ("text", pa.binary()), ("of", pa.int64()), ("own", pa.int64()), ("start", pa.int32())])
+        for batch in batches:
+            rows = []
+            for doc0, th, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3)):
+                text = text.as_py()
+                for a, b in zip(*_spans(found.as_py(), inner)):
+                    if b - a >= length:
+                        name = doc0.to_bytes(8, "little", signed=True) + th.to_bytes(8, "little", signed=True) + a.to_bytes(8, "little")
+                        rows.append((_short(name), _short(name[::-1]), text[a:b], doc0, th, a))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
+
+    joined = keyed.join(by_doc.hint("shuffle_hash"), ["doc0", "th"]).select("doc0", "th", "text", "found")
+    return joined.mapInArrow(run, "doc0 long, th long, text binary, of long, own long, start int")
+
+
 def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_contexts: int = HOT_CONTEXTS, crowd: int = CROWD, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the bytes that stay (`kept`)."""
+    docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_contexts: int = HOT_CONTEXTS, crowd: int = CROWD, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text",
+    shorter: int | None = None, shorter_anchor: int = SHORTER_ANCHOR,
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and the bytes that stay (`kept`).
+
+    With `shorter`, n_shorter and n_shorter_spans tell what repeated strings of so many bytes cover besides; they stay. One family
+    of that length then has all documents, and strings of `length` are looked for only where it found stretches as long.
+    """
     from tabulon.llm.common import drop_path, new_path, stored
 
     spark = docs.sparkSession
     keyed = keyed_texts(docs, id_col, text_col)
-    family = Family(spark, new_path(spark, "family"), length, anchor)
-    family.add(keyed, batches)
-    found = repeated_runs(family, keyed, hot_contexts, crowd)
-    by_doc = stored(found.groupBy("doc0", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("found")), "found")
-    drop_path(spark, family.path)
-    return _cut(keyed, by_doc, length)
+
+    def runs_of(texts: DataFrame, n: int, k: int, name: str) -> DataFrame:
+        family = Family(spark, new_path(spark, "family"), n, k)
+        family.add(texts, batches)
+        out = stored(_listed(repeated_runs(family, texts, hot_contexts, crowd), "found"), name)
+        drop_path(spark, family.path)
+        return out
+
+    if shorter is None or shorter >= length:
+        return _cut(keyed, runs_of(keyed, length, anchor, "found"), length)
+    around = runs_of(keyed, shorter, shorter_anchor, "around")
+    parts = stored(_stretches(keyed, around, shorter, length), "stretches")
+    inside = runs_of(parts, length, anchor, "inside").select("doc0", "th", F.explode("found").alias("r"))
+    starts = parts.select("doc0", "th", "of", "own", "start").distinct()
+    found = inside.join(starts, ["doc0", "th"]).select(F.col("of").alias("doc0"), F.col("own").alias("th"), (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi")).alias("hi"))
+    both = around.select("doc0", "th", F.col("found").alias("around")).join(_listed(found, "found"), ["doc0", "th"], "left")
+    return _cut(keyed, both, length, shorter)
+
+
+def _spans(found: list, length: int) -> tuple[list[int], list[int]]:
+    """Starts and ends of the maximal stretches that the windows of some runs cover."""
+    import numpy as np
+
+    if not found:
+        return [], []
+    lo, hi = np.array([(x["lo"], x["hi"] + length) for x in found], dtype=np.int64).T
+    by = np.argsort(lo, kind="stable")
+    lo, hi = lo[by], np.maximum.accumulate(hi[by])
+    first = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1])))
+    return lo[first].tolist(), hi[np.concatenate((first[1:] - 1, [len(hi) - 1]))].tolist()
 
 
-def _cut(keyed: DataFrame, by_doc: DataFrame, length: int) -> DataFrame:
+def _cut(keyed: DataFrame, by_doc: DataFrame, length: int, shorter: int | None = None) -> DataFrame:
     """The documents without the bytes of their runs."""
 
     def cut(batches):
-        import numpy as np
         import pyarrow as pa
 
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+        kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
+        schema = pa.schema(kinds + [("n_shorter", pa.int64()), ("n_shorter_spans", pa.int64())] * (shorter is not None))
         for batch in batches:
-            rows = []
-            for doc_id, text, found in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-                if not found:
-                    rows.append((doc_id, len(text), 0, 0, text))
-                    continue
-                lo, hi = np.array([(x["lo"], x["hi"] + length) for x in found], dtype=np.int64).T
-                by = np.argsort(lo, kind="stable")
-                lo, hi = lo[by], np.maximum.accumulate(hi[by])
-                first = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1])))
-                starts, ends = lo[first].tolist(), hi[np.concatenate((first[1:] - 1, [len(hi) - 1]))].tolist()
-                kept = b"".join(text[a:b] for a, b in zip([0, *ends], [*starts, len(text)]))
-                rows.append((doc_id, len(text), len(text) - len(kept), len(starts), kept))
+            rows, size = [], 0
+            for doc_id, text, *found in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), *batch.columns[2:]):
+                text = text.as_py()
+                starts, ends = _spans(found[0].as_py(), length)
+                kept = b"".join(text[a:b] for a, b in zip([0, *ends], [*starts, len(text)])) if starts else text
+                row = (doc_id, len(text), len(text) - len(kept), len(starts), kept)
+                if shorter is not None:
+                    around = _spans(found[1].as_py(), shorter)
+                    row += (sum(around[1]) - sum(around[0]), len(around[0]))
+                rows.append(row)
+                size += len(kept)
+                if size > 4_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] * 4 + [pa.binary()])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    joined = keyed.join(by_doc.hint("shuffle_hash"), ["doc0", "th"], "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    more = ["around"] if shorter is not None else []
+    joined = keyed.join(by_doc.hint("shuffle_hash"), ["doc0", "th"], "left").select("doc_id", "text", "found", *more)
+    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + (", n_shorter long, n_shorter_spans long" if more else ""))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     from tabulon.llm.common import settled, table
 
     def digests():
-        found = remove_repeats(table(spark, sf_dir, "documents"))
-        return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+        found = remove_repeats(table(spark, sf_dir, "documents"), shorter=SHORTER)
+        return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_shorter", "n_shorter_spans")
 
     return settled(spark, "op4", digests)

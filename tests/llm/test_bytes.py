@@ -38,13 +38,18 @@ def test_against_all_windows(spark, length, anchor, hot, crowd):
     found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length, anchor, hot, crowd)
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in found.collect()), key=str)
     assert got == plain(rows, length)
+    # the same from a family of shorter strings, with what those cover
+    short = length // 2
+    both = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length, anchor, hot, crowd, shorter=short, shorter_anchor=min(10, short)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in both), key=str) == got
+    assert sorted(((r.doc_id, r.n_bytes, r.n_shorter, r.n_shorter_spans) for r in both), key=str) == [x[:4] for x in sorted(plain(rows, short), key=lambda x: str(x[:4]))]
 
 
 def test_pieces_of_long_texts(monkeypatch):
     data = bytes(random.Random(4).choice(b"abcd ") for _ in range(3000))
-    whole = repeats.anchors_of(data, repeats.Rolling(1), 60, 20)
+    whole = list(repeats.anchors_of(data, repeats.Rolling(1), 60, 20))
     monkeypatch.setattr(repeats, "PIECE", 500)
-    cut = repeats.anchors_of(data, repeats.Rolling(1), 60, 20)
+    cut = list(repeats.anchors_of(data, repeats.Rolling(1), 60, 20))
     at = lambda xs: {w: (h, a) for h, a, s, e in xs for w in range(s, e + 1)}
     assert at(whole) == at(cut)
 
@@ -97,3 +102,29 @@ def test_bounded_tasks(spark, monkeypatch):
                     n[r[4][k : k + 8]] += r[3]
         want |= {(h, r[1], k) for r in rows if r[0] == h for k in range(len(r[4]) - 7) if n[r[4][k : k + 8]] > 1}
     assert got == want
+
+
+def test_periods_and_equal_rows(spark):
+    """Runs of one character and of short periods take few rows of anchors; many rows under one id are one text."""
+    texts = ["a" * 700, "ab" * 150 + "c" * 90, "x" * 55 + "yz", "abc" * 40 + "d" + "abc" * 30, "q" * 39, ("w" * 13 + "v") * 20]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[3] + "tail")] * 50 + [(None, "lone " * 30)] * 40
+    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 40, 10, shorter=25, shorter_anchor=8).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in found), key=str) == plain(rows, 40)
+    long = b" " * 2_000_000
+    made = list(repeats.merged_anchors(long, repeats.anchors_of(long, repeats.Rolling(1)), repeats.LENGTH))
+    assert len(made) < 10 and sum(r[5] for r in made) >= len(long) - repeats.LENGTH
+
+
+def test_fingerprints_differ_in_kind():
+    """Thue-Morse strings and their complements have one sum modulo 2^64 from 1024 bytes on, but not modulo a prime."""
+    s = b"a"
+    while len(s) < 4096:
+        s += s.translate(bytes.maketrans(b"ab", b"ba"))
+    data = np.frombuffer(s + s.translate(bytes.maketrans(b"ab", b"ba")), np.uint8)
+    at = np.array([0, 4096])
+    a, b = repeats.Rolling(2).all(data, 4096, at)
+    c, d = repeats.Modular(3).all(data, 4096, at)
+    assert a == b and c != d
+    text = np.frombuffer(b"some text, and some text", np.uint8)
+    hashes = repeats.Modular(3).all(text, 9, np.array([0, 15, 4]))
+    assert hashes[0] == hashes[1] != hashes[2]
