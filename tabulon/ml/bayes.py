@@ -55,7 +55,7 @@ def gaussian_nb(df: DataFrame, features: Sequence[str], label: str, priors: Sequ
 
 
 @dataclass(frozen=True)
-class CategoricalNB:
+class CategoricalNB(Fitted):
     """table: class, feature, value, p; `priors`: class -> probability."""
 
     features: list[str]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +57,7 @@ class Boosted(Fitted):
     trees: list[Tree]
     weights: list[float]
     start: float = 0.0
-    classes: tuple = ()
+    classes: Sequence = field(default_factory=list)
 
     def transform(self, df: DataFrame, name: str = "prediction") -> DataFrame:
         if not self.trees:
@@ -125,7 +125,7 @@ def adaboost(df: DataFrame, features: Sequence[str], label: str, rounds: int = 2
             placed = tree.transform(held, "_p").withColumn("_wrong", F.col("_p") != F.col(label))
             error = placed.agg(F.sum(F.when(F.col("_wrong"), F.col("_w")).otherwise(0.0)) / F.sum("_w")).first()[0]
             if error <= 0:
-                return Boosted([tree], [1.0], classes=classes)
+                return Boosted([tree], [1.0], classes=list(classes))
             if error >= 0.5:
                 break
             vote = math.log((1 - error) / error)
@@ -138,7 +138,7 @@ def adaboost(df: DataFrame, features: Sequence[str], label: str, rounds: int = 2
         done()
     if not trees:
         raise ValueError("no tree is better than chance")
-    return Boosted(trees, votes, classes=classes)
+    return Boosted(trees, votes, classes=list(classes))
 
 
 def multi_output_trees(train: DataFrame, x: str, y: str, inputs: int, outputs: int, key: str | None = None, n_estimators: int = 1, seed: int = 0, **options):

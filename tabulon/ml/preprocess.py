@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass, fields
 from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import DataFrame
@@ -14,15 +14,52 @@ from pyspark.sql import functions as F
 MOST_CATEGORIES = 10_000
 
 
+#: Of what Fitted.to_json writes.
+VERSION = 1
+
+
+def _plain(v):
+    """A fitted object's value as JSON has it; dictionaries with other keys than texts become pairs."""
+    if isinstance(v, Fitted):
+        return v.parts()
+    if isinstance(v, dict):
+        return {k: _plain(x) for k, x in v.items()} if all(isinstance(k, str) for k in v) else {"pairs": [[k, _plain(x)] for k, x in v.items()]}
+    return [_plain(x) for x in v] if isinstance(v, (list, tuple)) else v
+
+
+def _revived(v):
+    if isinstance(v, list):
+        return [_revived(x) for x in v]
+    if not isinstance(v, dict):
+        return v
+    if set(v) == {"pairs"}:
+        return {k: _revived(x) for k, x in v["pairs"]}
+    held = {k: _revived(x) for k, x in v.items()}
+    return Fitted.kinds()[held.pop("kind")](**held) if "kind" in held else held
+
+
 class Fitted:
+    @staticmethod
+    def kinds() -> dict[str, type]:
+        return {c.__name__: c for c in Fitted.__subclasses__()}
+
+    def tables(self) -> dict[str, DataFrame]:
+        """What is a table of its own, beside the numbers."""
+        return {f.name: getattr(self, f.name) for f in fields(self) if isinstance(getattr(self, f.name), DataFrame)}
+
+    def parts(self) -> dict:
+        return {"kind": type(self).__name__} | {f.name: _plain(getattr(self, f.name)) for f in fields(self) if f.name not in self.tables()}
+
     def to_json(self) -> str:
-        return json.dumps({"kind": type(self).__name__} | asdict(self))
+        return json.dumps({"version": VERSION} | self.parts())
 
     @staticmethod
-    def from_json(text: str) -> "Fitted":
+    def from_json(text: str, **tables: DataFrame) -> "Fitted":
         held = json.loads(text)
-        kind = {c.__name__: c for c in Fitted.__subclasses__()}[held.pop("kind")]
-        return kind(**held)
+        if held.pop("version", VERSION) > VERSION:
+            raise ValueError("written by a later version")
+        held = {k: v if k == "kind" else _revived(v) for k, v in held.items()}
+        return Fitted.kinds()[held.pop("kind")](**held, **tables)
 
 
 @dataclass(frozen=True)

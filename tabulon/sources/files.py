@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import dataclasses
+import json
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def read_csv(spark: SparkSession, path, schema: T.StructType | str) -> DataFrame:
@@ -123,6 +126,88 @@ def read_zipped_csv(spark: SparkSession, path: str, schema: T.StructType | str,
     return read_csv(spark, f"file://{to}/{names[number]}", schema)
 
 
+def read_archives(spark: SparkSession, path, schema: T.StructType | str, member: str = "*.csv", header: bool = True) -> DataFrame:
+    """archive, member and the columns of all CSV members whose names match, of all zip files at a path.
+
+    Archives are read through Spark's own file systems, one a task, and unpacked member by member in memory. Values that
+    a column's type can't hold are NULL, as are those that a short record lacks; archives of up to 2 GB.
+    """
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+    def run(batches):
+        import csv
+        import io
+        from fnmatch import fnmatch
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    for inner in sorted(n for n in z.namelist() if fnmatch(n, member)):
+                        with z.open(inner) as f:
+                            records = csv.reader(io.TextIOWrapper(f, "utf-8-sig", newline=""))
+                            if header:
+                                next(records, None)
+                            held = []
+                            for record in records:
+                                if record:
+                                    held.append([x if x != "" else None for x in record])
+                                if len(held) >= 10_000:
+                                    yield pa.RecordBatch.from_pydict({"archive": [name] * len(held), "member": [inner] * len(held), "record": held})
+                                    held = []
+                            if held:
+                                yield pa.RecordBatch.from_pydict({"archive": [name] * len(held), "member": [inner] * len(held), "record": held})
+
+    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, member string, record array<string>")
+    return found.select("archive", "member", *(F.get("record", F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(kind)))
+
+
+def read_pages(spark: SparkSession, fetch: Callable[[int], str | None], pages: int, record: T.StructType | str, field: str = "result", attempts: int = 3, pages_per_task: int = 1) -> DataFrame:
+    """page and the records of pages 0, 1, ... of a paged service, each page fetched by a task of its own.
+
+    fetch(page) gives a page's JSON text, or None for a page that isn't there; it is called again after an OSError, `attempts`
+    times in all. Records are an array in `field`.
+    """
+    kind = T.StructType.fromDDL(record) if isinstance(record, str) else record
+    page = T.StructType([T.StructField(field, T.ArrayType(kind))])
+
+    class Part(InputPartition):
+        def __init__(self, first: int, last: int):
+            self.first, self.last = first, last
+
+    class Reader(DataSourceReader):
+        def partitions(self):
+            return [Part(i, min(i + pages_per_task, pages)) for i in range(0, pages, pages_per_task)] or [Part(0, 0)]
+
+        def read(self, partition):
+            for number in range(partition.first, partition.last):
+                for attempt in range(attempts):
+                    try:
+                        body = fetch(number)
+                        break
+                    except OSError:
+                        if attempt + 1 == attempts:
+                            raise
+                if body is not None:
+                    yield number, body
+
+    class Pages(DataSource):
+        @classmethod
+        def name(cls):
+            return "tabulon_pages"
+
+        def schema(self):
+            return "page int, body string"
+
+        def reader(self, schema):
+            return Reader()
+
+    spark.dataSource.register(Pages)
+    bodies = spark.read.format("tabulon_pages").load()
+    return bodies.select("page", F.explode(F.from_json("body", page)[field]).alias("r")).select("page", "r.*")
+
+
 def unit_series(df: DataFrame, unit: str, order: Sequence[str], cols: Sequence[str], which=None, span: float | None = None) -> DataFrame:
     """unit, t and the columns of one unit or all, with missing values as 0 (raw_* keeps them); `span` is that of with_step."""
     from tabulon.operators.timeseries import with_step
@@ -151,12 +236,18 @@ def linear_points(spark: SparkSession, n: int, weights: Sequence[float], interce
 
 
 def save_fitted(model, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(model.to_json())
+    """A fitted object and the tables it holds, in a folder of any file system that Spark writes to."""
+    spark = SparkSession.active()
+    for name, table in model.tables().items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+    spark.createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
 
 
 def load_fitted(path: str):
-    from tabulon.ml import bayes, clusters, linear, preprocess, trees  # noqa: F401  their classes register by being defined
+    from tabulon.ml import bayes, clusters, ensembles, linear, preprocess, trees  # noqa: F401  their classes register by being defined
 
-    with open(path, encoding="utf-8") as f:
-        return preprocess.Fitted.from_json(f.read())
+    spark = SparkSession.active()
+    text = spark.read.text(f"{path}/model").first()[0]
+    kind = preprocess.Fitted.kinds()[json.loads(text)["kind"]]
+    names = [f.name for f in dataclasses.fields(kind) if f.type in ("DataFrame", DataFrame)]
+    return preprocess.Fitted.from_json(text, **{n: spark.read.parquet(f"{path}/{n}") for n in names})
