@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.scalars import rounded
-from tabulon.operators import plotprep
+from tabulon.operators import bootstrap, plotprep
 from tabulon.operators import relational as rel
+from tabulon.plans import unrolled
 from tabulon.plans.registry import Tables, query, r6
 
 c = F.col
@@ -66,3 +67,21 @@ def regression_line_residuals(t: Tables) -> DataFrame:
 @query(f"SELECT p_type, {r6('regr_slope(p_retailprice, p_size)')} AS slope, {r6('regr_intercept(p_retailprice, p_size)')} AS intercept FROM part GROUP BY 1")
 def regression_lines_by_facet(t: Tables) -> DataFrame:
     return plotprep.regression_line(t.part, ["p_type"], "p_size", "p_retailprice").select("p_type", rounded(c("slope")).alias("slope"), rounded(c("intercept")).alias("intercept"))
+
+
+_DRAWS = f"""d AS MATERIALIZED (SELECT p_type, p_size::DOUBLE AS x, p_retailprice AS y, i, {unrolled.drawn("p_partkey", "' || i || '")} AS w FROM part, range(40) r(i))"""
+
+
+@query(f"""WITH {_DRAWS}, m AS (SELECT p_type, i, sum(w * y) / nullif(sum(w), 0) AS m FROM d GROUP BY ALL)
+SELECT p_type, {r6("quantile_cont(m, 0.025)")} AS low, {r6("quantile_cont(m, 0.975)")} AS high FROM m GROUP BY 1""")
+def bootstrap_means(t: Tables) -> DataFrame:
+    out = bootstrap.mean_intervals(t.part, "p_partkey", ["p_type"], "p_retailprice", 40)
+    return out.select("p_type", *(rounded(c(x)).alias(x) for x in ("low", "high")))
+
+
+@query(f"""WITH {_DRAWS}, s AS (SELECT p_type, i, sum(w) AS n, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM d GROUP BY ALL),
+b AS (SELECT *, (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) AS slope FROM s), v AS (SELECT p_type, x, slope * x + (sy - slope * sx) / n AS v FROM b, (VALUES (1.0::DOUBLE), (25.0::DOUBLE), (50.0::DOUBLE)) g(x))
+SELECT p_type, x, {r6("quantile_cont(v, 0.025)")} AS low, {r6("quantile_cont(v, 0.975)")} AS high FROM v GROUP BY ALL""")
+def bootstrap_lines(t: Tables) -> DataFrame:
+    out = bootstrap.line_intervals(t.part, "p_partkey", ["p_type"], "p_size", "p_retailprice", [1, 25, 50], 40)
+    return out.select("p_type", "x", *(rounded(c(v)).alias(v) for v in ("low", "high")))
