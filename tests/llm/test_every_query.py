@@ -13,6 +13,23 @@ def test_odd_rows(spark, folder, odd_rows, name):
     if name in PER_DOCUMENT:
         assert len(rows) == len(odd_rows)
         assert sorted(r.doc_id for r in rows if r.doc_id is not None) == sorted(r[0] for r in odd_rows if r[0] is not None)
+    if name == "op2_harmonic_packing":
+        # every id of every row lies in one piece, and offsets have no gaps
+        texts: dict = {}
+        for doc_id, text, *_ in odd_rows:
+            texts.setdefault(doc_id, []).append(text)
+        for doc_id in texts:
+            mine = [r for r in rows if r.doc_id == doc_id]
+            wholes = sum(r.doc_tokens for r in mine if r.start == 0)
+            assert sum(r.start == 0 for r in mine) == len(texts[doc_id]) and sum(r.length for r in mine) == wholes
+        places: dict = {}
+        for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == places.get(r.sequence_id, 0)
+            places[r.sequence_id] = r.offset + r.length
+        assert max(places.values()) <= 1024
+    if name == "op6_decontamination":
+        # only the two rows with the repeated phrase (one id is repeated, with its row) hold an item of more than a word
+        assert {r.doc_id for r in rows if r.item_id == 1} == {9, 10}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
