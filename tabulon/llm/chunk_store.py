@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WINDOW, MEAN_BITS, LEAST, MOST = 16, 9, 64, 8192
+#: Ids that the rolling hash runs over at once.
+BLOCK = 1 << 15
 #: Chunks that an encoding task remembers, so as not to send them twice; what it forgets goes again and is dropped later.
 MOST_MET = 200_000
 #: Documents, and bytes of text, that an encoding task has in hand at once; a longer text comes alone.
@@ -44,28 +46,45 @@ def _mixed(x):
     return x ^ (x >> np.uint64(31))
 
 
-def cut_points(ids) -> list[int]:
-    """Ends of the chunks of one id stream (the last is its length)."""
+def marks_of(ids):
+    """Places after which the rolling hash lets a chunk end, in blocks that fit the processor's cache."""
     import numpy as np
 
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    h = _mixed(ids.astype(np.uint64))
-    width = 1
-    while width < WINDOW:  # doubles the window: the sum over 2w ids from two sums over w
-        h[width:] = h[width:] + (h[:-width] << np.uint64(width))
-        width *= 2
-    marks = np.flatnonzero((h >> np.uint64(64 - MEAN_BITS)) == 0) + 1
-    ends, last = [], 0
-    for mark in [*marks.tolist(), n]:
-        while mark - last > MOST:
-            last += MOST
-            ends.append(last)
-        if mark - last >= LEAST or mark == n and mark > last:
-            ends.append(mark)
-            last = mark
-    return ends
+    found = [np.zeros(0, np.int64)]
+    for lo in range(0, len(ids), BLOCK):
+        first = max(lo - WINDOW + 1, 0)
+        h = _mixed(ids[first : lo + BLOCK].astype(np.uint64))
+        width = 1
+        while width < WINDOW:  # doubles the window: the sum over 2w ids from two sums over w
+            h[width:] = h[width:] + (h[:-width] << np.uint64(width))
+            width *= 2
+        found.append(np.flatnonzero((h >> np.uint64(64 - MEAN_BITS))[lo - first :] == 0) + lo + 1)
+    return np.concatenate(found)
+
+
+def cut_points(ids, sizes) -> list[list[int]]:
+    """Ends of the chunks of each document (the last is its length), of the ids of documents one after another.
+
+    At a document's first ids the window reaches back into the one before, but no chunk ends before LEAST of its own.
+    """
+    import numpy as np
+
+    marks = marks_of(ids)
+    until = np.cumsum(sizes)
+    begins = until - sizes
+    lows, highs = np.searchsorted(marks, begins, "right").tolist(), np.searchsorted(marks, until, "right").tolist()
+    marks, out = marks.tolist(), []
+    for begin, n, low, high in zip(begins.tolist(), sizes.tolist(), lows, highs):
+        ends, last = [], 0
+        for mark in [*(m - begin for m in marks[low:high]), n]:
+            while mark - last > MOST:
+                last += MOST
+                ends.append(last)
+            if mark - last >= LEAST or mark == n and mark > last:
+                ends.append(mark)
+                last = mark
+        out.append(ends)
+    return out
 
 
 def slices_of(batch):
@@ -105,12 +124,14 @@ def stage(docs: DataFrame, tokenizer_path: str, end_id: int | None, width: int,
                         col.append(value)
 
                 texts = part.column(1).to_pylist()
-                for doc_id, packed in zip(part.column(0).to_pylist(), enc.encode(["" if t is None else t for t in texts])):
-                    ids = np.frombuffer(packed + end, dtype="<u4")
-                    raw = ids.astype(f"<u{width}").tobytes()
-                    hashes, ends, start = [], cut_points(ids), 0
+                packed = [ids + end for ids in enc.encode(["" if t is None else t for t in texts])]
+                sizes = np.array([len(ids) // 4 for ids in packed])
+                ids = np.frombuffer(b"".join(packed), dtype="<u4")
+                raw, first = ids.astype(f"<u{width}").tobytes(), 0
+                for doc_id, n, ends in zip(part.column(0).to_pylist(), sizes.tolist(), cut_points(ids, sizes)):
+                    hashes, start = [], 0
                     for stop in ends:
-                        payload = raw[start * width : stop * width]
+                        payload = raw[(first + start) * width : (first + stop) * width]
                         digest = hashlib.blake2b(payload, digest_size=DIGEST).digest()
                         hashes.append(digest)
                         if digest not in met:
@@ -119,6 +140,7 @@ def stage(docs: DataFrame, tokenizer_path: str, end_id: int | None, width: int,
                             met.add(digest)
                             put(None, None, None, digest, stop - start, payload)
                         start = stop
+                    first += n
                     put(doc_id, hashes, ends, None, None, None)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
@@ -127,20 +149,10 @@ def stage(docs: DataFrame, tokenizer_path: str, end_id: int | None, width: int,
 
 def _first_of_each(staged: DataFrame) -> DataFrame:
     """Chunks dealt and sorted by hash, recipes by document; of equal chunks the first stays."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        last = None
-        for batch in batches:
-            keep = []
-            for digest in batch.column(3).to_pylist():
-                keep.append(digest is None or digest != last)
-                last = digest
-            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep, pa.bool_())).columns, batch.schema.names)
-
     key = F.when(F.col("hash").isNull(), F.xxhash64("doc_id", "hashes")).otherwise(F.xxhash64("hash"))
-    return staged.repartition(key).sortWithinPartitions("hash").mapInArrow(run, STAGED)
+    before = F.lag("hash").over(Window.partitionBy("key").orderBy("hash"))
+    dealt = staged.withColumn("key", key).repartition("key").withColumn("before", before)
+    return dealt.filter("hash IS NULL OR before IS NULL OR hash != before").drop("key", "before")
 
 
 def leaf(doc_id, hashes) -> bytes:

@@ -4,7 +4,7 @@ A tokenizer that splits a text into words first and then encodes each word by it
 text's ids as the concatenation of its words' ids. For the two splitting rules below (that of
 byte-level BPE, and that of lower-cased BPE with word ends) the words of texts over a plain Latin
 alphabet are found here by byte classes, in numpy, many texts at once. Each new word is encoded once
-by the library, and ids are gathered from a table. A hash only says where in the table a word may
+by the library (by its model alone, where the steps before it leave a word as it is), and ids are gathered from a table. A hash only says where in the table a word may
 be: a word is taken for a known one if its length and all its bytes are equal. Words of more than
 LONGEST bytes, and those whose place another word of equal hash has, are encoded anew in each slice.
 Any other text, and any other tokenizer file, goes to the library whole. Both ways give the same
@@ -22,6 +22,9 @@ import re
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 PLAIN = re.compile(f"[^\t\n\r\x20-\x7e{LETTERS}]")
 LETTER, DIGIT, OTHER, SPACE = range(4)
+#: The character that stands for each byte in byte-level vocabularies: itself where it is visible, else one from 256 on.
+SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+CHARACTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in SEEN)}
 #: Bytes of a word that the table may keep.
 LONGEST = 256
 
@@ -72,6 +75,13 @@ class Words:
         left = np.clip(self.sizes[which] - 8 * k, 0, 8)
         return self.eights[np.minimum(self.starts[which] + 8 * k, self.last)] & self.masks[left]
 
+    def only(self, which) -> "Words":
+        """Some of the words, over the same buffer."""
+        some = Words.__new__(Words)
+        some.masks, some.eights, some.last = self.masks, self.eights, self.last
+        some.starts, some.sizes, some.low, some.high, some.hashes = (x[which] for x in (self.starts, self.sizes, self.low, self.high, self.hashes))
+        return some
+
 
 def _mixed(x):
     import numpy as np
@@ -192,7 +202,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            self.splits, self.lower = self._splitting(json.load(f))
+            spec = json.load(f)
+        self.splits, self.lower = self._splitting(spec)
+        self.model = self._word_model(spec)
         if self.splits:
             import numpy as np
 
@@ -210,6 +222,13 @@ class Encoder:
             return True, True
         return False, False
 
+    def _word_model(self, spec: dict):
+        """The library's model, where a word's bytes as characters are all that it gets from the steps before it."""
+        pre = spec.get("pre_tokenizer") or {}
+        last = (pre.get("pretokenizers") or [pre])[-1]
+        plain = len(pre.get("pretokenizers") or [pre]) == 1 + self.lower and last.get("type") == "ByteLevel" and not last.get("add_prefix_space", True)
+        return self.tokenizer.model if self.splits and plain and not spec["model"].get("dropout") else None
+
     def whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
@@ -255,6 +274,9 @@ class Encoder:
         return start
 
     def _library(self, words: list[bytes]) -> list[list[int]]:
+        if self.model:
+            of = self.model.tokenize
+            return [[t.id for t in of(w.decode() if w.isalnum() else w.decode("latin-1").translate(CHARACTERS))] for w in words]
         return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
     def _slice(self, texts: list[str]) -> list[bytes]:
@@ -288,11 +310,12 @@ class Encoder:
             new = lost[one]
             if not self.table.room_for(len(new)):
                 self.table.clear()
-                _, one = np.unique(words.hashes[short], return_index=True)
-                new = np.flatnonzero(short)[one]
+                lost = np.flatnonzero(short)
+                _, one = np.unique(words.hashes[lost], return_index=True)
+                new = lost[one]
             new = new[~self.table.has(words.hashes[new])]
             self.table.add(words, new, data, self._library([raw[a:b] for a, b in zip(start[new].tolist(), stop[new].tolist())]))
-            slots = np.where(short, self.table.find(words), -1)
+            slots[lost] = self.table.find(words.only(lost))
         lengths, offsets, ids = self.table.length[slots].astype(np.int64), self.table.start[slots].astype(np.int64), self.table.ids
         odd = np.flatnonzero(slots < 0).tolist()
         if odd:

@@ -8,7 +8,7 @@ import pytest
 
 from tabulon.llm import chunk_store, packing
 from tabulon.llm.common import new_path
-from tabulon.llm.encoding import Encoder, WordTable
+from tabulon.llm.encoding import PLAIN, Encoder, WordTable
 
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
@@ -55,6 +55,64 @@ def test_words_of_equal_hashes(path, monkeypatch):
     assert e.encode(texts(300, 5)) == e.whole(texts(300, 5)) and e.encode(texts(300, 6)) == e.whole(texts(300, 6))
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_new_words_meet_the_model_alone(path):
+    e, some = Encoder(path), [t for t in texts(600, 8) + ["ÀÉß ıɏ don't 'll 's 12 <|endoftext|> </w> Ġ!", "\x20" * 9 + "ÿ~\t"] if not PLAIN.search(t)]
+    want = e.whole(some)
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.seen = tokenizer, 0
+
+        def encode_batch_fast(self, words, **more):
+            self.seen += len(words)
+            return self.tokenizer.encode_batch_fast(words, **more)
+
+    e.tokenizer = Counted(e.tokenizer)
+    assert len(some) > 500 and e.encode(some) == want and e.tokenizer.seen == 0
+
+
+def test_only_lost_words_are_looked_up_again(monkeypatch):
+    looked, find = [], WordTable.find
+    monkeypatch.setattr(WordTable, "find", lambda self, words: looked.append(len(words.sizes)) or find(self, words))
+    e = Encoder(WORDS)
+    some = ["known " * 1000, "known " * 1000 + "unknown"]
+    assert [e.encode([t]) for t in some] == [e.whole([t]) for t in some]
+    assert looked == [1000, 1000, 1001, 1]
+
+
+def test_cuts_of_many_documents_at_once(monkeypatch):
+    """Against a plain rolling sum over each document alone."""
+    rng = np.random.default_rng(4)
+    sizes = np.array([0, 1, 15, 16, 17, 63, 64, 65, 0, 9000, 20_000, *rng.integers(0, 2500, 60), 0])
+    ids = rng.integers(0, 49_000, int(sizes.sum())).astype("<u4")
+    ids[300:9500] = 7
+    want, at = [], 0
+    for n in sizes.tolist():
+        mixed = [int(x) for x in chunk_store._mixed(ids[at : at + n].astype(np.uint64))]
+        ends, last = [], 0
+        for i in range(1, n + 1):
+            h = sum(x << j for j, x in enumerate(mixed[max(i - 16, 0) : i][::-1])) % (1 << 64)
+            if i - last >= 64 and h >> 55 == 0 or i == n or i - last == 8192:
+                ends.append(i)
+                last = i
+        want.append(ends)
+        at += n
+    for block in (chunk_store.BLOCK, 50):
+        monkeypatch.setattr(chunk_store, "BLOCK", block)
+        assert chunk_store.cut_points(ids, sizes) == want
+    assert max(map(len, want)) > 10
+
+
+def test_equal_chunks_stay_in_the_engine(spark):
+    rows = [(None, None, None, h, 1, h) for h in (b"a", b"b", b"a", b"c", b"b", b"a")] + [(d, [b"a"], [1], None, None, None) for d in (1, 1, 2, None, None)]
+    first = chunk_store._first_of_each(spark.createDataFrame(rows, chunk_store.STAGED))
+    assert "ArrowInMap" not in first._jdf.queryExecution().toString() and "MapInArrow" not in first._jdf.queryExecution().toString()
+    got = first.collect()
+    assert sorted(bytes(r.hash) for r in got if r.hash is not None) == [b"a", b"b", b"c"]
+    assert sorted(str(r.doc_id) for r in got if r.hash is None) == ["1", "1", "2", "None", "None"]
+
+
 @pytest.mark.parametrize("capacity", [16, 64, 1024])
 def test_packing(capacity):
     rng = random.Random(capacity)
